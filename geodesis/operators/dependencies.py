@@ -28,6 +28,7 @@ def gather_hops(field: Field, reached: int) -> None:
     last = tables.parts(PATHS, [reached]).select("source", "node", "sigma", F.lit(0.0).alias("delta"))
     tables.append(DEPENDENCIES, reached, last)
     for distance in range(reached - 1, -1, -1):
+        field.fit(tables.rows(DEPENDENCIES, distance + 1))
         heads = tables.parts(DEPENDENCIES, [distance + 1]).select("source", F.col("node").alias("w"), _share())
         passed = (
             field.entering(field.together(heads))
@@ -55,31 +56,40 @@ def gather_weighted(field: Field, top: int) -> None:
     steps = field.together(tables.load(TIGHT).drop("flat"))
     with field.planning():
         tables.save_parted("ranked", field.matched(field.matched(steps, tails, "u"), heads, "w"), "w_layer")
-    filed: list[int] = []
-    for layer in range(top, -1, -1):
+    field.fit(tables.rows(PATHS) // (top + 1))
+    for layer in range(top, 0, -1):
         here = field.together(tables.parts(PATHS, [layer]).select("source", "node", "sigma"))
-        if filed:
-            arrived = tables.parts("passed", filed).filter(F.col("u_layer") == layer)
-            passed = field.together(arrived).groupBy("source", "node").agg(F.sum("share").alias("passed"))
-            here = field.looked_up(here, passed)
-        delta = F.col("sigma") * F.coalesce("passed", F.lit(0.0)) if filed else F.lit(0.0)
-        with field.planning():
-            tables.append(DEPENDENCIES, layer, here.select("source", "node", "sigma", delta.alias("delta")))
-        if layer == 0:
-            break
-        shares = tables.parts(DEPENDENCIES, [layer]).select("source", F.col("node").alias("w"), _share())
+        share = F.lit(1.0) / F.col("sigma")
+        if layer < top:
+            arrived = tables.parts("passed").filter(F.col("u_layer") == layer)
+            here = field.looked_up(here, _arrivals(field, arrived))
+            share = share + F.coalesce("passed", F.lit(0.0))
+        shares = here.select("source", F.col("node").alias("w"), share.alias("share"))
         steps = field.together(tables.parts("ranked", [layer]).drop("part"))
         sent = (
-            field.matched(steps, field.together(shares), "w")
+            field.matched(steps, shares, "w")
             .groupBy("source", F.col("u").alias("node"), "u_layer")
             .agg(F.sum("share").alias("share"))
         )
         with field.planning():
             tables.append("passed", layer, sent, by="u_layer")
-        filed.append(layer)
+    field.fit(tables.rows(PATHS))
+    reached = field.together(tables.parts(PATHS).select("source", "node", "sigma", F.col("part").alias("layer")))
+    passed = F.lit(0.0)
+    if top > 0:
+        reached = field.looked_up(reached, _arrivals(field, tables.parts("passed")))
+        passed = F.coalesce("passed", F.lit(0.0))
+    delta = (F.col("sigma") * passed).alias("delta")
+    with field.planning():
+        tables.save_parted(DEPENDENCIES, reached.select("source", "node", "sigma", delta, "layer"), "layer")
     tables.drop("ranked", "passed")
 
 
+def _arrivals(field: Field, sent: DataFrame) -> DataFrame:
+    """``source, node, passed``: shares that reached a vertex, summed."""
+    return field.together(sent).groupBy("source", "node").agg(F.sum("share").alias("passed"))
+
+
 def vertex_dependencies(field: Field, endpoints: bool) -> DataFrame:
     """``source, node, delta`` without the sources themselves; with endpoints,
     a path also counts for its last vertex, and for its source on a row of its
@@ -101,6 +111,7 @@ def node_sums(field: Field, endpoints: bool) -> DataFrame:
 def last_steps(field: Field) -> DataFrame:
     """``source, u, w, sigma, share`` for each step that ends a shortest path."""
     tables = field.workspace
+    field.fit(tables.rows(PATHS))
     state = field.together(tables.parts(DEPENDENCIES).select("source", "node", "sigma", _share(), "part"))
     heads = state.select("source", F.col("node").alias("w"), "share", (F.col("part") - 1).alias("part"))
     tails = state.select("source", F.col("node").alias("u"), "sigma", "part")

@@ -30,16 +30,21 @@ class Limits:
     """Most hubs whose slot counts are sent to every executor."""
     state_rows: int = 2_000_000_000
     """Most (source, vertex) rows held at a time; more go in batches."""
-    steps_per_task: int = 1_000_000
-    """Path steps one task should at least walk, summed over all rounds."""
+    least_steps_per_task: int = 200_000
+    """Path steps of a round worth a task of their own."""
+    most_steps_per_task: int = 5_000_000
+    """Path steps of a round beyond which more tasks than cores are used."""
 
 
 class Field:
     """Steps of one graph under one metric, plus the layout chosen for them."""
 
-    def __init__(self, graph: Graph, workspace: Workspace, weight: str | None, limits: Limits) -> None:
+    def __init__(
+        self, graph: Graph, workspace: Workspace, weight: str | None, limits: Limits, name: str = "arcs"
+    ) -> None:
         self.spark = workspace.spark
         self.workspace = workspace
+        self.name = name
         self.directed = graph.directed
         self.weighted = weight is not None
         self.limits = limits
@@ -49,15 +54,16 @@ class Field:
             usable = F.col("weight") > 0
             usable = usable & ~F.isnan("weight") & (F.col("weight") < float("inf"))
             metrics["unusable"] = F.count_if(~usable)
-        seen = workspace.save("arcs", steps, **metrics)
+        seen = workspace.save(name, steps, **metrics)
         if seen.get("unusable"):
             raise ValueError(f"{seen['unusable']} steps have a weight that is not a positive number")
         self.size = seen["rows"]
         self.small = self.size <= limits.broadcast_arcs
         self._hubs: dict[str, DataFrame] = {}
         self._held: list[DataFrame] = []
-        self.width = 1
-        steps = workspace.load("arcs")
+        self.vertices = graph.n
+        self.width = 2
+        steps = workspace.load(name)
         if self.small:
             self._by_u = self._by_w = steps
         else:
@@ -73,9 +79,9 @@ class Field:
                 .filter(F.col("steps") > self.limits.hub_steps)
                 .select(end, F.ceil(F.col("steps") / self.limits.hub_steps).cast("int").alias("slots"))
             )
-            found = self.workspace.save(f"hubs_{end}", hubs)["rows"]
+            found = self.workspace.save(f"{self.name}_hubs_{end}", hubs)["rows"]
             if found:
-                hubs = self.workspace.load(f"hubs_{end}")
+                hubs = self.workspace.load(f"{self.name}_hubs_{end}")
                 # At most 2 * size / hub_steps rows; sent around only if few.
                 self._hubs[end] = F.broadcast(hubs) if found <= self.limits.broadcast_hubs else hubs
         for end, other in (("u", "w"), ("w", "u")):
@@ -103,19 +109,22 @@ class Field:
         return rows.join(self._hubs[end], end, "left").withColumn(f"{end}_slot", F.explode(slots)).drop("slots")
 
     def release(self) -> None:
+        """Give up the tables of the steps; results read none of them."""
         for frame in self._held:
             frame.unpersist()
         self._held = []
+        self.workspace.drop(self.name, f"{self.name}_hubs_u", f"{self.name}_hubs_w")
 
     # -- what traversals use -----------------------------------------------
 
-    def plan_for(self, sources: int) -> None:
-        """Fit the number of tasks to the steps that many sources walk."""
-        steps = max(1, sources * self.size)
+    def fit(self, rows: int) -> None:
+        """Choose the number of tasks for a round that starts from ``rows`` rows
+        of state: enough for the cores if it walks many steps, few if not."""
+        steps = rows * (1 + self.size / max(1, self.vertices))
+        least = ceil(steps / self.limits.most_steps_per_task)
+        useful = ceil(steps / self.limits.least_steps_per_task)
         cores = self.spark.sparkContext.defaultParallelism
-        wanted = ceil(steps / self.limits.steps_per_task)
-        ample = max(2 * cores, ceil(steps / (20 * self.limits.steps_per_task)))
-        self.width = max(1, min(sources, wanted, ample))
+        self.width = max(2, least, min(useful, 2 * cores))
 
     def together(self, rows: DataFrame) -> DataFrame:
         """Bring all rows of a source into one partition if the graph is small."""

@@ -18,9 +18,10 @@ def walk_hops(field: Field, sources: DataFrame) -> int:
     """
     tables = field.workspace
     start = sources.select("source", F.col("source").alias("node"), F.lit(1.0).alias("sigma"))
-    tables.append(PATHS, 0, start)
+    rows = tables.append(PATHS, 0, start)
     reached = 0
     while True:
+        field.fit(rows)
         front = tables.parts(PATHS, [reached]).select("source", F.col("node").alias("u"), "sigma")
         found = (
             field.leaving(field.together(front))

@@ -23,9 +23,10 @@ def _relax(field: Field, sources: DataFrame) -> None:
     """Write the distance of every reached vertex."""
     tables = field.workspace
     start = sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist"))
-    tables.append("improved", 0, start)
+    rows = tables.append("improved", 0, start)
     done = 0
     while True:
+        field.fit(rows)
         front = tables.parts("improved", [done]).select("source", F.col("node").alias("u"), "dist")
         tried = field.leaving(field.together(front)).groupBy("source", F.col("w").alias("node")).agg(
             F.min(F.col("dist") + F.col("weight")).alias("dist")
@@ -37,6 +38,7 @@ def _relax(field: Field, sources: DataFrame) -> None:
         if rows == 0:
             break
         done += 1
+    field.fit(tables.rows("improved"))
     best = field.together(tables.parts("improved")).groupBy("source", "node").agg(F.min("dist").alias("dist"))
     tables.save(DISTANCES, best)
     tables.drop("improved")
@@ -65,7 +67,8 @@ def _count_walks(field: Field, sources: DataFrame) -> None:
     """Write, per number of steps, how many shortest paths have that many."""
     tables = field.workspace
     start = sources.select("source", F.col("source").alias("node"), F.lit(1.0).alias("sigma"))
-    tables.append("walks", 0, start)
+    rows = tables.append("walks", 0, start)
+    field.fit(tables.rows(TIGHT))
     tight = field.gathered(tables.load(TIGHT).drop("flat"), "u").persist()
     done = 0
     while True:

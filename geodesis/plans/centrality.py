@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geodesis.functions.checks import require_bool
@@ -28,7 +28,7 @@ class _Traversal:
     """Traversal of a stored graph from a set of sources, batch by batch."""
 
     def __init__(self, graph: Graph, chosen: DataFrame | None, weight: str | None, limits: Limits | None) -> None:
-        self.tables = Workspace(SparkSession.getActiveSession() or graph.vertices.sparkSession)
+        self.tables = Workspace(graph.vertices.sparkSession)
         self.limits = limits or Limits()
         self.graph = graph.stored(self.tables)
         self.count = self.tables.save("sources", _sources(self.graph, chosen))["rows"]
@@ -39,7 +39,6 @@ class _Traversal:
                 raise ValueError("some sources are not vertices of the graph")
         self.field = Field(self.graph, self.tables, weight, self.limits)
         self.batches = max(1, ceil(self.count * self.graph.n / self.limits.state_rows))
-        self.field.plan_for(ceil(self.count / self.batches))
 
     def run(self, backward: bool = True):
         """Go through all batches; state is in the tables at each stop."""
@@ -55,7 +54,7 @@ class _Traversal:
             yield batch
             self.tables.drop(PATHS, deps.DEPENDENCIES, TIGHT)
         self.field.release()
-        self.tables.drop("arcs", "hubs_u", "hubs_w", "sources")
+        self.tables.drop("sources")
 
     def collect_into(self, name: str, frame: DataFrame, batch: int) -> None:
         with self.field.planning():
@@ -114,10 +113,17 @@ def edge_betweenness(
 ) -> DataFrame:
     """``src, dst, centrality`` for every edge."""
     require_bool("normalized", normalized)
+    return edge_run(graph, normalized, weight, limits)[0]
+
+
+def edge_run(
+    graph: Graph, normalized: bool, weight: str | None, limits: Limits | None
+) -> tuple[DataFrame, Workspace]:
+    """Edge scores and the tables they are read from."""
     run = _Traversal(graph, None, weight, limits)
     for batch in run.run():
         run.collect_into("edge_sums", deps.edge_sums(run.field), batch)
-    return _edge_scores(run, normalized)
+    return _edge_scores(run, normalized), run.tables
 
 
 def betweenness(

@@ -66,6 +66,7 @@ class Workspace:
         self.root = f"{shared_folder(spark)}/geodesis-{label}-{uuid.uuid4().hex}"
         self._schemas: dict[str, T.StructType] = {}
         self._parts: dict[str, list[int]] = {}
+        self._rows: dict[tuple[str, int | None], int] = {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -73,13 +74,21 @@ class Workspace:
     def save(self, name: str, frame: DataFrame, **metrics) -> dict:
         """Write ``frame`` as table ``name``; returns its row count as ``rows``
         and any further aggregates asked for, all observed in the same job."""
-        return self._write(self.path(name), name, frame, metrics)
+        seen = self._write(self.path(name), name, frame, metrics)
+        self._rows[name, None] = seen["rows"]
+        return seen
+
+    def rows(self, name: str, part: int | None = None) -> int:
+        """Row count seen when the table, or that part of it, was written."""
+        return self._rows[name, part]
 
     def append(self, name: str, part: int, frame: DataFrame, by: str | None = None) -> int:
         """Write ``frame`` as numbered part of table ``name``, if asked with a
         folder per value of column ``by``; returns the row count."""
         rows = self._write(f"{self.path(name)}/part={part}", name, frame, {}, by)["rows"]
         self._parts.setdefault(name, []).append(part)
+        self._rows[name, part] = rows
+        self._rows[name, None] = self._rows.get((name, None), 0) + rows
         return rows
 
     def save_parted(self, name: str, frame: DataFrame, column: str) -> int:
@@ -92,6 +101,7 @@ class Workspace:
             {"low": F.min("part"), "high": F.max("part")},
             "part",
         )
+        self._rows[name, None] = seen["rows"]
         fields = [field for field in self._schemas[name].fields if field.name != "part"]
         self._schemas[name] = T.StructType(fields)
         if not seen["rows"]:
@@ -134,3 +144,11 @@ class Workspace:
             target.getFileSystem(conf).delete(target, True)
             self._schemas.pop(name, None)
             self._parts.pop(name, None)
+            for key in [key for key in self._rows if key[0] == name]:
+                del self._rows[key]
+
+    def discard(self) -> None:
+        """Delete the whole folder of this run once nothing reads it any more."""
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        root.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(root, True)
