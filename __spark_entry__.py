@@ -336,6 +336,18 @@ _ALONG = """
     FROM arcs e JOIN reach a ON a.v = e.u JOIN reach b ON b.s = e.w JOIN reach p ON p.s = a.s AND p.v = b.v
     WHERE a.d + {length} + b.d = p.d GROUP BY 1, 2)"""
 
+# The same scores on larger graphs: every pair sends one unit from its far end
+# back to its near end, split at each vertex by the paths that come from there.
+_BACK = """
+  FROM flow f JOIN reach h ON h.s = f.s AND h.v = f.v
+  JOIN arcs e ON e.w = f.v JOIN reach t ON t.s = f.s AND t.v = e.u AND t.d + 1 = h.d"""
+_FLOW = f"""
+  flow(s, v, k, x) AS (
+    SELECT s, v, 0, CAST(1 AS DOUBLE) FROM reach WHERE s <> v
+    UNION ALL
+    SELECT f.s, e.u, f.k + 1, sum(f.x * t.c / h.c) {_BACK} GROUP BY f.s, e.u, f.k),
+  along AS (SELECT {{key}}, sum(f.x * t.c / h.c) AS total {_BACK} GROUP BY 1, 2)"""
+
 _N = "(SELECT count(*) FROM nodes)"
 _NODE_NORM = f"(({_N} - 1) * ({_N} - 2))"
 _EDGE_NORM = f"({_N} * ({_N} - 1))"
@@ -404,8 +416,9 @@ def _removal_steps() -> str:
         blocks += [arcs, hops, named]
         if step == REMOVALS:
             break
-        along = _ALONG.format(key=_EITHER, length="1").replace("reach", f"reach_{step}")
-        along = along.replace("arcs", f"arcs_{step}").replace("along", f"along_{step}")
+        along = _FLOW.format(key=_EITHER)
+        for name in ("reach", "arcs", "flow", "along"):
+            along = along.replace(name, f"{name}_{step}")
         top = (
             f"top_{step} AS MATERIALIZED (SELECT src, dst, {ties} AS score FROM along_{step}"
             " ORDER BY 3 DESC, 1, 2 LIMIT 1)"

@@ -7,14 +7,10 @@ from pyspark.sql import functions as F
 
 from geodesis.graph import Graph
 
-# Fixed value: files are one byte per character.
-ENCODING = "ISO-8859-1"
-
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """``value, tokens`` of each line; only the tokens of a blank line are none."""
-    # The decoded bytes only matter in messages: ids are digits and blanks.
-    lines = spark.read.option("encoding", ENCODING).text(path)
+    lines = spark.read.text(path)
     blank = F.trim(F.regexp_replace("value", r"\s+", " "))
     tokens = F.when(blank == "", F.array().cast("array<string>")).otherwise(F.split(blank, " "))
     return lines.select("value", tokens.alias("tokens"))
