@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -23,11 +23,17 @@ class Graph:
     ``edges`` holds ``src``, ``dst`` and any number of numeric attributes, of
     which a call may name one as its weight. Undirected edges are kept as the
     ordered pair ``src <= dst``. Ids are of any orderable type.
+
+    ``kept`` tells that both are read from tables; ``derived`` that the vertices
+    are the endpoints and the ``declared`` ones.
     """
 
     vertices: DataFrame
     edges: DataFrame
     directed: bool = False
+    kept: bool = field(default=False, repr=False)
+    declared: DataFrame | None = field(default=None, repr=False)
+    derived: bool = field(default=False, repr=False)
 
     @classmethod
     def from_edges(
@@ -50,7 +56,7 @@ class Graph:
         simple = simple_edges(edges, directed)
         if duplicates == "error":
             _refuse_disagreeing(edges, directed)
-        return cls(vertex_set(simple, vertices), simple, directed)
+        return cls(vertex_set(simple, vertices), simple, directed, declared=vertices, derived=True)
 
     @cached_property
     def n(self) -> int:
@@ -62,12 +68,15 @@ class Graph:
         return [name for name in self.edges.columns if name not in ("src", "dst")]
 
     def stored(self, workspace: Workspace) -> Graph:
-        """The same graph read from tables, so its derivation runs only once."""
+        """The same graph read from tables, so its derivation runs only once; a
+        graph that is read from tables already stays as it is."""
+        if self.kept:
+            return self
         workspace.save("edges", self.edges)
         edges = workspace.load("edges")
-        # Endpoints come from the stored edges only where nothing was declared.
-        n = workspace.save("vertices", self.vertices)["rows"]
-        graph = Graph(workspace.load("vertices"), edges, self.directed)
+        vertices = vertex_set(edges, self.declared) if self.derived else self.vertices
+        n = workspace.save("vertices", vertices)["rows"]
+        graph = Graph(workspace.load("vertices"), edges, self.directed, kept=True)
         graph.__dict__["n"] = n
         return graph
 

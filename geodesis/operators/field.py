@@ -117,10 +117,11 @@ class Field:
 
     # -- what traversals use -----------------------------------------------
 
-    def fit(self, rows: int) -> None:
-        """Choose the number of tasks for a round that starts from ``rows`` rows
-        of state: enough for the cores if it walks many steps, few if not."""
-        steps = rows * (1 + self.size / max(1, self.vertices))
+    def fit(self, rows: int, known: int = 0) -> None:
+        """Choose the number of tasks for a round that walks on from ``rows``
+        rows of state and reads ``known`` more: enough for the cores if that is
+        much work, few if not."""
+        steps = known + rows * (1 + self.size / max(1, self.vertices))
         least = ceil(steps / self.limits.most_steps_per_task)
         useful = ceil(steps / self.limits.least_steps_per_task)
         cores = self.spark.sparkContext.defaultParallelism

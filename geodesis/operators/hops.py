@@ -21,15 +21,15 @@ def walk_hops(field: Field, sources: DataFrame) -> int:
     rows = tables.append(PATHS, 0, start)
     reached = 0
     while True:
-        field.fit(rows)
+        # Walking both ways, a step changes the distance by one at most.
+        old = range(reached + 1) if field.directed else range(max(0, reached - 1), reached + 1)
+        field.fit(rows, sum(tables.rows(PATHS, distance) for distance in old))
         front = tables.parts(PATHS, [reached]).select("source", F.col("node").alias("u"), "sigma")
         found = (
             field.leaving(field.together(front))
             .groupBy("source", F.col("w").alias("node"))
             .agg(F.sum("sigma").alias("sigma"))
         )
-        # Walking both ways, a step changes the distance by one at most.
-        old = range(reached + 1) if field.directed else range(max(0, reached - 1), reached + 1)
         seen = field.together(tables.parts(PATHS, old).select("source", "node"))
         with field.planning():
             rows = tables.append(PATHS, reached + 1, field.unseen(found, seen))

@@ -26,7 +26,7 @@ def _relax(field: Field, sources: DataFrame) -> None:
     rows = tables.append("improved", 0, start)
     done = 0
     while True:
-        field.fit(rows)
+        field.fit(rows, tables.rows("improved"))
         front = tables.parts("improved", [done]).select("source", F.col("node").alias("u"), "dist")
         tried = field.leaving(field.together(front)).groupBy("source", F.col("w").alias("node")).agg(
             F.min(F.col("dist") + F.col("weight")).alias("dist")

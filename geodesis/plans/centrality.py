@@ -18,12 +18,6 @@ from geodesis.operators.weighted import TIGHT, walk_weighted
 from geodesis.workspace import Workspace
 
 
-def _sources(graph: Graph, chosen: DataFrame | None) -> DataFrame:
-    if chosen is None:
-        return graph.vertices.select(F.col("id").alias("source"))
-    return chosen.select(F.col("id").alias("source")).distinct()
-
-
 class _Traversal:
     """Traversal of a stored graph from a set of sources, batch by batch."""
 
@@ -31,9 +25,13 @@ class _Traversal:
         self.tables = Workspace(graph.vertices.sparkSession)
         self.limits = limits or Limits()
         self.graph = graph.stored(self.tables)
-        self.count = self.tables.save("sources", _sources(self.graph, chosen))["rows"]
-        self.sources = self.tables.load("sources")
-        if chosen is not None:
+        if chosen is None:
+            self.count = self.graph.n
+            self.sources = self.graph.vertices.select(F.col("id").alias("source"))
+        else:
+            sources = chosen.select(F.col("id").alias("source")).distinct()
+            self.count = self.tables.save("sources", sources)["rows"]
+            self.sources = self.tables.load("sources")
             unknown = self.sources.join(self.graph.vertices, F.col("source") == F.col("id"), "left_anti")
             if not unknown.isEmpty():
                 raise ValueError("some sources are not vertices of the graph")
@@ -98,6 +96,7 @@ def node_betweenness(
     if k is not None and pivots is not None:
         raise ValueError("give k or pivots, not both")
     if k is not None:
+        graph = graph.stored(Workspace(graph.vertices.sparkSession, "sampled"))
         pivots = sample_vertices(graph, k, seed)
     run = _Traversal(graph, pivots, weight, limits)
     for batch in run.run():

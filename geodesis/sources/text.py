@@ -35,8 +35,8 @@ def read_edge_list(spark: SparkSession, path: str, directed: bool = False, mode:
     _mode(mode)
     rows = _checked(_lines(spark, path), F.size("tokens") == 2, mode)
     edges = rows.select(
-        F.col("tokens")[0].cast("long").alias("src"),
-        F.col("tokens")[1].cast("long").alias("dst"),
+        F.col("tokens")[0].try_cast("long").alias("src"),
+        F.col("tokens")[1].try_cast("long").alias("dst"),
     )
     return Graph.from_edges(edges, directed=directed)
 
@@ -46,7 +46,7 @@ def read_adjacency_list(spark: SparkSession, path: str, directed: bool = False,
     is a vertex without edges."""
     _mode(mode)
     rows = _checked(_lines(spark, path), F.size("tokens") >= 1, mode)
-    ids = rows.select(F.transform("tokens", lambda token: token.cast("long")).alias("ids"))
+    ids = rows.select(F.transform("tokens", lambda token: token.try_cast("long")).alias("ids"))
     edges = ids.select(F.col("ids")[0].alias("src"), F.explode(F.expr("slice(ids, 2, size(ids) - 1)")).alias("dst"))
     return Graph.from_edges(edges, ids.select(F.explode("ids").alias("id")), directed=directed)
 
