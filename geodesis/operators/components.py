@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ def connected_components(graph: Graph, limits: Limits | None = None) -> DataFram
     that just learnt a smaller one do so again.
     """
     tables = Workspace(graph.vertices.sparkSession, "components")
-    return label_components(Graph(graph.vertices, graph.edges, directed=False).stored(tables), tables, limits)
+    return label_components(replace(graph, directed=False).stored(tables), tables, limits)
 
 
 def label_components(graph: Graph, tables: Workspace, limits: Limits | None = None) -> DataFrame:
@@ -29,18 +31,23 @@ def label_components(graph: Graph, tables: Workspace, limits: Limits | None = No
     while rows:
         front = tables.parts("labels", [done]).select(F.col("node").alias("u"), "component")
         heard = field.leaving(front).groupBy(F.col("w").alias("node")).agg(F.min("component").alias("component"))
-        known = _smallest(tables).withColumnRenamed("component", "known")
+        history = tables.parts("labels")
+        if field.few_steps(rows):
+            count = tables.append("heard", done, heard)
+            heard = tables.parts("heard", [done]).drop("part")
+            history = field.about(history, heard, count, ["node"])
+        known = _smallest(history).withColumnRenamed("component", "known")
         news = heard.join(known, "node").filter(F.col("component") < F.col("known")).drop("known")
         done += 1
         rows = tables.append("labels", done, news)
-    tables.save("components", _smallest(tables).select(F.col("node").alias("id"), "component"))
+    tables.save("components", _smallest(tables.parts("labels")).select(F.col("node").alias("id"), "component"))
     field.release()
-    tables.drop("labels")
+    tables.drop("labels", "heard")
     return tables.load("components")
 
 
-def _smallest(tables: Workspace) -> DataFrame:
-    return tables.parts("labels").groupBy("node").agg(F.min("component").alias("component"))
+def _smallest(labels: DataFrame) -> DataFrame:
+    return labels.groupBy("node").agg(F.min("component").alias("component"))
 
 
 def component_sizes(graph: Graph, components: DataFrame, larger_than: int = 0) -> DataFrame:

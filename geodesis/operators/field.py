@@ -28,6 +28,8 @@ class Limits:
     """Steps of one vertex beyond which they are spread over slots."""
     broadcast_hubs: int = 500_000
     """Most hubs whose slot counts are sent to every executor."""
+    broadcast_rows: int = 200_000
+    """Most rows of a round's news that are sent to every executor."""
     state_rows: int = 2_000_000_000
     """Most (source, vertex) rows held at a time; more go in batches."""
     least_steps_per_task: int = 200_000
@@ -166,6 +168,17 @@ class Field:
             other = other.hint("shuffle_hash")
         return rows.join(other, ["source", "node"], "left")
 
+    def few_steps(self, rows: int) -> bool:
+        """Whether a round from ``rows`` rows of state may bring little news."""
+        return rows * self.size <= self.limits.broadcast_rows * max(1, self.vertices)
+
+    def about(self, history: DataFrame, news: DataFrame, count: int, keys: list[str]) -> DataFrame:
+        """The part of the history that shares keys with the ``count`` rows of
+        news. Few news go to the history, which then need not be shuffled."""
+        if count > self.limits.broadcast_rows:
+            return history
+        return history.join(F.broadcast(news.select(*keys)), keys, "left_semi")
+
     def planning(self):
         """Settings under which rows kept with their source are not shuffled
         again for a join on source and vertex."""

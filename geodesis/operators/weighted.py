@@ -31,7 +31,13 @@ def _relax(field: Field, sources: DataFrame) -> None:
         tried = field.leaving(field.together(front)).groupBy("source", F.col("w").alias("node")).agg(
             F.min(F.col("dist") + F.col("weight")).alias("dist")
         )
-        best = field.together(tables.parts("improved")).groupBy("source", "node").agg(F.min("dist").alias("best"))
+        history = tables.parts("improved")
+        if field.few_steps(rows):
+            with field.planning():
+                count = tables.append("tried", done, tried)
+            tried = field.together(tables.parts("tried", [done]).drop("part"))
+            history = field.about(history, tried, count, ["source", "node"])
+        best = field.together(history).groupBy("source", "node").agg(F.min("dist").alias("best"))
         better = field.looked_up(tried, best).filter(F.col("best").isNull() | (F.col("dist") < F.col("best")))
         with field.planning():
             rows = tables.append("improved", done + 1, better.drop("best"))
@@ -41,7 +47,7 @@ def _relax(field: Field, sources: DataFrame) -> None:
     field.fit(tables.rows("improved"))
     best = field.together(tables.parts("improved")).groupBy("source", "node").agg(F.min("dist").alias("dist"))
     tables.save(DISTANCES, best)
-    tables.drop("improved")
+    tables.drop("improved", "tried")
 
 
 def _tighten(field: Field) -> None:

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from known import KARATE, KARATE_REMOVALS
 
@@ -24,14 +26,25 @@ def test_direction_does_not_matter_for_components(spark):
     assert found == {"a": "a", "b": "a", "c": "a", "y": "y", "z": "y"}
 
 
+def check_karate(found, removals):
+    assert (found[0].step, found[0].src, found[0].n_components) == (0, None, 1)
+    assert [(row.src, row.dst) for row in found[1:]] == [(src, dst) for src, dst, _ in removals]
+    for row, (_, _, score) in zip(found[1:], removals):
+        assert row.score == pytest.approx(score, abs=1e-9)
+
+
+def test_karate_first_removals(spark):
+    graph = g.Graph.from_edges(spark.createDataFrame(KARATE, "src long, dst long"))
+    done = g.remove_edges(graph, max_steps=2)
+    check_karate(sorted(done.trace.collect()), KARATE_REMOVALS[:2])
+
+
+@pytest.mark.skipif(not os.environ.get("GEODESIS_SLOW"), reason="minutes long; set GEODESIS_SLOW=1")
 def test_karate_falls_apart(spark):
     graph = g.Graph.from_edges(spark.createDataFrame(KARATE, "src long, dst long"))
     done = g.remove_edges(graph, target_components=2)
     trace = sorted(done.trace.collect())
-    assert (trace[0].step, trace[0].src, trace[0].n_components) == (0, None, 1)
-    assert [(row.src, row.dst) for row in trace[1:]] == [(src, dst) for src, dst, _ in KARATE_REMOVALS]
-    for row, (_, _, score) in zip(trace[1:], KARATE_REMOVALS):
-        assert row.score == pytest.approx(score, abs=1e-9)
+    check_karate(trace, KARATE_REMOVALS)
     assert [row.n_components for row in trace[1:]] == [1] * 10 + [2]
     last = done.sizes.filter("step = 11").collect()
     assert {(row.n_nodes, row.n_edges) for row in last} == {(19, 39), (15, 28)}
