@@ -92,8 +92,15 @@ class Field:
                 steps = steps.join(self._hubs[end], end, "left").withColumn(f"{end}_slot", slot).drop("slots")
         partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self._by_u = steps.repartition(partitions, *self._key("u")).persist()
-        self._by_w = steps.repartition(partitions, *self._key("w")).persist()
-        self._held = [self._by_u, self._by_w]
+        self._held = [self._by_u]
+        if self.directed:
+            self._by_w = steps.repartition(partitions, *self._key("w")).persist()
+            self._held.append(self._by_w)
+        else:
+            # Every step is there both ways: the same rows, read the other way.
+            ends = {"u": "w", "w": "u", "u_slot": "w_slot", "w_slot": "u_slot"}
+            renamed = [F.col(name).alias(ends.get(name, name)) for name in self._by_u.columns]
+            self._by_w = self._by_u.select(*renamed)
 
     @property
     def slots(self) -> list[str]:

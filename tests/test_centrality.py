@@ -21,7 +21,7 @@ import geodesis as g
 
 SHUFFLED = g.Limits(broadcast_arcs=0)
 SALTED = g.Limits(broadcast_arcs=0, hub_steps=3)
-BATCHED = g.Limits(state_rows=60)
+BATCHED = g.Limits(state_rows=130)
 
 
 def frame(spark, edges):
