@@ -13,6 +13,7 @@ from math import ceil
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from geodesis.graph import Graph, arcs
 from geodesis.workspace import Workspace, session_conf
@@ -22,8 +23,10 @@ from geodesis.workspace import Workspace, session_conf
 class Limits:
     """Sizes at which the layout changes; results do not depend on them."""
 
-    broadcast_arcs: int = 1_000_000
+    broadcast_arcs: int = 2_000_000
     """Most steps of a graph that is sent to every executor."""
+    broadcast_bytes: int = 64 * 1024 * 1024
+    """Most bytes of ids in those steps."""
     hub_steps: int = 1_000_000
     """Steps of one vertex beyond which they are spread over slots."""
     broadcast_hubs: int = 500_000
@@ -52,6 +55,8 @@ class Field:
         self.limits = limits
         steps = arcs(graph, weight)
         metrics = {}
+        if isinstance(steps.schema["u"].dataType, StringType):
+            metrics["bytes"] = F.sum((F.octet_length("u") + F.octet_length("w")).cast("long"))
         if self.weighted:
             usable = F.col("weight") > 0
             usable = usable & ~F.isnan("weight") & (F.col("weight") < float("inf"))
@@ -60,7 +65,9 @@ class Field:
         if seen.get("unusable"):
             raise ValueError(f"{seen['unusable']} steps have a weight that is not a positive number")
         self.size = seen["rows"]
-        self.small = self.size <= limits.broadcast_arcs
+        # Ids that are not strings are numbers of at most 16 bytes.
+        measured = seen["bytes"] or 0 if "bytes" in seen else 32 * self.size
+        self.small = self.size <= limits.broadcast_arcs and measured <= limits.broadcast_bytes
         self._hubs: dict[str, DataFrame] = {}
         self._held: list[DataFrame] = []
         self.vertices = graph.n

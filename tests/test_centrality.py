@@ -160,9 +160,10 @@ def test_vanishing_weight(spark):
         g.shortest_paths(g.Graph.from_edges(rows), weight="weight")
 
 
-def test_string_ids_and_missing_weights(spark):
+@pytest.mark.parametrize("limits", [None, g.Limits(broadcast_bytes=1)])
+def test_string_ids_and_missing_weights(spark, limits):
     rows = spark.createDataFrame([("b", "a", None), ("b", "c", 1.0), ("a", "c", 2.0)], "src string, dst string, km double")
-    found = g.shortest_paths(g.Graph.from_edges(rows), weight="km")
+    found = g.shortest_paths(g.Graph.from_edges(rows), weight="km", limits=limits)
     got = {(row.source, row.node): (row.dist, row.sigma) for row in found.collect()}
     assert got["a", "c"] == (2.0, 2.0)
     assert got["a", "b"] == (1.0, 1.0)
