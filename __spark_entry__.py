@@ -16,6 +16,12 @@ import geodesis as g
 from geodesis.sources import tables
 from geodesis.workspace import Workspace
 
+try:
+    import corpus_pipeline
+    from geodesis.llm import queries as text_queries
+except ImportError:
+    corpus_pipeline = text_queries = None
+
 DECIMALS = 9
 SEED = 7
 PIVOTS = 32
@@ -177,7 +183,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         tables.relay,
         tables.places,
     )
-    return {
+    found = {
         # graph relations
         "vertices_web": lambda spark, folder: g.sorted_vertices(web(spark, folder)),
         "vertices_duty": lambda spark, folder: g.sorted_vertices(duty(spark, folder)),
@@ -236,6 +242,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "edge_removal_sizes": _removal("sizes"),
         "edge_removal_communities": _removal("communities"),
     }
+    if text_queries:
+        found |= text_queries.queries() | {"pipeline": corpus_pipeline.run}
+    return found
 
 
 # -- SQL ----------------------------------------------------------------------
@@ -466,7 +475,7 @@ def oracle_sql() -> dict[str, str]:
         for name, graph in graphs.items()
     )
     pairs = "SELECT src, dst FROM edges"
-    return {
+    found = {
         "vertices_web": _with(_WEB) + " SELECT id FROM nodes",
         "vertices_duty": _with(_DUTY) + " SELECT id FROM nodes",
         "vertex_counts": counts,
@@ -531,3 +540,8 @@ def oracle_sql() -> dict[str, str]:
         "edge_removal_sizes": _removal_sizes_sql(),
         "edge_removal_communities": _removal_steps() + f" SELECT id, component FROM members_{REMOVALS}",
     }
+    if text_queries:
+        found |= text_queries.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
