@@ -22,10 +22,16 @@ try:
 except ImportError:
     corpus_pipeline = text_queries = None
 
+# Raw sums are compared by decimals, scaled scores by digits whatever their size.
 DECIMALS = 9
+DIGITS = "%.6e"
 SEED = 7
 PIVOTS = 32
+# The forest of places has a tree per region; three more are split off.
+REGIONS = 5
 REMOVALS = 3
+# The layout of large graphs, with hubs from so few steps that the tables have some.
+SHUFFLED = g.Limits(broadcast_arcs=0, hub_steps=50)
 
 
 def _rounded(frame: DataFrame, *names: str) -> DataFrame:
@@ -34,19 +40,30 @@ def _rounded(frame: DataFrame, *names: str) -> DataFrame:
     return frame
 
 
+def _significant(frame: DataFrame, *names: str) -> DataFrame:
+    for name in names:
+        shown = F.format_string(DIGITS, name).cast("double")
+        frame = frame.withColumn(name, F.when(F.col(name).isNotNull(), shown))
+    return frame
+
+
 # -- queries ------------------------------------------------------------------
 
 
 def _scores(make, **options):
+    shown = _significant if options.get("normalized", True) else _rounded
+
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return _rounded(g.node_betweenness(make(spark, folder), **options), "centrality")
+        return shown(g.node_betweenness(make(spark, folder), **options), "centrality")
 
     return query
 
 
 def _edge_scores(make, **options):
+    shown = _significant if options.get("normalized", True) else _rounded
+
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return _rounded(g.edge_betweenness(make(spark, folder), **options), "centrality")
+        return shown(g.edge_betweenness(make(spark, folder), **options), "centrality")
 
     return query
 
@@ -93,56 +110,58 @@ def _node_score_file(spark: SparkSession, folder: str) -> DataFrame:
     path = Workspace(spark, "scores").path("nodes")
     g.write_node_scores(g.node_betweenness(tables.duty(spark, folder)), path, "text")
     parts = F.split("value", ": ")
-    return spark.read.text(path).select(
-        parts[0].cast("long").alias("id"), F.round(parts[1].cast("double"), DECIMALS).alias("centrality")
-    )
+    lines = spark.read.text(path)
+    return _significant(lines.select(parts[0].cast("long").alias("id"), parts[1].cast("double").alias("centrality")), "centrality")
 
 
 def _edge_score_file(spark: SparkSession, folder: str) -> DataFrame:
     path = Workspace(spark, "scores").path("edges")
     g.write_edge_scores(g.edge_betweenness(tables.duty(spark, folder)), path, "csv")
     schema = "src long, dst long, centrality double"
-    return _rounded(spark.read.schema(schema).option("header", "true").csv(path), "centrality")
+    return _significant(spark.read.schema(schema).option("header", "true").csv(path), "centrality")
 
 
 def _both_scores(spark: SparkSession, folder: str) -> DataFrame:
     path = Workspace(spark, "scores").path("both")
     g.write_betweenness(tables.web(spark, folder), path)
     nodes = spark.read.parquet(f"{path}/nodes").select(F.col("id").alias("src"), F.lit(None).cast("string").alias("dst"), "centrality")
-    return _rounded(nodes.unionByName(spark.read.parquet(f"{path}/edges")), "centrality")
+    return _significant(nodes.unionByName(spark.read.parquet(f"{path}/edges")), "centrality")
 
 
 def _pivots(spark: SparkSession, folder: str) -> DataFrame:
     return g.sample_vertices(tables.relay(spark, folder), PIVOTS, SEED)
 
 
-def _paths(make, weight=None):
-    def query(spark: SparkSession, folder: str) -> DataFrame:
-        return g.shortest_paths(make(spark, folder), weight=weight)
+def _sources(graph: g.Graph) -> DataFrame:
+    """The pivots of a graph; all of its vertices if it has fewer."""
+    return g.sample_vertices(graph, min(PIVOTS, graph.n), SEED)
 
-    return query
 
+def _paths(make, **options):
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        graph = make(spark, folder)
+        return g.shortest_paths(graph, _sources(graph), **options)
 
-def _pivot_paths(spark: SparkSession, folder: str) -> DataFrame:
-    graph = tables.trade(spark, folder)
-    return g.shortest_paths(graph, g.sample_vertices(graph, PIVOTS, SEED))
+    return query
 
 
 def _visit_order(spark: SparkSession, folder: str) -> DataFrame:
-    found = g.shortest_paths(tables.web(spark, folder))
+    found = _paths(tables.web)(spark, folder)
     return found.groupBy("source", "dist").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
 def _predecessors(make, weight=None):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return g.predecessors(make(spark, folder), weight=weight)
+        graph = make(spark, folder)
+        return g.predecessors(graph, _sources(graph), weight=weight)
 
     return query
 
 
 def _dependencies(endpoints: bool, weight=None):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        found = g.source_dependencies(tables.duty(spark, folder), endpoints=endpoints, weight=weight)
+        graph = tables.duty(spark, folder)
+        found = g.source_dependencies(graph, _sources(graph), endpoints=endpoints, weight=weight)
         return _rounded(found, "delta")
 
     return query
@@ -158,13 +177,13 @@ def _component_sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _top_edge(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(g.top_edge(g.edge_betweenness(tables.web(spark, folder))), "centrality")
+    return _significant(g.top_edge(g.edge_betweenness(tables.web(spark, folder))), "centrality")
 
 
 def _removal(part: str, **rounded):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        done = g.remove_edges(tables.places(spark, folder), max_steps=REMOVALS)
-        return _rounded(getattr(done, part), *rounded.get("names", ()))
+        done = g.remove_edges(tables.places(spark, folder), target_components=REGIONS + REMOVALS)
+        return _significant(getattr(done, part), *rounded.get("names", ()))
 
     return query
 
@@ -175,13 +194,14 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    web, duty, trade, lanes, relay, places = (
+    web, duty, trade, lanes, relay, places, tolls = (
         tables.web,
         tables.duty,
         tables.trade,
         tables.lanes,
         tables.relay,
         tables.places,
+        tables.tolls,
     )
     found = {
         # graph relations
@@ -193,6 +213,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "edges_trade": lambda spark, folder: g.sorted_edges(trade(spark, folder)),
         "edges_lanes": lambda spark, folder: g.sorted_edges(lanes(spark, folder)),
         "edges_places": lambda spark, folder: g.sorted_edges(places(spark, folder)),
+        "edges_tolls": lambda spark, folder: g.sorted_edges(tolls(spark, folder)),
         "steps_web": lambda spark, folder: g.arcs(web(spark, folder)),
         "steps_duty": lambda spark, folder: g.arcs(duty(spark, folder), "seconds"),
         "neighbours_pages": _page_neighbours,
@@ -206,9 +227,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # shortest paths
         "paths_duty": _paths(duty),
         "paths_web": _paths(web),
-        "paths_trade_pivots": _pivot_paths,
-        "paths_lanes_weighted": _paths(lanes, "price"),
-        "paths_duty_weighted": _paths(duty, "seconds"),
+        "paths_trade_pivots": _paths(trade),
+        "paths_trade_pivots_shuffled": _paths(trade, limits=SHUFFLED),
+        "paths_lanes_weighted": _paths(lanes, weight="price"),
+        "paths_duty_weighted": _paths(duty, weight="seconds"),
+        "paths_tolls_weighted": _paths(tolls, weight="price"),
         "visit_order_web": _visit_order,
         "predecessors_duty": _predecessors(duty),
         "predecessors_duty_weighted": _predecessors(duty, "seconds"),
@@ -226,10 +249,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "node_bc_duty_endpoints": _scores(duty, endpoints=True),
         "node_bc_duty_weighted": _scores(duty, weight="seconds"),
         "node_bc_lanes_weighted": _scores(lanes, weight="price"),
+        "node_bc_lanes_weighted_endpoints": _scores(lanes, weight="price", endpoints=True),
+        "node_bc_tolls_weighted": _scores(tolls, weight="price"),
+        "node_bc_duty_weighted_shuffled": _scores(duty, weight="seconds", limits=SHUFFLED),
+        "node_bc_relay_pivots_raw": _scores(relay, k=PIVOTS, seed=SEED, normalized=False),
+        "node_bc_relay_pivots_endpoints": _scores(relay, k=PIVOTS, seed=SEED, endpoints=True),
+        "node_bc_trade_pivots_raw": _scores(trade, k=PIVOTS, seed=SEED, normalized=False),
+        "node_bc_trade_pivots_shuffled": _scores(trade, k=PIVOTS, seed=SEED, limits=SHUFFLED),
         "node_bc_places": _scores(places),
         "node_bc_relay_pivots": _scores(relay, k=PIVOTS, seed=SEED),
         "node_bc_trade_pivots": _scores(trade, k=PIVOTS, seed=SEED),
         "edge_bc_web": _edge_scores(web),
+        "edge_bc_web_shuffled": _edge_scores(web, limits=SHUFFLED),
+        "edge_bc_tolls_weighted": _edge_scores(tolls, weight="price"),
         "edge_bc_duty": _edge_scores(duty),
         "edge_bc_duty_raw": _edge_scores(duty, normalized=False),
         "edge_bc_duty_weighted": _edge_scores(duty, weight="seconds"),
@@ -286,6 +318,19 @@ _LANES = f"""
   nodes AS (SELECT CAST(n_nationkey AS BIGINT) AS id FROM nation),
   {_ONE_WAY.format(weight=", weight")}"""
 
+_TOLLS = f"""
+  priced AS (
+    SELECT least(s_nationkey, c_nationkey) AS a, greatest(s_nationkey, c_nationkey) AS b,
+           min(l_extendedprice) AS price
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+  edges AS (
+    SELECT CAST(a AS BIGINT) AS src, CAST(b AS BIGINT) AS dst,
+           CASE WHEN (a + b) % 7 <> 0 THEN ceil(CAST(price AS DOUBLE) / 250) / 4 ELSE 1 END AS weight FROM priced),
+  nodes AS (SELECT CAST(n_nationkey AS BIGINT) AS id FROM nation),
+  arcs AS (SELECT src AS u, dst AS w, weight FROM edges WHERE src <> dst
+           UNION ALL SELECT dst, src, weight FROM edges WHERE src <> dst)"""
+
 _RELAY = f"""
   edges AS (
     SELECT DISTINCT arg_min(l_partkey, (l_linenumber, l_partkey)) AS src, arg_max(l_partkey, (l_linenumber, l_partkey)) AS dst
@@ -369,54 +414,68 @@ def _with(*parts: str) -> str:
     return "WITH RECURSIVE " + ", ".join(part.strip() for part in parts)
 
 
-def _node_sql(graph: str, walk: str = _HOPS, factor: str = f"1.0 / {_NODE_NORM}", only: str = "", more: str = "") -> str:
-    parts = [graph, walk] + ([more] if more else []) + [_THROUGH.format(only=only)]
+_SCALED, _RAW = f"CAST(printf('{DIGITS}', {{}}) AS DOUBLE)", f"round({{}}, {DECIMALS})"
+_NODE_SHARE, _EDGE_SHARE = f"1.0 / {_NODE_NORM}", f"1.0 / {_EDGE_NORM}"
+_PIVOT_SHARE = f"(1.0 / {_NODE_NORM} * {_N} / {PIVOTS})"
+_FROM_PIVOTS = "AND a.s IN (SELECT id FROM pivots)"
+
+
+def _node_sql(graph: str, walk: str = _HOPS, factor: str = _NODE_SHARE, shown: str = _SCALED, pivots: bool = False) -> str:
+    parts = [graph, walk] + ([_SAMPLE] if pivots else []) + [_THROUGH.format(only=_FROM_PIVOTS if pivots else "")]
+    score = shown.format(f"coalesce(total, 0) * {factor}")
     return (
         _with(*parts)
         + f""", summed AS (SELECT v, sum(delta) AS total FROM through GROUP BY v)
-        SELECT id, round(coalesce(total, 0) * {factor}, {DECIMALS}) AS centrality
-        FROM nodes LEFT JOIN summed ON v = id"""
+        SELECT id, {score} AS centrality FROM nodes LEFT JOIN summed ON v = id"""
     )
 
 
-def _endpoint_sql(graph: str) -> str:
+def _endpoint_sql(graph: str, walk: str = _HOPS, factor: str = _NODE_SHARE, pivots: bool = False) -> str:
+    chosen = "AND s IN (SELECT id FROM pivots)" if pivots else ""
+    parts = [graph, walk] + ([_SAMPLE] if pivots else []) + [_THROUGH.format(only=_FROM_PIVOTS if pivots else "")]
+    score = _SCALED.format(f"coalesce(total, 0) * {factor}")
     return (
-        _with(graph, _HOPS, _THROUGH.format(only=""))
+        _with(*parts)
         + f""", parts AS (
           SELECT v, delta FROM through
-          UNION ALL SELECT v, 1 FROM reach WHERE s <> v
-          UNION ALL SELECT s, 1 FROM reach WHERE s <> v),
+          UNION ALL SELECT v, 1 FROM reach WHERE s <> v {chosen}
+          UNION ALL SELECT s, 1 FROM reach WHERE s <> v {chosen}),
         summed AS (SELECT v, sum(delta) AS total FROM parts GROUP BY v)
-        SELECT id, round(coalesce(total, 0) / {_NODE_NORM}, {DECIMALS}) AS centrality
-        FROM nodes LEFT JOIN summed ON v = id"""
+        SELECT id, {score} AS centrality FROM nodes LEFT JOIN summed ON v = id"""
     )
 
 
 def _pivot_sql(graph: str) -> str:
-    return _node_sql(
-        graph,
-        factor=f"(1.0 / {_NODE_NORM} * {_N} / {PIVOTS})",
-        more=_SAMPLE,
-        only="AND a.s IN (SELECT id FROM pivots)",
-    )
+    return _node_sql(graph, factor=_PIVOT_SHARE, pivots=True)
 
 
-def _edge_sql(graph: str, key: str, walk: str = _HOPS, length: str = "1", factor: str = f"1.0 / {_EDGE_NORM}") -> str:
+def _edge_sql(
+    graph: str, key: str, walk: str = _HOPS, length: str = "1", factor: str = _EDGE_SHARE, shown: str = _SCALED
+) -> str:
+    score = shown.format(f"coalesce(total, 0) * {factor}")
     return (
         _with(graph, walk, _ALONG.format(key=key, length=length))
         + f"""
-        SELECT e.src, e.dst, round(coalesce(total, 0) * {factor}, {DECIMALS}) AS centrality
+        SELECT e.src, e.dst, {score} AS centrality
         FROM edges e LEFT JOIN along a ON a.src = e.src AND a.dst = e.dst"""
     )
 
 
+def _from_pivots(walk: str) -> str:
+    """The walk from the pivots alone."""
+    return walk.replace("DOUBLE) FROM nodes", "DOUBLE) FROM pivots")
+
+
 def _paths_sql(graph: str, walk: str = _HOPS) -> str:
-    return _with(graph, walk) + " SELECT s AS source, v AS node, CAST(d AS DOUBLE) AS dist, c AS sigma FROM reach"
+    return (
+        _with(graph, _SAMPLE, _from_pivots(walk))
+        + " SELECT s AS source, v AS node, CAST(d AS DOUBLE) AS dist, c AS sigma FROM reach"
+    )
 
 
 def _removal_steps() -> str:
     """One block per step: paths, scores, the top edge, and the graph without it."""
-    ties = "round(total / " + _EDGE_NORM + f", {DECIMALS})"
+    score = "total / " + _EDGE_NORM
     blocks = [_PLACES, "edges_0 AS (SELECT src, dst FROM edges)"]
     for step in range(REMOVALS + 1):
         arcs = f"arcs_{step} AS (SELECT src AS u, dst AS w FROM edges_{step} UNION SELECT dst, src FROM edges_{step})"
@@ -429,8 +488,8 @@ def _removal_steps() -> str:
         for name in ("reach", "arcs", "flow", "along"):
             along = along.replace(name, f"{name}_{step}")
         top = (
-            f"top_{step} AS MATERIALIZED (SELECT src, dst, {ties} AS score FROM along_{step}"
-            " ORDER BY 3 DESC, 1, 2 LIMIT 1)"
+            f"top_{step} AS MATERIALIZED (SELECT src, dst, {score} AS score FROM along_{step}"
+            f" WHERE total >= (SELECT max(total) FROM along_{step}) * (1 - 1e-9) ORDER BY src, dst LIMIT 1)"
         )
         rest = (
             f"edges_{step + 1} AS MATERIALIZED (SELECT e.src, e.dst FROM edges_{step} e"
@@ -444,7 +503,7 @@ def _trace_sql() -> str:
     rows = ["SELECT 0 AS step, NULL AS src, NULL AS dst, NULL AS score, count(DISTINCT component) AS n_components FROM members_0"]
     for step in range(1, REMOVALS + 1):
         count = f"(SELECT count(DISTINCT component) FROM members_{step})"
-        rows.append(f"SELECT {step}, src, dst, score, {count} FROM top_{step - 1}")
+        rows.append(f"SELECT {step}, src, dst, {_SCALED.format('score')}, {count} FROM top_{step - 1}")
     return _removal_steps() + " " + " UNION ALL ".join(rows)
 
 
@@ -484,6 +543,7 @@ def oracle_sql() -> dict[str, str]:
         "edges_trade": _with(_TRADE) + " " + pairs,
         "edges_lanes": _with(_LANES) + " SELECT src, dst, weight AS price FROM edges",
         "edges_places": _with(_PLACES) + " " + pairs,
+        "edges_tolls": _with(_TOLLS) + " SELECT src, dst, weight AS price FROM edges",
         "steps_web": _with(_WEB) + " SELECT u, w FROM arcs",
         "steps_duty": _with(_DUTY) + " SELECT u, w, weight FROM arcs",
         "neighbours_pages": _with(_WEB) + " SELECT u AS id, w AS neighbour FROM arcs WHERE u IN (SELECT url FROM pages)",
@@ -498,39 +558,50 @@ def oracle_sql() -> dict[str, str]:
         f" UNION ALL SELECT src, dst, centrality FROM ({_edge_sql(_WEB, _EITHER)})",
         "paths_duty": _paths_sql(_DUTY),
         "paths_web": _paths_sql(_WEB),
-        "paths_trade_pivots": _with(_TRADE, _SAMPLE, _HOPS.replace("FROM nodes", "FROM pivots"))
-        + " SELECT s AS source, v AS node, CAST(d AS DOUBLE) AS dist, c AS sigma FROM reach",
+        "paths_trade_pivots": _paths_sql(_TRADE),
+        "paths_trade_pivots_shuffled": _paths_sql(_TRADE),
+        "paths_tolls_weighted": _paths_sql(_TOLLS, _LENGTHS),
         "paths_lanes_weighted": _paths_sql(_LANES, _LENGTHS),
         "paths_duty_weighted": _paths_sql(_DUTY, _LENGTHS),
-        "visit_order_web": _with(_WEB, _HOPS)
+        "visit_order_web": _with(_WEB, _SAMPLE, _from_pivots(_HOPS))
         + " SELECT s AS source, CAST(d AS DOUBLE) AS dist, count(*) AS n_nodes FROM reach GROUP BY s, d",
-        "predecessors_duty": _with(_DUTY, _HOPS)
+        "predecessors_duty": _with(_DUTY, _SAMPLE, _from_pivots(_HOPS))
         + " SELECT x.s AS source, a.w AS node, a.u AS pred FROM reach x JOIN arcs a ON a.u = x.v"
         + " JOIN reach y ON y.s = x.s AND y.v = a.w AND x.d + 1 = y.d",
-        "predecessors_duty_weighted": _with(_DUTY, _LENGTHS) + " SELECT s AS source, w AS node, u AS pred FROM tight",
-        "dependencies_duty": _with(_DUTY, _HOPS, _THROUGH.format(only=""))
-        + f" {_DEPENDENCIES} FROM reach LEFT JOIN through USING (s, v) WHERE s <> v",
-        "dependencies_duty_endpoints": _with(_DUTY, _HOPS, _THROUGH.format(only=""))
+        "predecessors_duty_weighted": _with(_DUTY, _SAMPLE, _from_pivots(_LENGTHS))
+        + " SELECT s AS source, w AS node, u AS pred FROM tight",
+        "dependencies_duty": _with(_DUTY, _SAMPLE, _HOPS, _THROUGH.format(only=_FROM_PIVOTS))
+        + f" {_DEPENDENCIES} FROM reach LEFT JOIN through USING (s, v) WHERE s <> v AND s IN (SELECT id FROM pivots)",
+        "dependencies_duty_endpoints": _with(_DUTY, _SAMPLE, _HOPS, _THROUGH.format(only=_FROM_PIVOTS))
         + f" {_DEPENDENCIES.replace('coalesce(delta, 0)', 'coalesce(delta, 0) + 1')}"
-        + " FROM reach LEFT JOIN through USING (s, v) WHERE s <> v"
-        + " UNION ALL SELECT s, s, CAST(count(*) - 1 AS DOUBLE) FROM reach GROUP BY s",
-        "dependencies_duty_weighted": _with(_DUTY, _LENGTHS, _THROUGH.format(only=""))
-        + f" {_DEPENDENCIES} FROM reach LEFT JOIN through USING (s, v) WHERE s <> v",
+        + " FROM reach LEFT JOIN through USING (s, v) WHERE s <> v AND s IN (SELECT id FROM pivots)"
+        + " UNION ALL SELECT s, s, CAST(count(*) - 1 AS DOUBLE) FROM reach WHERE s IN (SELECT id FROM pivots) GROUP BY s",
+        "dependencies_duty_weighted": _with(_DUTY, _SAMPLE, _LENGTHS, _THROUGH.format(only=_FROM_PIVOTS))
+        + f" {_DEPENDENCIES} FROM reach LEFT JOIN through USING (s, v) WHERE s <> v AND s IN (SELECT id FROM pivots)",
         "pivots_relay": _with(_RELAY, _SAMPLE) + " SELECT id FROM pivots",
         "node_bc_web": _node_sql(_WEB),
-        "node_bc_web_raw": _node_sql(_WEB, factor="0.5"),
+        "node_bc_web_raw": _node_sql(_WEB, factor="0.5", shown=_RAW),
         "node_bc_web_endpoints": _endpoint_sql(_WEB),
         "node_bc_duty": _node_sql(_DUTY),
-        "node_bc_duty_raw": _node_sql(_DUTY, factor="1.0"),
+        "node_bc_duty_raw": _node_sql(_DUTY, factor="1.0", shown=_RAW),
         "node_bc_duty_endpoints": _endpoint_sql(_DUTY),
         "node_bc_duty_weighted": _node_sql(_DUTY, _LENGTHS),
         "node_bc_lanes_weighted": _node_sql(_LANES, _LENGTHS),
+        "node_bc_lanes_weighted_endpoints": _endpoint_sql(_LANES, _LENGTHS),
+        "node_bc_tolls_weighted": _node_sql(_TOLLS, _LENGTHS),
+        "node_bc_duty_weighted_shuffled": _node_sql(_DUTY, _LENGTHS),
+        "node_bc_relay_pivots_raw": _node_sql(_RELAY, factor="1.0", shown=_RAW, pivots=True),
+        "node_bc_relay_pivots_endpoints": _endpoint_sql(_RELAY, factor=_PIVOT_SHARE, pivots=True),
+        "node_bc_trade_pivots_raw": _node_sql(_TRADE, factor=f"0.5 * {_N} / {PIVOTS}", shown=_RAW, pivots=True),
+        "node_bc_trade_pivots_shuffled": _pivot_sql(_TRADE),
         "node_bc_places": _node_sql(_PLACES),
         "node_bc_relay_pivots": _pivot_sql(_RELAY),
         "node_bc_trade_pivots": _pivot_sql(_TRADE),
         "edge_bc_web": _edge_sql(_WEB, _EITHER),
+        "edge_bc_web_shuffled": _edge_sql(_WEB, _EITHER),
+        "edge_bc_tolls_weighted": _edge_sql(_TOLLS, _EITHER, _LENGTHS, "e.weight"),
         "edge_bc_duty": _edge_sql(_DUTY, _DIRECTED),
-        "edge_bc_duty_raw": _edge_sql(_DUTY, _DIRECTED, factor="1.0"),
+        "edge_bc_duty_raw": _edge_sql(_DUTY, _DIRECTED, factor="1.0", shown=_RAW),
         "edge_bc_duty_weighted": _edge_sql(_DUTY, _DIRECTED, _LENGTHS, "e.weight"),
         "edge_bc_lanes_weighted": _edge_sql(_LANES, _DIRECTED, _LENGTHS, "e.weight"),
         "components_web": _with(_WEB, _HOPS, _MEMBERS) + " SELECT id, component FROM members",

@@ -12,8 +12,8 @@ from geodesis.functions.checks import require_bool
 from geodesis.workspace import Workspace
 
 
-def _known(name: str) -> Column:
-    return F.coalesce(F.col(name), F.raise_error(F.lit(f"edge without {name}"))).alias(name)
+def _known(name: str, what: str = "edge") -> Column:
+    return F.coalesce(F.col(name), F.raise_error(F.lit(f"{what} without {name}"))).alias(name)
 
 
 @dataclass(frozen=True)
@@ -126,7 +126,7 @@ def vertex_set(edges: DataFrame, declared: DataFrame | None = None) -> DataFrame
     """Edge endpoints together with the declared vertices, each once."""
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id"))
     if declared is not None:
-        ends = ends.unionByName(declared.select("id"))
+        ends = ends.unionByName(declared.select(_known("id", "vertex")))
     return ends.distinct()
 
 
@@ -150,10 +150,47 @@ def arcs(graph: Graph, weight: str | None = None) -> DataFrame:
     return edges.select(F.explode(ways).alias("way"), *step).select("way.*", *[c for c in ["weight"] if step])
 
 
-def neighbours(graph: Graph, frontier: DataFrame) -> DataFrame:
-    """Rows ``id`` of a frontier with each vertex one step away."""
+# A vertex with more rows than the block size has slots; the list of such
+# vertices is sent around up to these bounds. Beyond them, all rows are salted.
+BROADCAST_HUBS = 500_000
+BROADCAST_BYTES = 64 * 1024 * 1024
+SALTS = 64
+
+
+def _with_slots(rows: DataFrame, other: str, block_size: int) -> DataFrame:
+    """``rows`` with ``slots`` for their ``id``: how many blocks of about
+    ``block_size`` rows it fills. Rows are never moved by their bare id."""
+    tables = Workspace(rows.sparkSession, "slots")
+    counted = rows.groupBy("id").agg(F.count(F.lit(1)).alias("degree")).filter(F.col("degree") > block_size)
+    hubs = counted.select("id", F.ceil(F.col("degree") / block_size).cast("int").alias("slots"))
+    seen = tables.save("hubs", hubs, bytes=F.sum(F.octet_length(F.col("id").cast("string")).cast("long")))
+    hubs = tables.load("hubs")
+    if not seen["rows"]:
+        return rows.withColumn("slots", F.lit(1))
+    if seen["rows"] <= BROADCAST_HUBS and seen["bytes"] <= BROADCAST_BYTES:
+        joined = rows.join(F.broadcast(hubs), "id", "left")
+    else:
+        salt = F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")
+        everywhere = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", salt).join(everywhere, ["id", "salt"], "left").drop("salt")
+    return joined.withColumn("slots", F.coalesce("slots", F.lit(1)))
+
+
+def _slot(other: str) -> Column:
+    return F.pmod(F.xxhash64(other), F.col("slots")).cast("int")
+
+
+def neighbours(graph: Graph, frontier: DataFrame, block_size: int = 100_000) -> DataFrame:
+    """Rows ``id`` of a frontier with each vertex one step away. The steps of a
+    vertex with more than ``block_size`` of them are spread over slots, and its
+    frontier rows go to each."""
     steps = arcs(graph).select(F.col("u").alias("id"), F.col("w").alias("neighbour"))
-    return frontier.join(steps, "id")
+    slotted = _with_slots(steps, "neighbour", block_size)
+    steps = slotted.withColumn("slot", _slot("neighbour")).drop("slots")
+    hubs = slotted.filter("slots > 1").select("id", "slots").distinct()
+    asked = frontier.select("id").join(hubs, "id", "left")
+    asked = asked.select("id", F.explode(F.sequence(F.lit(0), F.coalesce("slots", F.lit(1)) - 1)).alias("slot"))
+    return asked.join(steps, ["id", "slot"]).select("id", "neighbour")
 
 
 def sorted_vertices(graph: Graph) -> DataFrame:
@@ -165,7 +202,8 @@ def sorted_edges(graph: Graph) -> DataFrame:
 
 
 def adjacency(graph: Graph, block_size: int = 100_000) -> DataFrame:
-    """Sorted neighbours of each vertex: ``id, block, neighbours``.
+    """Sorted neighbours of each vertex: ``id, block, neighbours``, with the key
+    ``(id, block)``.
 
     A vertex with more than ``block_size`` neighbours spans several blocks of
     about that size, so no row and no task holds an unbounded list. Vertices
@@ -176,16 +214,9 @@ def adjacency(graph: Graph, block_size: int = 100_000) -> DataFrame:
     if not graph.directed:
         back = edges.filter(F.col("src") != F.col("dst"))
         listed = listed.unionByName(back.select(F.col("dst").alias("id"), F.col("src").alias("neighbour")))
-    crowded = (
-        listed.groupBy("id")
-        .agg(F.count(F.lit(1)).alias("degree"))
-        .filter(F.col("degree") > block_size)
-        .select("id", F.ceil(F.col("degree") / block_size).cast("int").alias("blocks"))
-    )
-    block = F.pmod(F.xxhash64("neighbour"), F.coalesce("blocks", F.lit(1))).cast("int")
     grouped = (
-        listed.join(crowded, "id", "left")
-        .groupBy("id", block.alias("block"))
+        _with_slots(listed, "neighbour", block_size)
+        .groupBy("id", _slot("neighbour").alias("block"))
         .agg(F.sort_array(F.collect_list("neighbour")).alias("neighbours"))
     )
     return graph.vertices.join(grouped, "id", "left").select(

@@ -2,54 +2,31 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geodesis.graph import Graph
-from geodesis.operators.field import Field, Limits
+from geodesis.operators.field import Limits
+from geodesis.operators.merging import smallest_reachable
 from geodesis.workspace import Workspace
 
 
 def connected_components(graph: Graph, limits: Limits | None = None) -> DataFrame:
     """``id, component`` with the smallest id of the component as its name; the
-    direction of edges does not matter.
-
-    Vertices hand their smallest known id to their neighbours, and only those
-    that just learnt a smaller one do so again.
-    """
+    direction of edges does not matter. Rounds grow with the logarithm of the
+    longest chain. ``limits`` is accepted for the sake of older calls."""
     tables = Workspace(graph.vertices.sparkSession, "components")
-    return label_components(replace(graph, directed=False).stored(tables), tables, limits)
+    return label_components(graph.stored(tables), tables)
 
 
-def label_components(graph: Graph, tables: Workspace, limits: Limits | None = None) -> DataFrame:
+def label_components(graph: Graph, tables: Workspace) -> DataFrame:
     """The same for a graph stored in ``tables``."""
-    field = Field(graph, tables, None, limits or Limits(), name="ties")
-    rows = tables.append("labels", 0, graph.vertices.select(F.col("id").alias("node"), F.col("id").alias("component")))
-    done = 0
-    while rows:
-        front = tables.parts("labels", [done]).select(F.col("node").alias("u"), "component")
-        heard = field.leaving(front).groupBy(F.col("w").alias("node")).agg(F.min("component").alias("component"))
-        history = tables.parts("labels")
-        if field.few_steps(rows):
-            count = tables.append("heard", done, heard)
-            heard = tables.parts("heard", [done]).drop("part")
-            history = field.about(history, heard, count, ["node"])
-        known = _smallest(history).withColumnRenamed("component", "known")
-        news = heard.join(known, "node").filter(F.col("component") < F.col("known")).drop("known")
-        done += 1
-        rows = tables.append("labels", done, news)
-    tables.save("components", _smallest(tables.parts("labels")).select(F.col("node").alias("id"), "component"))
-    field.release()
-    tables.drop("labels", "heard")
+    merged = smallest_reachable(graph.edges.select("src", "dst"), tables)
+    named = graph.vertices.join(merged.withColumnRenamed("node", "id"), "id", "left")
+    tables.save("components", named.select("id", F.coalesce("component", "id").alias("component")))
     return tables.load("components")
 
 
-def _smallest(labels: DataFrame) -> DataFrame:
-    return labels.groupBy("node").agg(F.min("component").alias("component"))
-
-
 def component_sizes(graph: Graph, components: DataFrame, larger_than: int = 0) -> DataFrame:
     """``component, n_nodes, n_edges`` of components with more than
     ``larger_than`` vertices. Edges are counted per vertex before they are

@@ -56,12 +56,12 @@ def gather_weighted(field: Field, top: int) -> None:
     steps = field.together(tables.load(TIGHT).drop("flat"))
     with field.planning():
         tables.save_parted("ranked", field.matched(field.matched(steps, tails, "u"), heads, "w"), "w_layer")
-    field.fit(tables.rows(PATHS) // (top + 1))
     for layer in range(top, 0, -1):
+        field.fit(tables.rows(PATHS, layer), tables.rows("ranked", layer))
         here = field.together(tables.parts(PATHS, [layer]).select("source", "node", "sigma"))
         share = F.lit(1.0) / F.col("sigma")
         if layer < top:
-            arrived = tables.parts("passed").filter(F.col("u_layer") == layer)
+            arrived = tables.filed("passed", layer)
             here = field.looked_up(here, _arrivals(field, arrived))
             share = share + F.coalesce("passed", F.lit(0.0))
         shares = here.select("source", F.col("node").alias("w"), share.alias("share"))
@@ -72,12 +72,12 @@ def gather_weighted(field: Field, top: int) -> None:
             .agg(F.sum("share").alias("share"))
         )
         with field.planning():
-            tables.append("passed", layer, sent, by="u_layer")
+            tables.file("passed", sent, "u_layer")
     field.fit(tables.rows(PATHS))
     reached = field.together(tables.parts(PATHS).select("source", "node", "sigma", F.col("part").alias("layer")))
     passed = F.lit(0.0)
     if top > 0:
-        reached = field.looked_up(reached, _arrivals(field, tables.parts("passed")))
+        reached = field.looked_up(reached, _arrivals(field, tables.filed("passed")))
         passed = F.coalesce("passed", F.lit(0.0))
     delta = (F.col("sigma") * passed).alias("delta")
     with field.planning():
@@ -121,6 +121,19 @@ def last_steps(field: Field) -> DataFrame:
     return field.matched(field.matched(steps, heads.drop("part"), "w"), tails.drop("part"), "u")
 
 
+def tight_steps(field: Field) -> DataFrame:
+    """``source, u, w`` for each step that ends a shortest path; needs no
+    dependencies."""
+    tables = field.workspace
+    if field.weighted:
+        return tables.load(TIGHT).select("source", "u", "w")
+    field.fit(tables.rows(PATHS))
+    state = field.together(tables.parts(PATHS).select("source", "node", "part"))
+    heads = state.select("source", F.col("node").alias("w"), (F.col("part") - 1).alias("part"))
+    tails = state.select("source", F.col("node").alias("u"), "part")
+    return field.matched(field.entering(heads), tails, "u", "part").select("source", "u", "w")
+
+
 def edge_sums(field: Field) -> DataFrame:
     """``src, dst, total``: dependencies on an edge summed over sources."""
     key = edge_key(F.col("u"), F.col("w"), field.directed)

@@ -13,7 +13,7 @@ from math import ceil
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import NumericType
 
 from geodesis.graph import Graph, arcs
 from geodesis.workspace import Workspace, session_conf
@@ -35,6 +35,9 @@ class Limits:
     """Most rows of a round's news that are sent to every executor."""
     state_rows: int = 2_000_000_000
     """Most (source, vertex) rows held at a time; more go in batches."""
+    rows_per_slot: int = 50_000_000
+    """Most rows that one slot of a vertex makes in a round: its steps times the
+    sources of a batch. More sources mean smaller slots."""
     least_steps_per_task: int = 200_000
     """Path steps of a round worth a task of their own."""
     most_steps_per_task: int = 5_000_000
@@ -45,7 +48,13 @@ class Field:
     """Steps of one graph under one metric, plus the layout chosen for them."""
 
     def __init__(
-        self, graph: Graph, workspace: Workspace, weight: str | None, limits: Limits, name: str = "arcs"
+        self,
+        graph: Graph,
+        workspace: Workspace,
+        weight: str | None,
+        limits: Limits,
+        name: str = "arcs",
+        sources: int = 1,
     ) -> None:
         self.spark = workspace.spark
         self.workspace = workspace
@@ -53,10 +62,12 @@ class Field:
         self.directed = graph.directed
         self.weighted = weight is not None
         self.limits = limits
+        self.slot_steps = max(1, min(limits.hub_steps, limits.rows_per_slot // max(1, sources)))
         steps = arcs(graph, weight)
         metrics = {}
-        if isinstance(steps.schema["u"].dataType, StringType):
-            metrics["bytes"] = F.sum((F.octet_length("u") + F.octet_length("w")).cast("long"))
+        if not isinstance(steps.schema["u"].dataType, NumericType):
+            sizes = [F.octet_length(F.col(end).cast("string")) for end in ("u", "w")]
+            metrics["bytes"] = F.sum((sizes[0] + sizes[1]).cast("long"))
         if self.weighted:
             usable = F.col("weight") > 0
             usable = usable & ~F.isnan("weight") & (F.col("weight") < float("inf"))
@@ -65,7 +76,7 @@ class Field:
         if seen.get("unusable"):
             raise ValueError(f"{seen['unusable']} steps have a weight that is not a positive number")
         self.size = seen["rows"]
-        # Ids that are not strings are numbers of at most 16 bytes.
+        # Numbers have at most 16 bytes.
         measured = seen["bytes"] or 0 if "bytes" in seen else 32 * self.size
         self.small = self.size <= limits.broadcast_arcs and measured <= limits.broadcast_bytes
         self._hubs: dict[str, DataFrame] = {}
@@ -85,19 +96,21 @@ class Field:
             hubs = (
                 steps.groupBy(end)
                 .agg(F.count(F.lit(1)).alias("steps"))
-                .filter(F.col("steps") > self.limits.hub_steps)
-                .select(end, F.ceil(F.col("steps") / self.limits.hub_steps).cast("int").alias("slots"))
+                .filter(F.col("steps") > self.slot_steps)
+                .select(end, F.ceil(F.col("steps") / self.slot_steps).cast("int").alias("slots"))
             )
-            found = self.workspace.save(f"{self.name}_hubs_{end}", hubs)["rows"]
-            if found:
+            size = F.sum(F.octet_length(F.col(end).cast("string")).cast("long"))
+            found = self.workspace.save(f"{self.name}_hubs_{end}", hubs, bytes=size)
+            if found["rows"]:
                 hubs = self.workspace.load(f"{self.name}_hubs_{end}")
-                # At most 2 * size / hub_steps rows; sent around only if few.
-                self._hubs[end] = F.broadcast(hubs) if found <= self.limits.broadcast_hubs else hubs
+                few = found["rows"] <= self.limits.broadcast_hubs and found["bytes"] <= self.limits.broadcast_bytes
+                self._hubs[end] = F.broadcast(hubs) if few else hubs
         for end, other in (("u", "w"), ("w", "u")):
             if end in self._hubs:
                 slot = F.pmod(F.xxhash64(other), F.coalesce("slots", F.lit(1))).cast("int")
                 steps = steps.join(self._hubs[end], end, "left").withColumn(f"{end}_slot", slot).drop("slots")
         partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        partitions = max(partitions, ceil(self.size / self.limits.most_steps_per_task))
         self._by_u = steps.repartition(partitions, *self._key("u")).persist()
         self._held = [self._by_u]
         if self.directed:

@@ -35,8 +35,9 @@ class _Traversal:
             unknown = self.sources.join(self.graph.vertices, F.col("source") == F.col("id"), "left_anti")
             if not unknown.isEmpty():
                 raise ValueError("some sources are not vertices of the graph")
-        self.field = Field(self.graph, self.tables, weight, self.limits)
-        self.batches = max(1, ceil(self.count * self.graph.n / self.limits.state_rows))
+        wanted = ceil(self.count * self.graph.n / self.limits.state_rows)
+        self.batches = max(1, min(wanted, self.count))
+        self.field = Field(self.graph, self.tables, weight, self.limits, sources=ceil(self.count / self.batches))
 
     def run(self, backward: bool = True):
         """Go through all batches; state is in the tables at each stop."""
@@ -75,6 +76,18 @@ def _edge_scores(run: _Traversal, normalized: bool) -> DataFrame:
     return graph.edges.join(total, ["src", "dst"], "left").select("src", "dst", score.alias("centrality"))
 
 
+def _chosen(
+    graph: Graph, k: int | None, pivots: DataFrame | None, seed: int | None
+) -> tuple[Graph, DataFrame | None]:
+    """The graph and the sources to start from, None for all vertices."""
+    if k is not None and pivots is not None:
+        raise ValueError("give k or pivots, not both")
+    if k is not None:
+        graph = graph.stored(Workspace(graph.vertices.sparkSession, "sampled"))
+        pivots = sample_vertices(graph, k, seed)
+    return graph, pivots
+
+
 def node_betweenness(
     graph: Graph,
     k: int | None = None,
@@ -93,11 +106,7 @@ def node_betweenness(
     """
     require_bool("normalized", normalized)
     require_bool("endpoints", endpoints)
-    if k is not None and pivots is not None:
-        raise ValueError("give k or pivots, not both")
-    if k is not None:
-        graph = graph.stored(Workspace(graph.vertices.sparkSession, "sampled"))
-        pivots = sample_vertices(graph, k, seed)
+    graph, pivots = _chosen(graph, k, pivots, seed)
     run = _Traversal(graph, pivots, weight, limits)
     for batch in run.run():
         run.collect_into("node_sums", deps.node_sums(run.field, endpoints), batch)
@@ -116,12 +125,20 @@ def edge_betweenness(
 
 
 def edge_run(
-    graph: Graph, normalized: bool, weight: str | None, limits: Limits | None
+    graph: Graph, normalized: bool, weight: str | None, limits: Limits | None, components: bool = False
 ) -> tuple[DataFrame, Workspace]:
-    """Edge scores and the tables they are read from."""
+    """Edge scores and the tables they are read from. ``components`` also writes
+    that table of ``id, component``, for undirected graphs: the smallest source
+    that reaches a vertex."""
     run = _Traversal(graph, None, weight, limits)
     for batch in run.run():
         run.collect_into("edge_sums", deps.edge_sums(run.field), batch)
+        if components:
+            named = run.tables.parts(PATHS).groupBy(F.col("node").alias("id")).agg(F.min("source").alias("component"))
+            run.collect_into("named", named, batch)
+    if components:
+        named = run.tables.parts("named").groupBy("id").agg(F.min("component").alias("component"))
+        run.tables.save("components", named)
     return _edge_scores(run, normalized), run.tables
 
 
@@ -131,20 +148,29 @@ def betweenness(
     weight: str | None = None,
     endpoints: bool = False,
     limits: Limits | None = None,
+    k: int | None = None,
+    pivots: DataFrame | None = None,
+    seed: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Vertex scores and edge scores from one traversal."""
+    """Vertex scores and edge scores from one traversal, exact or estimated as
+    in :func:`node_betweenness`; edge scores are then sums over the sources
+    times ``n / k``."""
     require_bool("normalized", normalized)
     require_bool("endpoints", endpoints)
-    run = _Traversal(graph, None, weight, limits)
+    graph, pivots = _chosen(graph, k, pivots, seed)
+    run = _Traversal(graph, pivots, weight, limits)
     for batch in run.run():
         run.collect_into("node_sums", deps.node_sums(run.field, endpoints), batch)
         run.collect_into("edge_sums", deps.edge_sums(run.field), batch)
-    return _node_scores(run, normalized, None), _edge_scores(run, normalized)
+    if pivots is None:
+        return _node_scores(run, normalized, None), _edge_scores(run, normalized)
+    edges = _edge_scores(run, normalized).withColumn("centrality", F.col("centrality") * (run.graph.n / max(1, run.count)))
+    return _node_scores(run, normalized, run.count), edges
 
 
 def shortest_paths(
     graph: Graph,
-    sources: DataFrame | None = None,
+    sources: DataFrame,
     weight: str | None = None,
     limits: Limits | None = None,
 ) -> DataFrame:
@@ -160,22 +186,22 @@ def shortest_paths(
 
 def predecessors(
     graph: Graph,
-    sources: DataFrame | None = None,
+    sources: DataFrame,
     weight: str | None = None,
     limits: Limits | None = None,
 ) -> DataFrame:
     """``source, node, pred``: each vertex that comes right before ``node`` on
     some shortest path from ``source``."""
     run = _Traversal(graph, sources, weight, limits)
-    for batch in run.run():
-        steps = deps.last_steps(run.field)
+    for batch in run.run(backward=False):
+        steps = deps.tight_steps(run.field)
         run.collect_into("found", steps.select("source", F.col("w").alias("node"), F.col("u").alias("pred")), batch)
     return run.tables.parts("found").drop("part")
 
 
 def source_dependencies(
     graph: Graph,
-    sources: DataFrame | None = None,
+    sources: DataFrame,
     weight: str | None = None,
     endpoints: bool = False,
     limits: Limits | None = None,

@@ -61,23 +61,36 @@ def trade(spark: SparkSession, folder: str) -> Graph:
     )
 
 
-def lanes(spark: SparkSession, folder: str) -> Graph:
-    """Supplier nations and the customer nations they deliver to, weighted by
-    the lowest price of a delivery rounded up."""
+def _deliveries(spark: SparkSession, folder: str) -> DataFrame:
+    """``src, dst, price``: supplier nation, customer nation, lowest price."""
     customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
     suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
-    deliveries = (
+    return (
         _deals(spark, folder)
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-        .select(
-            F.col("s_nationkey").cast("long").alias("src"),
-            F.col("c_nationkey").cast("long").alias("dst"),
-            F.ceil("price").alias("price"),
-        )
+        .select(F.col("s_nationkey").cast("long").alias("src"), F.col("c_nationkey").cast("long").alias("dst"), "price")
     )
-    nations = table(spark, folder, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
-    return Graph.from_edges(deliveries, nations, directed=True)
+
+
+def _nations(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
+
+
+def lanes(spark: SparkSession, folder: str) -> Graph:
+    """Supplier nations and the customer nations they deliver to, weighted by
+    the lowest price of a delivery rounded up."""
+    rounded = _deliveries(spark, folder).withColumn("price", F.ceil("price"))
+    return Graph.from_edges(rounded, _nations(spark, folder), directed=True)
+
+
+def tolls(spark: SparkSession, folder: str) -> Graph:
+    """Nations that trade either way, weighted by the lowest price in thousands,
+    rounded up to quarters so that sums are exact; where the keys add up to a
+    multiple of seven, the price is not known."""
+    quarters = F.ceil(F.col("price").cast("double") / 250) / 4
+    price = F.when((F.col("src") + F.col("dst")) % 7 != 0, quarters)
+    return Graph.from_edges(_deliveries(spark, folder).withColumn("price", price), _nations(spark, folder))
 
 
 def relay(spark: SparkSession, folder: str) -> Graph:

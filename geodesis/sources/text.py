@@ -48,7 +48,9 @@ def read_adjacency_list(spark: SparkSession, path: str, directed: bool = False,
     rows = _checked(_lines(spark, path), F.size("tokens") >= 1, mode)
     ids = rows.select(F.transform("tokens", lambda token: token.try_cast("long")).alias("ids"))
     edges = ids.select(F.col("ids")[0].alias("src"), F.explode(F.expr("slice(ids, 2, size(ids) - 1)")).alias("dst"))
-    return Graph.from_edges(edges, ids.select(F.explode("ids").alias("id")), directed=directed)
+    # Every other id is the end of an edge.
+    alone = ids.filter(F.size("ids") == 1).select(F.col("ids")[0].alias("id"))
+    return Graph.from_edges(edges, alone, directed=directed)
 
 
 def read_graph(

@@ -67,6 +67,7 @@ class Workspace:
         self._schemas: dict[str, T.StructType] = {}
         self._parts: dict[str, list[int]] = {}
         self._rows: dict[tuple[str, int | None], int] = {}
+        self._filed: dict[str, str] = {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -82,10 +83,9 @@ class Workspace:
         """Row count seen when the table, or that part of it, was written."""
         return self._rows[name, part]
 
-    def append(self, name: str, part: int, frame: DataFrame, by: str | None = None) -> int:
-        """Write ``frame`` as numbered part of table ``name``, if asked with a
-        folder per value of column ``by``; returns the row count."""
-        rows = self._write(f"{self.path(name)}/part={part}", name, frame, {}, by)["rows"]
+    def append(self, name: str, part: int, frame: DataFrame) -> int:
+        """Write ``frame`` as numbered part of table ``name``; returns the row count."""
+        rows = self._write(f"{self.path(name)}/part={part}", name, frame, {})["rows"]
         self._parts.setdefault(name, []).append(part)
         self._rows[name, part] = rows
         self._rows[name, None] = self._rows.get((name, None), 0) + rows
@@ -108,8 +108,29 @@ class Workspace:
             self._parts[name] = []
             return -1
         self._parts[name] = list(range(seen["low"], seen["high"] + 1))
+        counts = self.parts(name).groupBy("part").count().collect()
+        self._rows |= {(name, number): 0 for number in self._parts[name]}
+        self._rows |= {(name, row["part"]): row["count"] for row in counts}
         return seen["high"]
 
+    def file(self, name: str, frame: DataFrame, by: str) -> None:
+        """Add rows to table ``name``, which has one folder per value of the
+        integer column ``by`` however often rows are added."""
+        frame.repartition(by, *[column for column in frame.columns if column != by]).write.mode("append").partitionBy(by).parquet(self.path(name))
+        self._schemas[name] = T.StructType([field for field in frame.schema.fields if field.name != by])
+        self._filed[name] = by
+
+    def filed(self, name: str, value: int | None = None) -> DataFrame:
+        """Rows filed under a value, or all; only that folder is listed."""
+        path = self.path(name) if value is None else f"{self.path(name)}/{self._filed[name]}={value}"
+        if not self._exists(path):
+            return self.spark.createDataFrame([], self._schemas[name])
+        return self.spark.read.schema(self._schemas[name]).parquet(path)
+
+    def _exists(self, path: str) -> bool:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
+
     def _write(self, path: str, name: str, frame: DataFrame, metrics: dict, by: str | None = None) -> dict:
         observed = Observation()
         wanted = [F.count(F.lit(1)).alias("rows")]
@@ -144,6 +165,7 @@ class Workspace:
             target.getFileSystem(conf).delete(target, True)
             self._schemas.pop(name, None)
             self._parts.pop(name, None)
+            self._filed.pop(name, None)
             for key in [key for key in self._rows if key[0] == name]:
                 del self._rows[key]
 

@@ -1,5 +1,3 @@
-import os
-
 import pytest
 from known import KARATE, KARATE_REMOVALS
 
@@ -39,7 +37,6 @@ def test_karate_first_removals(spark):
     check_karate(sorted(done.trace.collect()), KARATE_REMOVALS[:2])
 
 
-@pytest.mark.skipif(not os.environ.get("GEODESIS_SLOW"), reason="minutes long; set GEODESIS_SLOW=1")
 def test_karate_falls_apart(spark):
     graph = g.Graph.from_edges(spark.createDataFrame(KARATE, "src long, dst long"))
     done = g.remove_edges(graph, target_components=2)
@@ -58,3 +55,27 @@ def test_stops_once_components_are_small(spark):
     assert [(row.src, row.dst) for row in sorted(done.trace.collect())[1:]] == [(1, 2)]
     with pytest.raises(ValueError):
         g.remove_edges(g.Graph(graph.vertices, graph.edges, directed=True))
+
+
+def test_the_larger_of_two_tiny_scores_is_on_top(spark):
+    kind = "src long, dst long, centrality double"
+    for scale in (1.0, 1e-10, 1e-30):
+        near = [(1, 2, 3 * scale), (3, 4, 4 * scale)]
+        assert tuple(g.top_edge(spark.createDataFrame(near, kind)).first())[:2] == (3, 4)
+        tied = [(3, 4, 4 * scale * (1 + 1e-13)), (1, 2, 4 * scale), (0, 9, scale)]
+        assert tuple(g.top_edge(spark.createDataFrame(tied, kind)).first())[:2] == (1, 2)
+    assert g.top_edge(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    from geodesis.operators import merging
+    from geodesis.workspace import Workspace
+
+    rounds = []
+    save = Workspace.save
+    monkeypatch.setattr(Workspace, "save", lambda self, name, *a, **b: rounds.append(name) or save(self, name, *a, **b))
+    chain = spark.range(2000).selectExpr("(id * 7919) % 2001 AS src", "((id + 1) * 7919) % 2001 AS dst")
+    found = merging.smallest_reachable(chain, Workspace(spark, "chain"))
+    assert {row.component for row in found.select("component").distinct().collect()} == {0}
+    assert found.count() == 2001
+    assert len([name for name in rounds if name.endswith("_far")]) <= 15
