@@ -146,15 +146,17 @@ def drop_recurring_lines(
     rows that repeat a doc_id count as one document. An empty table gives an
     empty result.
     """
-    lost = recurring_lines(docs, tree, doc_id, text).select(F.struct("doc_id", "line_nos").alias("lost"))
-    joined = docs.join(lost, F.col(f"`{doc_id}`").cast("long") == F.col("lost.doc_id"), "left")
-    parts = F.split(F.col(f"`{text}`"), "\n")
-    kept = _without(parts, F.col("lost.line_nos"))
-    fresh = F.when(F.col("lost").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n"))
-    columns = [fresh.alias(name) if name == text else F.col(f"`{name}`") for name in docs.columns]
+    lost = recurring_lines(docs, tree, doc_id, text)
+    rows = docs.select(
+        F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row")
+    )
+    body = F.col("row").getField(text)
+    kept = F.array_join(_without(F.split(body, "\n"), F.col("line_nos")), "\n")
+    fresh = F.when(F.col("line_nos").isNull(), body).otherwise(kept)
+    columns = [(fresh if name == text else F.col("row").getField(name)).alias(name) for name in docs.columns]
     if count:
-        columns.append(F.coalesce(F.size("lost.line_nos"), F.lit(0)).alias(count))
-    return joined.select(*columns)
+        columns.append(F.coalesce(F.size("line_nos"), F.lit(0)).alias(count))
+    return rows.join(lost, "doc_id", "left").select(*columns)
 
 
 def _without(parts, numbers):
