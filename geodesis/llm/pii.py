@@ -114,6 +114,8 @@ _DIGIT_WORDS = {
 # Words for the signs in four languages.
 _AT_WORDS = "at|arroba|arobase|klammeraffe"
 _DOT_WORDS = "dot|punkt|punto|point"
+# Common endings of host names.
+_ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|name|io|co|eu|us|uk|ca|au|nz|ie|de|at|ch|fr|be|es|it|pt|nl|lu|dk|se|no|fi|pl|cz|ru|ua|gr|tr|in|cn|jp|kr|br|mx|ar|cl"
 
 
 def _table() -> dict[int, str]:
@@ -134,8 +136,16 @@ _SPELLED = re.compile(rf"(?<!\w)(?:plus[ ]+)?{_WORD}(?:[ -]{{1,3}}{_WORD})+(?!\w
 _ONE_WORD = re.compile(rf"plus|{_WORD}", re.I)
 _AT_BRACKET = re.compile(rf"[ ]{{0,3}}{_OPEN}[ ]{{0,3}}(?:{_AT_WORDS}|@)[ ]{{0,3}}{_CLOSE}[ ]{{0,3}}", re.I)
 _DOT_BRACKET = re.compile(rf"[ ]{{0,3}}{_OPEN}[ ]{{0,3}}(?:{_DOT_WORDS}|\.)[ ]{{0,3}}{_CLOSE}[ ]{{0,3}}", re.I)
-_AT_WORD = re.compile(rf"(?<=[A-Za-z0-9_%+-])[ ]+(?:{_AT_WORDS})[ ]+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:[ ]+(?:{_DOT_WORDS})[ ]+)[A-Za-z0-9])", re.I)
+_LABEL = r"[A-Za-z0-9-]+"
+_DOT_SPOT = rf"(?:[ ]+(?:{_DOT_WORDS})[ ]+|[ ]{{0,3}}{_OPEN}[ ]{{0,3}}(?:{_DOT_WORDS}|\.)[ ]{{0,3}}{_CLOSE}[ ]{{0,3}})"
+# A bare word only stands for @ before a disguised dot and a common ending.
+_AT_WORD = re.compile(
+    rf"(?<=[A-Za-z0-9_%+-])[ ]+(?:{_AT_WORDS})[ ]+"
+    rf"(?={_LABEL}(?:\.{_LABEL}){{0,9}}{_DOT_SPOT}(?:{_LABEL}(?:\.|{_DOT_SPOT})){{0,9}}(?:{_ENDINGS})(?![A-Za-z0-9-]))",
+    re.I,
+)
 _DOT_WORD = re.compile(rf"(?<=[A-Za-z0-9-])[ ]+(?:{_DOT_WORDS})[ ]+(?=[A-Za-z0-9])", re.I)
+_GAP = re.compile(r"\s")
 _SIGN = re.compile(rf"{_OPEN}[ ]{{0,3}}(?:{_AT_WORDS}|{_DOT_WORDS}|[@.])[ ]{{0,3}}{_CLOSE}|[ ](?:{_DOT_WORDS})[ ]|(?<!\w){_WORD}[ -]{{1,3}}{_WORD}(?!\w)", re.I)
 
 
@@ -192,8 +202,9 @@ TRANSDUCERS: tuple[Callable[[Normalised], Normalised], ...] = (
 
 
 def disguised(text: str, known: list[Span]) -> list[Span]:
-    """Identifiers that only the normalised text shows, at their source places;
-    none that overlaps a known one of its kind."""
+    """Identifiers that only the normalised text shows, at their source places.
+    One that overlaps a known one of its kind is only taken if it is more of the
+    same unbroken string, as where a look-alike cut the known one short."""
     norm = Normalised.of(text)
     if norm.text is text and not _SIGN.search(text):
         return []
@@ -203,7 +214,9 @@ def disguised(text: str, known: list[Span]) -> list[Span]:
     for kind, low, high in plain(norm.text):
         start, end = int(norm.start[low]), int(norm.end[high - 1])
         if text[start:end] != norm.text[low:high]:
-            if not any(kind == other and start < b and a < end for other, a, b in known):
+            met = [(a, b) for other, a, b in known if kind == other and start < b and a < end]
+            whole = all(start <= a and b <= end for a, b in met) and (start, end) not in met
+            if not met or (whole and not _GAP.search(text, start, end)):
                 added.append((kind, start, end))
     return added
 
