@@ -27,6 +27,10 @@ QUERIES = {
     "edge_bc_lanes_weighted": lambda spark: g.edge_betweenness(tables.lanes(spark, FOLDER), weight="price"),
     "node_bc_relay_sample_64": lambda spark: g.node_betweenness(tables.relay(spark, FOLDER), k=64, seed=7),
     "node_bc_trade_sample_64": lambda spark: g.node_betweenness(tables.trade(spark, FOLDER), k=64, seed=7),
+    "node_bc_trade_sample_64_shuffled": lambda spark: g.node_betweenness(
+        tables.trade(spark, FOLDER), k=64, seed=7, limits=g.Limits(broadcast_arcs=0, hub_steps=200)
+    ),
+    "remove_3_edges_web": lambda spark: g.remove_edges(tables.web(spark, FOLDER), max_steps=3).trace,
     "components_places": lambda spark: g.connected_components(tables.places(spark, FOLDER)),
 }
 

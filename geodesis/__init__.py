@@ -29,6 +29,7 @@ from geodesis.sources.sinks import (
     write_node_scores,
 )
 from geodesis.sources.text import read_adjacency_list, read_edge_list, read_graph
+from geodesis.workspace import release_tables
 
 __all__ = [
     "EdgeRemoval",
@@ -49,6 +50,7 @@ __all__ = [
     "read_adjacency_list",
     "read_edge_list",
     "read_graph",
+    "release_tables",
     "remove_edges",
     "sample_vertices",
     "shortest_paths",

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 SETTING = "spark.checkpoint.dir"
 
 _local_base: str | None = None
+_roots: list[str] = []
 
 
 def _forget_local_base(path: str) -> None:
@@ -64,6 +65,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str = "run") -> None:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/geodesis-{label}-{uuid.uuid4().hex}"
+        _roots.append(self.root)
         self._schemas: dict[str, T.StructType] = {}
         self._parts: dict[str, list[int]] = {}
         self._rows: dict[tuple[str, int | None], int] = {}
@@ -158,11 +160,8 @@ class Workspace:
 
     def drop(self, *names: str) -> None:
         """Delete tables of this run that no result reads any more."""
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
         for name in names:
-            target = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            target.getFileSystem(conf).delete(target, True)
+            _delete(self.spark, self.path(name))
             self._schemas.pop(name, None)
             self._parts.pop(name, None)
             self._filed.pop(name, None)
@@ -171,6 +170,18 @@ class Workspace:
 
     def discard(self) -> None:
         """Delete the whole folder of this run once nothing reads it any more."""
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.root)
-        root.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(root, True)
+        _delete(self.spark, self.root)
+        if self.root in _roots:
+            _roots.remove(self.root)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release_tables(spark: SparkSession) -> None:
+    """Delete the tables of all calls made so far in this process, also of
+    failed ones. DataFrames they returned can no longer be read."""
+    while _roots:
+        _delete(spark, _roots.pop())

@@ -53,6 +53,8 @@ def test_karate(spark):
     found = edges_of(edges)
     assert len(found) == 78
     close({key: found[key] for key in KARATE_EDGES}, KARATE_EDGES)
+    exact = brute_force(range(1, 35), dict.fromkeys(KARATE, 1), False)[1]
+    close(found, {key: value / (34 * 33) for key, value in exact.items()})
 
 
 def test_karate_read_as_directed(spark):
@@ -157,13 +159,15 @@ def test_unusable_weights(spark, bad):
 def test_vanishing_weight(spark):
     rows = spark.createDataFrame([(0, 1, 1e18), (1, 2, 1.0)], "src long, dst long, weight double")
     with pytest.raises(ValueError):
-        g.shortest_paths(g.Graph.from_edges(rows), weight="weight")
+        graph = g.Graph.from_edges(rows)
+        g.shortest_paths(graph, graph.vertices, weight="weight")
 
 
 @pytest.mark.parametrize("limits", [None, g.Limits(broadcast_bytes=1)])
 def test_string_ids_and_missing_weights(spark, limits):
     rows = spark.createDataFrame([("b", "a", None), ("b", "c", 1.0), ("a", "c", 2.0)], "src string, dst string, km double")
-    found = g.shortest_paths(g.Graph.from_edges(rows), weight="km", limits=limits)
+    graph = g.Graph.from_edges(rows)
+    found = g.shortest_paths(graph, graph.vertices, weight="km", limits=limits)
     got = {(row.source, row.node): (row.dist, row.sigma) for row in found.collect()}
     assert got["a", "c"] == (2.0, 2.0)
     assert got["a", "b"] == (1.0, 1.0)
@@ -213,3 +217,33 @@ def test_against_sums_over_pairs(spark, directed, weighted, limits):
     half = 1 if directed else 2
     close(nodes_of(nodes), {key: value / half for key, value in exact_nodes.items()})
     close(edges_of(edges), {key: value / half for key, value in exact_edges.items()})
+
+
+def test_estimates_of_both_scores_from_one_traversal(ten):
+    nodes, edges = g.betweenness(ten, normalized=False, k=10, seed=1)
+    close(nodes_of(nodes), dict(enumerate(TEN_RAW)))
+    close(edges_of(edges), edges_of(g.edge_betweenness(ten, normalized=False)))
+
+
+def test_predecessors_need_no_way_back(spark, ten, monkeypatch):
+    from geodesis.operators import dependencies
+
+    def forbidden(*_):
+        raise AssertionError("a backward pass")
+
+    monkeypatch.setattr(dependencies, "gather_hops", forbidden)
+    monkeypatch.setattr(dependencies, "gather_weighted", forbidden)
+    source = spark.createDataFrame([(0,)], "id long")
+    for weight in (None, "weight"):
+        found = {(row.node, row.pred) for row in g.predecessors(ten, source, weight=weight).collect()}
+        assert (8, 0) in found and (2, 8) in found and (8, 9) not in found
+
+
+def test_tables_can_be_released(spark, ten):
+    from geodesis import workspace
+
+    scores = g.node_betweenness(ten)
+    assert scores.count() == 10 and workspace._roots
+    root = workspace._roots[-1]
+    g.release_tables(spark)
+    assert not workspace._roots and not workspace.Workspace(spark)._exists(root)

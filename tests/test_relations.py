@@ -92,3 +92,26 @@ def test_scores_as_sorted_text(spark, tmp_path):
     assert [row.value for row in spark.read.text(str(tmp_path / "e")).collect()] == ["(1, 3): 0.25", "(2, 10): 1.0"]
     with pytest.raises(ValueError):
         g.write_node_scores(nodes, str(tmp_path / "x"), "xml")
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_a_hub_with_a_third_of_all_edges_is_split(spark, monkeypatch, most):
+    from geodesis import graph as relations
+
+    monkeypatch.setattr(relations, "BROADCAST_HUBS", most)
+    rows = [(0, n) for n in range(1, 301)] + [(n, n + 1) for n in range(1, 600)]
+    graph = g.Graph.from_edges(spark.createDataFrame(rows, "src long, dst long"))
+    expected = {(u, w) for u, w in rows} | {(w, u) for u, w in rows}
+    frontier = spark.createDataFrame([(0,), (7,)], "id long")
+    found = g.neighbours(graph, frontier, block_size=20)
+    assert pairs(found) == {pair for pair in expected if pair[0] in (0, 7)}
+    listed = g.adjacency(graph, block_size=20)
+    blocks = listed.collect()
+    assert {(row.id, n) for row in blocks for n in row.neighbours} == expected
+    assert max(len(row.neighbours) for row in blocks) < 60
+
+
+def test_vertices_without_id_are_refused(spark):
+    edges = spark.createDataFrame([(1, 2)], "src long, dst long")
+    with pytest.raises(Exception, match="vertex without id"):
+        g.Graph.from_edges(edges, spark.createDataFrame([(None,)], "id long")).vertices.collect()
