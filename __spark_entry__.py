@@ -51,7 +51,7 @@ def _significant(frame: DataFrame, *names: str) -> DataFrame:
 
 
 def _scores(make, **options):
-    shown = _significant if options.get("normalized", True) else _rounded
+    shown = _significant if options.get("normalized", True) or "k" in options else _rounded
 
     def query(spark: SparkSession, folder: str) -> DataFrame:
         return shown(g.node_betweenness(make(spark, folder), **options), "centrality")
@@ -590,9 +590,9 @@ def oracle_sql() -> dict[str, str]:
         "node_bc_lanes_weighted_endpoints": _endpoint_sql(_LANES, _LENGTHS),
         "node_bc_tolls_weighted": _node_sql(_TOLLS, _LENGTHS),
         "node_bc_duty_weighted_shuffled": _node_sql(_DUTY, _LENGTHS),
-        "node_bc_relay_pivots_raw": _node_sql(_RELAY, factor="1.0", shown=_RAW, pivots=True),
+        "node_bc_relay_pivots_raw": _node_sql(_RELAY, factor="1.0", pivots=True),
         "node_bc_relay_pivots_endpoints": _endpoint_sql(_RELAY, factor=_PIVOT_SHARE, pivots=True),
-        "node_bc_trade_pivots_raw": _node_sql(_TRADE, factor=f"0.5 * {_N} / {PIVOTS}", shown=_RAW, pivots=True),
+        "node_bc_trade_pivots_raw": _node_sql(_TRADE, factor=f"0.5 * {_N} / {PIVOTS}", pivots=True),
         "node_bc_trade_pivots_shuffled": _pivot_sql(_TRADE),
         "node_bc_places": _node_sql(_PLACES),
         "node_bc_relay_pivots": _pivot_sql(_RELAY),
