@@ -10,6 +10,7 @@ fullest open one is closed.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from math import ceil
@@ -32,51 +33,86 @@ PACKERS = 20_000
 # Words a task remembers, and the longest of them in bytes.
 REMEMBERED = 400_000
 REMEMBERED_LENGTH = 48
+# Signs that may follow the letters of a word; none begins a contraction.
+SIGNS = ".,!?;:*$%&#|()-\""
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
+def _byte_marks() -> list[str]:
+    """The characters that stand for bytes in byte-level vocabularies: visible
+    ones for themselves, the others numbered from 256 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = {byte: 256 + k for k, byte in enumerate(sorted(set(range(256)) - set(visible)))}
+    return [chr(others.get(byte, byte)) for byte in range(256)]
+
+
+_MARKS = dict(enumerate(_byte_marks()))
+
+
 class WordTokens:
-    """Ids of texts for tokenizers that never join what white space parts."""
+    """Ids of texts for tokenizers that never join what white space parts.
+
+    Words are remembered. Where the tokenizer lowers case and keeps runs of
+    letters apart from other characters, so are the letters of a word: they go
+    to the merges directly, whatever signs follow them.
+    """
 
     def __init__(self, model: bytes) -> None:
         self.tokenizer = Tokenizer.from_buffer(model)
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.mark = min(added) if added else None
-        self.mark_text = added[self.mark].content if added else ""
-        self.added = [token.content for token in added.values()]
+        self.merges = self.tokenizer.model
         self._words: dict[bytes, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, words: set[bytes], store: dict[bytes, bytes]) -> None:
-        """Ids of many words from one call: a special token stands between them."""
-        decoded = {word: word.decode() for word in words}
-        plain = [word for word, text in decoded.items() if self.mark is not None and not any(x in text for x in self.added)]
-        for word in words.difference(plain):
-            store[word] = self._ids(decoded[word]).tobytes()
-        for at in range(0, len(plain), 20_000):
-            part = plain[at : at + 20_000]
-            ids = self._ids(self.mark_text.join([decoded[word] for word in part]))
-            marks = np.flatnonzero(ids == self.mark)
-            starts = np.concatenate(([0], marks + 1)).tolist()
-            raw = ids.tobytes()
-            for word, start, end in zip(part, starts, [*marks.tolist(), len(ids)]):
-                store[word] = raw[4 * start : 4 * end]
+        self._letters: dict[str, bytes] = {}
+        self._signs: dict[str, bytes] = {"": b""}
+        self.splits_letters = self._splits_letters(json.loads(model))
+
+    @staticmethod
+    def _splits_letters(settings: dict) -> bool:
+        """Whether normalising is NFC, white space and lower case alone, and a run
+        of letters and a run of signs are pieces of their own, taken as bytes."""
+        steps = (settings.get("normalizer") or {}).get("normalizers", [])
+        cuts = (settings.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if [step["type"] for step in steps] != ["NFC", "Replace", "Lowercase"] or [cut["type"] for cut in cuts] != ["Split", "ByteLevel"]:
+            return False
+        kinds = cuts[0]["pattern"].get("Regex", "").split("|")
+        plain = not cuts[1].get("add_prefix_space") and not cuts[1].get("use_regex")
+        signs = all(len(kind) in (2, 3) and kind[0] == "'" for kind in kinds[:-3])
+        return plain and signs and kinds[-3:] == ["[\\p{L}]+", "[\\p{N}]", "[^\\s\\p{L}\\p{N}]+"]
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, text: str) -> bytes:
+        letters = text.rstrip(SIGNS)
+        # Beyond these letters, composing and lower case are left to the tokenizer.
+        if self.splits_letters and letters.isalpha() and max(letters) < "\u0250" and (low := letters.lower()).isalpha():
+            found = self._letters.get(low)
+            if found is None:
+                tokens = self.merges.tokenize(low.encode().decode("latin-1").translate(_MARKS))
+                found = self._letters[low] = np.array([token.id for token in tokens], "<u4").tobytes()
+            signs = text[len(letters) :]
+            if signs not in self._signs:
+                if len(self._signs) > REMEMBERED:
+                    self._signs = {"": b""}
+                self._signs[signs] = self._ids(signs)
+            return found + self._signs[signs]
+        return self._ids(text)
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids of UTF-8 texts as little-endian unsigned 32-bit integers."""
         if len(self._words) > REMEMBERED:
             self._words.clear()
+        if len(self._letters) > REMEMBERED:
+            self._letters.clear()
         known = self._words
         cut = [text.split() for text in texts]
-        new = {word for words in cut for word in words if word not in known}
-        passing: dict[bytes, bytes] = {}
-        self._learn({word for word in new if len(word) <= REMEMBERED_LENGTH}, known)
-        self._learn({word for word in new if len(word) > REMEMBERED_LENGTH}, passing)
+        new = set().union(*cut).difference(known)
+        known.update({word: self._word(word.decode()) for word in new})
         for words in cut:
-            yield b"".join([known[word] if word in known else passing[word] for word in words])
+            yield b"".join(map(known.__getitem__, words))
+        for word in new:
+            if len(word) > REMEMBERED_LENGTH:
+                del known[word]
 
 
 _loaded: dict[int, WordTokens] = {}
@@ -150,6 +186,8 @@ class Packer:
         self.count = self.made = 0
 
     def place(self, length: int) -> tuple[int, int]:
+        if length > self.room:
+            raise ValueError(f"a piece of {length} does not fit into {self.room}")
         fits = self.free >> length
         if fits:
             space = length + (fits & -fits).bit_length() - 1
