@@ -12,9 +12,9 @@ it has grown to a bound; nothing is shuffled.
 from __future__ import annotations
 
 import zlib
-from collections import Counter, deque
+from collections import Counter
 from collections.abc import Iterator
-from math import log
+from math import inf, log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
 SPACE = "▁"
-NODES = 250_000
+NODES = 600_000
 # Longer pre-tokens share nothing worth keeping.
 SHARED_LENGTH = 256
 
@@ -41,62 +41,75 @@ def piece_scores(model: bytes) -> dict[str, float]:
 
 
 class Trie:
-    """Prefixes of pre-tokens with their best score and its number of pieces."""
+    """Prefixes of pre-tokens with their best score and its number of pieces.
+
+    A node also keeps the places from where to here a piece may still be under
+    way; only these are looked at when a node is added below it.
+    """
 
     def __init__(self, scores: dict[str, float], nodes: int = NODES) -> None:
-        self.scores, self.limit = scores, nodes
-        self.longest = max(map(len, scores), default=1)
+        self.limit = nodes
         # What has no piece goes as bytes, each worse than any piece.
         self.byte = min(scores.values(), default=0.0) - 10.0
+        self.begun = {piece[:size]: -inf for piece in scores for size in range(1, len(piece))} | scores
         self._clear()
 
     def _clear(self) -> None:
-        self.children: list[dict[str, int]] = [{}]
-        self.best: list[tuple[float, int]] = [(0.0, 0)]
-        self.ends: dict[str, int] = {}
-
-    def count(self, token: str) -> int:
-        """Pieces of the best division of a pre-token: highest score, then fewest."""
-        known = self.ends.get(token)
+        self.below: dict[int, int] = {}
+        self.score, self.pieces, self.open = [0.0], [0], [()]
+        self.ends: dict[bytes, int] = {}
+
+    def count(self, word: bytes) -> int:
+        """Pieces of the best division of a word, with the mark for the space
+        before it: highest score, then fewest."""
+        known = self.ends.get(word)
         if known is not None:
             return known
+        token = SPACE + word.decode()
         if len(token) > SHARED_LENGTH:
             return self._alone(token)
-        if len(self.best) > self.limit:
+        if len(self.score) > self.limit:
             self._clear()
+        below, score, pieces, opened = self.below, self.score, self.pieces, self.open
         node, path = 0, [0]
-        children, best, longest = self.children, self.best, self.longest
         for at, mark in enumerate(token):
-            follow = children[node].get(mark)
+            step = node << 21 | ord(mark)
+            follow = below.get(step)
             if follow is None:
-                follow = len(best)
-                children[node][mark] = follow
-                children.append({})
-                ways = [(best[path[start]], start) for start in range(max(0, at + 1 - longest), at + 1)]
-                best.append(self._forward(token, at, ways))
+                follow = below[step] = len(score)
+                best, fewest, alive = self._forward(token, at, score[node], pieces[node], opened[node], path, score, pieces)
+                score.append(best)
+                pieces.append(fewest)
+                opened.append(alive)
             node = follow
             path.append(node)
-        found = best[node][1]
-        self.ends[token] = found
-        return found
+        self.ends[word] = pieces[node]
+        return pieces[node]
 
-    def _forward(self, token: str, at: int, ways: list[tuple[tuple[float, int], int]]) -> tuple[float, int]:
-        """Score and pieces of the prefix up to ``at``, from those of shorter ones."""
-        (score, pieces), _ = ways[-1]
+    def _forward(self, token, at, best, fewest, alive, path, score, pieces) -> tuple[float, int, tuple[int, ...]]:
+        """Score, pieces and open places of the prefix up to ``at``, from those
+        of shorter ones; ``path`` has their places in ``score`` and ``pieces``."""
         width = len(token[at].encode())
-        top = (score + width * self.byte, -(pieces + width))
-        for (score, pieces), start in ways:
-            worth = self.scores.get(token[start : at + 1])
+        best, fewest = best + width * self.byte, fewest + width
+        begun, still = self.begun, []
+        for start in (*alive, at):
+            worth = begun.get(token[start : at + 1])
             if worth is not None:
-                top = max(top, (score + worth, -(pieces + 1)))
-        return top[0], -top[1]
+                still.append(start)
+                before = path[start]
+                whole = score[before] + worth
+                if whole > best or (whole == best and pieces[before] < fewest - 1):
+                    best, fewest = whole, pieces[before] + 1
+        return best, fewest, tuple(still)
 
     def _alone(self, token: str) -> int:
-        """The count of a pre-token of any length, remembering only the last prefixes."""
-        last = deque([(0.0, 0)], maxlen=self.longest)
+        """The count of a pre-token of any length, by itself."""
+        score, pieces, alive, path = [0.0], [0], (), range(len(token) + 1)
         for at in range(len(token)):
-            last.append(self._forward(token, at, list(zip(last, range(at + 1 - len(last), at + 1)))))
-        return last[-1][1]
+            best, fewest, alive = self._forward(token, at, score[at], pieces[at], alive, path, score, pieces)
+            score.append(best)
+            pieces.append(fewest)
+        return pieces[-1]
 
 
 _loaded: dict[int, Trie] = {}
@@ -132,7 +145,9 @@ def count_tokens(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
             for text in batch.column("text"):
                 found = Counter((text.as_py() or b"").split())
                 words.append(found.total())
-                tokens.append(sum(times * trie.count(SPACE + word.decode()) for word, times in found.items()))
+                known = trie.ends
+                counts = [(times, known.get(word) or trie.count(word)) for word, times in found.items()]
+                tokens.append(sum(times * count for times, count in counts))
             columns = [batch.column("doc_id"), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())]
             yield pa.record_batch(columns, ["doc_id", "n_words", "n_tokens"])
 
