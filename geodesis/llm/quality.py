@@ -19,8 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+_SYMBOLS = "[#*$%&|<>]"
+_VISIBLE = "[^\\x20\\x09-\\x0D]"
 _SPACE = "[\\x20\\x09-\\x0D]+"
 _MARKS = "([^\\p{L}\\p{N}\\x20\\x09-\\x0D]+)"
 
@@ -51,10 +51,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, _SPACE), "")
 
 
-def without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
-
-
 def _neighbours(name: str, make) -> Column:
     """``make(x, y)`` of every two neighbours of an array column. No lambda
     looks back at the whole array, so nothing is ever computed per element twice."""
@@ -85,13 +81,13 @@ def with_base(rows: DataFrame, rules: Rules) -> DataFrame:
     both = _neighbours("ordered", lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"])).otherwise(F.array().cast("array<int>")))
     covered = ordered.withColumn("covered", F.array_distinct(F.flatten(both)))
     positions = F.flatten(F.transform("covered", lambda i: F.array(*[i + k for k in range(width)])))
-    lines = F.filter(F.split("text", "\n"), lambda line: without(line, SPACES) != "")
+    lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(_VISIBLE))
     counted = (
         covered.withColumn("n_repeat_words", F.when(F.col("repeats"), F.size(F.array_distinct(positions))).otherwise(0).cast("long"))
         .withColumn("lines", lines)
         .withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
-        .withColumn("word_chars", F.length(without(F.col("text"), SPACES)).cast("long"))
-        .withColumn("n_symbols", (F.length("text") - F.length(without(F.col("text"), SYMBOLS))).cast("long"))
+        .withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
+        .withColumn("n_symbols", (F.length("text") - F.length(F.regexp_replace("text", _SYMBOLS, ""))).cast("long"))
         .drop("words", "hashes", "windows", "repeats", "ordered", "covered", "lines")
     )
     failed = (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.most_repeated * F.col("n_words"))
