@@ -134,29 +134,40 @@ def recurring_lines(docs: DataFrame, tree: Tree = Tree(), doc_id: str = "doc_id"
 
 
 def drop_recurring_lines(
-    docs: DataFrame, tree: Tree = Tree(), doc_id: str = "doc_id", text: str = "text", count: str | None = None
+    docs: DataFrame,
+    tree: Tree = Tree(),
+    doc_id: str = "doc_id",
+    text: str = "text",
+    count: str | None = None,
+    drop_emptied: bool = False,
 ) -> DataFrame:
     """``docs`` with the lines of recurring templates taken out of ``text`` in
     all documents but the first (the smallest doc_id) that has the template;
-    with ``count``, a further column of that name tells how many lines went.
-
-    Lines are parted by ``\\n``; the rest stay as they are and in order. A text
-    that loses all its lines is empty. Lines within one document do not recur.
-    Null texts, rows without doc_id and other columns are returned as they are;
-    rows that repeat a doc_id count as one document. An empty table gives an
-    empty result.
+    with ``count``, a further column of that name tells how many of them went.
+
+    Lines are parted by ``\\n``; the rest stay as they are and in order. If only
+    lines shorter than ``least_tokens`` would be left, the document says nothing
+    of its own: its text is empty, or the row goes with ``drop_emptied``. Lines
+    within one document do not recur. Null texts, rows without doc_id and other
+    columns are returned as they are; rows that repeat a doc_id count as one
+    document. An empty table gives an empty result.
     """
     lost = recurring_lines(docs, tree, doc_id, text)
     rows = docs.select(
         F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row")
     )
     body = F.col("row").getField(text)
-    kept = F.array_join(_without(F.split(body, "\n"), F.col("line_nos")), "\n")
-    fresh = F.when(F.col("line_nos").isNull(), body).otherwise(kept)
+    joined = rows.join(lost, "doc_id", "left")
+    joined = joined.withColumn("kept", F.when(F.col("line_nos").isNotNull(), _without(F.split(body, "\n"), F.col("line_nos"))))
+    tokens = lambda line: F.size(F.array_remove(F.split(line, "[\\x20\\x09-\\x0D]+"), ""))
+    own = F.exists("kept", lambda line: tokens(line) >= tree.least_tokens)
+    fresh = F.when(F.col("line_nos").isNull(), body).when(own, F.array_join("kept", "\n")).otherwise("")
     columns = [(fresh if name == text else F.col("row").getField(name)).alias(name) for name in docs.columns]
     if count:
         columns.append(F.coalesce(F.size("line_nos"), F.lit(0)).alias(count))
-    return rows.join(lost, "doc_id", "left").select(*columns)
+    if drop_emptied:
+        joined = joined.filter(F.col("line_nos").isNull() | own)
+    return joined.select(*columns)
 
 
 def _without(parts, numbers):

@@ -29,7 +29,7 @@ def odd_rows():
         8: " ".join(f"word{k % 977}" for k in range(40_000)),
         9: "Ünïcödé ßtraße 東京 🎉🎉 é  \x1c| ! don't   stop\n\n\nit's",
         10: prose + "\nAnother closing line with number 17 of them.",
-        11: "Entirely different words\nAnother closing line with number 93 of them.",
+        11: "Entirely different words here\nAnother closing line with number 93 of them.",
     }
     rows = [(key, text, "en" if key % 2 else None, True, 7, "w", "s", "l", "x") for key, text in texts.items()]
     rows.append(rows[0])
