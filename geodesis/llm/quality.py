@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geodesis.llm.sampling import lowest_hashes
+
 _SYMBOLS = "[#*$%&|<>]"
 _VISIBLE = "[^\\x20\\x09-\\x0D]"
 _SPACE = "[\\x20\\x09-\\x0D]+"
@@ -106,7 +108,7 @@ def with_grams(rows: DataFrame, rules: Rules) -> DataFrame:
 def trusted_ids(labels: DataFrame, rules: Rules, doc_id: str = "doc_id") -> DataFrame:
     """``doc_id`` of at most ``rules.trusted`` documents labelled as good and not toxic."""
     good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col(doc_id).cast("long").alias("doc_id"))
-    return good.filter("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.trusted)
+    return lowest_hashes(good.filter("doc_id IS NOT NULL").distinct(), "doc_id", rules.trusted)
 
 
 def ratios(docs: DataFrame, trusted: DataFrame, rules: Rules, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from geodesis.llm.sampling import lowest_hashes
 from geodesis.workspace import Workspace
 
 # Larger components are cut to this size, about four million before scaling.
@@ -258,9 +259,12 @@ def largest_products(
     seen = tables.save("codes", whole_vectors(vectors, scale, vec_id, vector), width=F.max(F.octet_length("code")))
     codes = tables.load("codes")
     width = (seen["width"] or 0) // 8
-    sample = codes.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sizes.sample).select("code").collect()
+    sample = lowest_hashes(codes, "vec_id", sizes.sample).select("code").collect()
     rotation = Rotation(_matrix([bytes(row["code"]) for row in sample], width))
-    heads = codes.orderBy(F.desc("length"), "vec_id").limit(sizes.heads).collect()
+    # About the longest; which ones they are only decides on the first bars.
+    above = max(0.0, 1 - sizes.heads / max(1, seen["rows"]))
+    long = codes.agg(F.percentile_approx("length", above)).first()[0]
+    heads = codes.filter(F.col("length") >= (long or 0.0)).limit(sizes.heads).collect()
     queries = codes.filter(is_query).groupBy("vec_id").agg(F.min_by("code", "code").alias("code"), F.first("length").alias("length"))
     asked = tables.save("queries", _first_bars(queries, heads, rotation, k), least=F.min(F.col("bar") / F.greatest("length", F.lit(1e-9))), low=F.min("bar"))
     groups = max(1, ceil(asked["rows"] / sizes.group))
