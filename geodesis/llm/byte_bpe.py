@@ -23,8 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Words a task remembers, and the longest of them.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 REMEMBERED_LENGTH = 64
+# Signs that may follow the letters of a word; none begins a contraction.
+SIGNS = ".,!?;:*$%&#|()-\""
 # Bytes of new words replayed together.
 REPLAYED = 4 << 20
 
@@ -39,6 +41,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+class _Numbers(dict):
+    """Numbers of strings in the order they are first asked for."""
+
+    def __init__(self) -> None:
+        self.order: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self.order)
+        self.order.append(key)
+        return number
+
+
 class Vocabulary:
     """Ranks and the pattern that cuts text into words."""
 
@@ -47,100 +61,200 @@ class Vocabulary:
         self.tokens = dict(zip(ranks.values(), ranks.keys()))
         self.single = np.array([ranks[bytes([x])] for x in range(256)], np.int64)
         self.pattern = regex.compile(pattern)
-        self._pairs: dict[int, int] = {}
+        self.top = max(ranks.values(), default=0) + 1
+        left, right, rank = self._joins()
+        self.after_token = self._segments(left, right, rank)
+        self.before_token = self._segments(right, left, rank)
+        self.bytes_joined = np.full((256, 256), -1)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.bytes_joined[token[0], token[1]] = rank
+        # Whether letters and signs are words of their own, with the space before them.
+        self.plain = all(kind in pattern.split("|") for kind in (r" ?\p{L}+", r" ?[^\s\p{L}\p{N}]+"))
         self._words: dict[str, bytes] = {}
-
-    def pair(self, left: int, right: int) -> int:
-        """Rank of what two tokens make together, or -1."""
-        key = left << 32 | right
-        found = self._pairs.get(key)
-        if found is None:
-            if len(self._pairs) > REMEMBERED:
-                self._pairs.clear()
-            found = self._pairs[key] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
-        return found
+        self._chunks, self._ids = _Numbers(), []
+
+    def _segments(self, token: np.ndarray, other: np.ndarray, rank: np.ndarray):
+        """For a token, what it joins with on one side and the ranks of that."""
+        order = np.lexsort((other, token))
+        starts = np.searchsorted(token[order], np.arange(self.top + 1)).tolist()
+        other, rank = other[order].astype(np.int32), rank[order].astype(np.int32)
+        return lambda at: (other[starts[at] : starts[at + 1]], rank[starts[at] : starts[at + 1]])
+
+    def _joins(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Left token, right token and rank of all two tokens that make a token."""
+        ranks = self.ranks
+        found = [
+            (left, right, rank)
+            for token, rank in ranks.items()
+            for at in range(1, len(token))
+            if (left := ranks.get(token[:at])) is not None and (right := ranks.get(token[at:])) is not None
+        ]
+        return tuple(np.array(found, np.int64).reshape(-1, 3).T)
 
     def replay(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of every word."""
+        """Ids of every word, all merges of a rank at a time."""
         if not words:
             return []
         lengths = np.array([len(word) for word in words])
         ends = np.cumsum(lengths)
-        ids = self.single[np.frombuffer(b"".join(words), np.uint8)]
-        size = len(ids)
-        symbol = ids.tolist()
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        size = len(raw)
         last = np.zeros(size, bool)
         last[ends[lengths > 0] - 1] = True
-        after = np.where(last, -1, np.arange(1, size + 1)).tolist()
-        before = np.where(np.concatenate(([True], last[:-1])), -1, np.arange(-1, size - 1)).tolist()
-        rank = [-1] * size
-        index: dict[int, list[int]] = {}
-        pair = self.pair
-        for at in np.flatnonzero(~last).tolist():
-            found = pair(symbol[at], symbol[at + 1])
-            if found >= 0:
-                rank[at] = found
-                index.setdefault(found, []).append(at)
-        heap = list(index)
+        places = np.arange(size, dtype=np.int32)
+        after = np.where(last, -1, places + 1).astype(np.int32)
+        before = np.where(np.concatenate(([True], last[:-1])), -1, places - 1).astype(np.int32)
+        symbol = self.single[raw].astype(np.int32)
+        rank = np.full(size, -1, np.int32)
+        rank[:-1] = self.bytes_joined[raw[:-1], raw[1:]]
+        rank[last] = -1
+        odd: list[np.ndarray] = []
+        low = 0
+        while low < self.top:
+            # Positions are indexed a range of ranks at a time; what merges bring
+            # for later ranks waits in `rank` until its range comes.
+            high = min(self.top, max(64, 2 * low) if low < 2048 else low + 2048)
+            placed = np.flatnonzero((rank >= low) & (rank < high))
+            low = high
+            if not len(placed):
+                continue
+            listed = rank[placed]
+            order = np.argsort(listed, kind="stable")
+            placed, listed = placed[order], listed[order]
+            cuts = np.flatnonzero(np.diff(listed)) + 1
+            index = {int(rank[spots[0]]): [spots] for spots in np.split(placed, cuts)}
+            heap = list(index)
+            heapify(heap)
+            while heap:
+                now = heappop(heap)
+                if (held := index.pop(now, None)) is not None:
+                    self._merge(now, held, high, symbol, after, before, rank, index, heap, odd)
+        stay = symbol >= 0
+        kept = np.concatenate(([0], np.cumsum(stay)))[np.concatenate(([0], ends))]
+        found = np.split(symbol[stay].astype("<u4"), kept[1:-1])
+        # Where a merge opened one of lower rank, the rest of the word comes after that.
+        for at in np.unique(np.searchsorted(ends, np.concatenate(odd), side="right")) if odd else ():
+            found[at] = self._alone(words[at])
+        return found
+
+    def _merge(self, now, held, high, symbol, after, before, rank, index, heap, odd) -> None:
+        """Merge the pairs of rank ``now`` at the positions ``held``, from left to
+        right, and index their neighbours of ranks below ``high``."""
+        spots = held[0] if len(held) == 1 else np.unique(np.concatenate(held))
+        spots = spots[rank[spots] == now]
+        if not len(spots):
+            return
+        gone = after[spots]
+        touching = np.flatnonzero(gone[:-1] == spots[1:])
+        if len(touching):
+            free = np.ones(len(spots), bool)
+            for at in touching.tolist():
+                free[at + 1] = not free[at]
+            spots, gone = spots[free], gone[free]
+        follow = after[gone]
+        inner = follow >= 0
+        # What a merge meets before the next one of its word is done as well.
+        met = np.where(inner, symbol[follow], -1)
+        symbol[spots] = now
+        symbol[gone] = -1
+        rank[gone] = -1
+        after[spots] = follow
+        before[follow[inner]] = spots[inner]
+        rank[spots] = -1
+        back = before[spots]
+        back = back[back >= 0]
+        rank[back] = -1
+        tokens, ranks = self.after_token(now)
+        if len(early := tokens[ranks < now]):
+            odd.append(spots[np.isin(met, early)])
+        news = []
+        for at, others, segment in ((spots[inner], follow[inner], self.after_token), (back, back, self.before_token)):
+            tokens, ranks = segment(now)
+            if len(tokens) and len(at):
+                near = symbol[others]
+                where = np.minimum(np.searchsorted(tokens, near), len(tokens) - 1)
+                hit = tokens[where] == near
+                if hit.any():
+                    at, made = at[hit], ranks[where[hit]]
+                    rank[at] = made
+                    if (sooner := made < now).any():
+                        odd.append(at[sooner])
+                    if (soon := made < high).any():
+                        news.append((at[soon], made[soon]))
+        for at, made in news:
+            order = np.argsort(made, kind="stable")
+            at, made = at[order], made[order]
+            cuts = np.flatnonzero(np.diff(made)) + 1
+            for part, found in zip(np.split(at, cuts), made[np.concatenate(([0], cuts))].tolist()):
+                if found in index:
+                    index[found].append(part)
+                else:
+                    index[found] = [part]
+                    heappush(heap, found)
+
+    def _alone(self, word: bytes) -> np.ndarray:
+        """Ids of one word, a merge at a time: the lowest rank first, then the
+        leftmost."""
+        part = [word[at : at + 1] for at in range(len(word))]
+        after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
+        rank = [self.ranks.get(a + b, -1) for a, b in zip(part, part[1:])] + [-1]
+        heap = [(found, at) for at, found in enumerate(rank) if found >= 0]
         heapify(heap)
         while heap:
-            now = heappop(heap)
-            spots = index.pop(now, None)
-            if spots is None:
+            found, at = heappop(heap)
+            if rank[at] != found:
                 continue
-            spots.sort()
-            for k, at in enumerate(spots):
-                if rank[at] != now:
-                    continue
-                gone = after[at]
-                follow = after[gone]
-                symbol[at], symbol[gone], after[at], rank[gone] = now, -1, follow, -1
-                sooner = False
-                if follow >= 0:
-                    before[follow] = at
-                    rank[at] = found = pair(now, symbol[follow])
-                    if found >= 0:
-                        if found not in index:
-                            heappush(heap, found)
-                        index.setdefault(found, []).append(at)
-                        sooner = found < now
-                else:
-                    rank[at] = -1
-                back = before[at]
-                if back >= 0:
-                    rank[back] = found = pair(symbol[back], now)
-                    if found >= 0:
-                        if found not in index:
-                            heappush(heap, found)
-                        index.setdefault(found, []).append(back)
-                        sooner = sooner or found < now
-                if sooner and k + 1 < len(spots):
-                    # A merge of lower rank goes before the rest of this one.
-                    index.setdefault(now, []).extend(spots[k + 1 :])
-                    heappush(heap, now)
-                    break
-        merged = np.array(symbol)
-        stay = merged >= 0
-        kept = np.concatenate(([0], np.cumsum(stay)))[np.concatenate(([0], ends))]
-        return np.split(merged[stay].astype("<u4"), kept[1:-1])
+            gone = after[at]
+            part[at] += part[gone]
+            part[gone], rank[gone], after[at] = b"", -1, after[gone]
+            if after[at] < len(word):
+                before[after[at]] = at
+            for left, right in ((at, after[at]), (before[at], at)):
+                if left >= 0:
+                    rank[left] = self.ranks.get(part[left] + part[right], -1) if right < len(word) else -1
+                    if rank[left] >= 0:
+                        heappush(heap, (rank[left], left))
+        return np.array([self.ranks[x] for x in part if x], "<u4")
+
+    def _pieces(self, chunk: str) -> list[str]:
+        """The words of a chunk. Letters with signs behind them, the common
+        case, are told apart without the pattern."""
+        letters = chunk.rstrip(SIGNS)
+        if letters[letters[:1] == " " :].isalpha() and self.plain:
+            return [letters, chunk[len(letters) :]] if len(letters) < len(chunk) else [letters]
+        return self.pattern.findall(chunk)
+
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks not met before."""
+        if len(self._words) > REMEMBERED:
+            self._words.clear()
+        words = self._words
+        pieces = [self._pieces(chunk) for chunk in chunks]
+        new = list(set().union(*pieces).difference(words))
+        words.update(zip(new, (ids.tobytes() for ids in self.replay([word.encode() for word in new]))))
+        found = [b"".join([words[piece] for piece in listed]) for listed in pieces]
+        for word in new:
+            if len(word) > REMEMBERED_LENGTH:
+                del words[word]
+        return found
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
-        if len(self._words) > REMEMBERED:
-            self._words.clear()
-        known = self._words
-        cut = [_BREAK.split(text) for text in texts]
-        new = list({chunk for chunks in cut for chunk in chunks if chunk not in known})
-        passing: dict[str, bytes] = {}
-        for at in self._portions(new):
-            pieces = [self.pattern.findall(chunk) for chunk in at]
-            words = list({piece for found in pieces for piece in found})
-            ids = dict(zip(words, (x.tobytes() for x in self.replay([word.encode() for word in words]))))
-            for chunk, found in zip(at, pieces):
-                store = known if len(chunk) <= REMEMBERED_LENGTH else passing
-                store[chunk] = b"".join([ids[piece] for piece in found])
-        for chunks in cut:
-            yield b"".join([known[chunk] if chunk in known else passing[chunk] for chunk in chunks])
+        if len(self._ids) > REMEMBERED:
+            self._chunks, self._ids = _Numbers(), []
+        chunks, ids = self._chunks, self._ids
+        cut = [list(map(chunks.__getitem__, _BREAK.split(text))) for text in texts]
+        new = chunks.order[len(ids) :]
+        for portion in self._portions(new):
+            ids.extend(self._learn(portion))
+        for numbers in cut:
+            yield b"".join(map(ids.__getitem__, numbers))
+        for number in range(len(ids) - len(new), len(ids)):
+            if len(chunks.order[number]) > REMEMBERED_LENGTH:
+                # What is long is not kept; its number is not used again.
+                del chunks[chunks.order[number]]
+                chunks.order[number], ids[number] = "", b""
 
     @staticmethod
     def _portions(chunks: list[str]) -> Iterator[list[str]]:
@@ -173,7 +287,7 @@ def _sent(spark: SparkSession, path: str):
     return hash(frozenset(ranks.items())), spark.sparkContext.broadcast(ranks)
 
 
-def _slices(column: pa.Array, size: int = 1 << 20) -> Iterator[list]:
+def _slices(column: pa.Array, size: int = 1 << 21) -> Iterator[list]:
     """Values of a column, about ``size`` characters at a time."""
     held, length = [], 0
     for value in column:
