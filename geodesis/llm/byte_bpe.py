@@ -1,12 +1,12 @@
 """Byte-level BPE of whole texts, encoded by a merge replay over many words at once.
 
 A task gathers the distinct words of a batch of texts that it has not met yet
-and lays them out as one chain of symbols. An index from the rank of a token
-pair to the positions where that pair stands is built once; the merges are then
-replayed in the order of their ranks, each at all its positions from left to
-right, and only the two neighbours of a merged pair enter the index anew. Words
-met before come from a bounded store, so a word is replayed once per task and
-not once per occurrence. Nothing is shuffled.
+and lays them out as one chain of symbols. An index leads from the rank of a
+token pair to the positions where that pair stands; the merges are replayed in
+the order of their ranks, each at all its positions from left to right, and only
+the two neighbours of a merged pair enter the index anew. Words met before come
+from a bounded store, so a word is not replayed for each of its occurrences.
+Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from functools import cached_property
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Words a task remembers, and the longest of them.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 REMEMBERED_LENGTH = 64
 # Signs that may follow the letters of a word; none begins a contraction.
 SIGNS = ".,!?;:*$%&#|()-\""
@@ -62,9 +63,6 @@ class Vocabulary:
         self.single = np.array([ranks[bytes([x])] for x in range(256)], np.int64)
         self.pattern = regex.compile(pattern)
         self.top = max(ranks.values(), default=0) + 1
-        left, right, rank = self._joins()
-        self.after_token = self._segments(left, right, rank)
-        self.before_token = self._segments(right, left, rank)
         self.bytes_joined = np.full((256, 256), -1)
         for token, rank in ranks.items():
             if len(token) == 2:
@@ -81,6 +79,17 @@ class Vocabulary:
         other, rank = other[order].astype(np.int32), rank[order].astype(np.int32)
         return lambda at: (other[starts[at] : starts[at + 1]], rank[starts[at] : starts[at + 1]])
 
+    @cached_property
+    def after_token(self):
+        left, right, rank = self._joins
+        return self._segments(left, right, rank)
+
+    @cached_property
+    def before_token(self):
+        left, right, rank = self._joins
+        return self._segments(right, left, rank)
+
+    @cached_property
     def _joins(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Left token, right token and rank of all two tokens that make a token."""
         ranks = self.ranks
