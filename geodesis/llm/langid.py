@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from geodesis.llm.sampling import SPARE
 from geodesis.workspace import Workspace
 
 UNKNOWN = "und"
@@ -188,11 +189,16 @@ def predict_languages(
         F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), learn.alias("learn")
     )
     usable = rows.filter("learn AND doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
-    # Ids only; the limit of a window is applied before its rows are moved.
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    numbered = usable.select("doc_id", "lang").withColumn("number", F.row_number().over(order))
+    # Ids only. Hashes above a share that surely holds enough are left out first,
+    # so no more than a few times `per_language` rows of a language meet.
+    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash"))
+    tables.save("sizes", ids.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("size")))
+    share = F.lit(SPARE * settings.per_language) / F.col("size")
+    low = ids.join(tables.load("sizes"), "lang").filter((F.col("hash") / 2.0**64 + 0.5) < share)
+    order = Window.partitionBy("lang").orderBy("hash", "doc_id")
+    numbered = low.select("doc_id", "lang", "hash").distinct().withColumn("number", F.row_number().over(order))
     tables.save("chosen", numbered.filter(F.col("number") <= settings.per_language))
-    chosen = tables.load("chosen").groupBy("doc_id", "lang").agg(F.min("number").alias("number"))
+    chosen = tables.load("chosen").select("doc_id", "lang", "number")
     texts = usable.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"])
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
