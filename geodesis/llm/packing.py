@@ -11,6 +11,7 @@ fullest open one is closed.
 from __future__ import annotations
 
 import json
+import struct
 import zlib
 from collections.abc import Iterator
 from math import ceil
@@ -85,11 +86,14 @@ class WordTokens:
     def _word(self, text: str) -> bytes:
         letters = text.rstrip(SIGNS)
         # Beyond these letters, composing and lower case are left to the tokenizer.
-        if self.splits_letters and letters.isalpha() and max(letters) < "\u0250" and (low := letters.lower()).isalpha():
+        low = letters.lower()
+        plain = letters.isascii() or (max(letters) < "\u0250" and low.isalpha())
+        if plain and self.splits_letters and letters.isalpha():
             found = self._letters.get(low)
             if found is None:
-                tokens = self.merges.tokenize(low.encode().decode("latin-1").translate(_MARKS))
-                found = self._letters[low] = np.array([token.id for token in tokens], "<u4").tobytes()
+                marks = low if low.isascii() else low.encode().decode("latin-1").translate(_MARKS)
+                ids = [token.id for token in self.merges.tokenize(marks)]
+                found = self._letters[low] = struct.pack(f"<{len(ids)}I", *ids)
             signs = text[len(letters) :]
             if signs not in self._signs:
                 if len(self._signs) > REMEMBERED:
