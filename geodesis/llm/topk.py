@@ -265,6 +265,7 @@ def largest_products(
     above = max(0.0, 1 - sizes.heads / max(1, seen["rows"]))
     long = codes.agg(F.percentile_approx("length", above)).first()[0]
     heads = codes.filter(F.col("length") >= (long or 0.0)).limit(sizes.heads).collect()
+    heads.sort(key=lambda row: -row["length"])
     queries = codes.filter(is_query).groupBy("vec_id").agg(F.min_by("code", "code").alias("code"), F.first("length").alias("length"))
     asked = tables.save("queries", _first_bars(queries, heads, rotation, k), least=F.min(F.col("bar") / F.greatest("length", F.lit(1e-9))), low=F.min("bar"))
     groups = max(1, ceil(asked["rows"] / sizes.group))
