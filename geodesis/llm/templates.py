@@ -140,6 +140,7 @@ def drop_recurring_lines(
     text: str = "text",
     count: str | None = None,
     drop_emptied: bool = False,
+    keep_short: bool = False,
 ) -> DataFrame:
     """``docs`` with the lines of recurring templates taken out of ``text`` in
     all documents but the first (the smallest doc_id) that has the template;
@@ -147,8 +148,9 @@ def drop_recurring_lines(
 
     Lines are parted by ``\\n``; the rest stay as they are and in order. If only
     lines shorter than ``least_tokens`` would be left, the document says nothing
-    of its own: its text is empty, or the row goes with ``drop_emptied``. Lines
-    within one document do not recur. Null texts, rows without doc_id and other
+    of its own: its text is empty, or the row goes with ``drop_emptied``. With
+    ``keep_short`` these lines stay like any other, and that holds only if no
+    line with a visible character is left. Lines within one document do not recur. Null texts, rows without doc_id and other
     columns are returned as they are; rows that repeat a doc_id count as one
     document. An empty table gives an empty result.
     """
@@ -160,7 +162,8 @@ def drop_recurring_lines(
     joined = rows.join(lost, "doc_id", "left")
     joined = joined.withColumn("kept", F.when(F.col("line_nos").isNotNull(), _without(F.split(body, "\n"), F.col("line_nos"))))
     tokens = lambda line: F.size(F.array_remove(F.split(line, "[\\x20\\x09-\\x0D]+"), ""))
-    own = F.exists("kept", lambda line: tokens(line) >= tree.least_tokens)
+    least = 1 if keep_short else tree.least_tokens
+    own = F.exists("kept", lambda line: tokens(line) >= least)
     fresh = F.when(F.col("line_nos").isNull(), body).when(own, F.array_join("kept", "\n")).otherwise("")
     columns = [(fresh if name == text else F.col("row").getField(name)).alias(name) for name in docs.columns]
     if count:
