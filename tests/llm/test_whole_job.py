@@ -2,10 +2,11 @@
 
 import random
 
+import brute
 import pytest
 
 import corpus_pipeline
-from geodesis.llm import queries
+from geodesis.llm import queries, similar
 
 FOOTER = "Another closing line with number %d of them."
 
@@ -39,3 +40,47 @@ def test_a_document_with_short_lines_of_its_own_stays(spark, folder):
     stage = dict(corpus_pipeline.STAGES)["line_dedup"]
     fewer = stage(spark, queries.table(spark, made, "documents"), made).collect()
     assert {row.doc_id: row.text for row in fewer} == {key: found[key].text for key in (1, 2, 3)}
+
+
+def plain_components(texts, width=5, percent=80):
+    """Smallest id reachable over pairs of similar texts, by comparing all."""
+    made = {}
+    for key, text in texts.items():
+        words = brute.words(text.lower())
+        made[key] = {tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))}
+    found = {key: key for key in texts}
+    for _ in texts:
+        before = dict(found)
+        for a in texts:
+            for b in texts:
+                if 100 * len(made[a] & made[b]) >= percent * len(made[a] | made[b]):
+                    found[a] = found[b] = min(found[a], found[b])
+        if found == before:
+            return found
+
+
+def test_near_copies_go_and_others_stay(spark, folder):
+    pick = random.Random(5)
+    texts = {}
+    for group in range(12):
+        words = [f"w{pick.randrange(10**6)}" for _ in range(pick.choice([30, 120, 400]))]
+        for _ in range(6):
+            key = len(texts) * 7 % 72
+            texts[key] = " ".join(words)
+            # Copies of copies: the ends of a chain are not similar to each other.
+            for _ in range(pick.choice([0, 1, len(words) // 50, len(words) // 25])):
+                words[pick.randrange(len(words))] = f"w{pick.randrange(10**6)}"
+    texts |= {100: "one two", 101: "One  TWO", 102: "one two three"}
+    expected = plain_components(texts)
+    assert 20 < len(set(expected.values())) < 60
+    made = folder(list(texts.items()))
+    single = dict(corpus_pipeline.STAGES)["near_dedup"](spark, queries.table(spark, made, "documents"), made)
+    assert {row.doc_id: row.text for row in single.collect()} == {key: texts[key] for key in set(expected.values())}
+
+
+def test_components_of_rows_without_words_or_id(spark):
+    rows = [(3, None), (2, " \n"), (1, ""), (None, "a b"), (4, "a b"), (4, "a b"), (5, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(row.doc_id, row.component_id) for row in similar.similar_documents(docs).collect()}
+    assert found == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)}
+    assert similar.drop_similar(docs).count() == 5 and similar.drop_similar(docs.limit(0)).count() == 0
