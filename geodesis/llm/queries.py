@@ -78,7 +78,7 @@ def _op5(spark: SparkSession, folder: str) -> DataFrame:
 
 def _op6(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return templates.drop_recurring_lines(docs, count="n_dropped", keep_short=True)
+    return templates.drop_recurring_lines(docs, templates.Tree(several=True), count="n_dropped", keep_short=True)
 
 
 def _op7(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,6 +8,13 @@ template; other fields vary. A line that agrees with the template in enough
 fields belongs to it, any other line is a template of its own. Templates met in
 two or more documents are dropped from all of them but the first.
 
+With ``Tree.several`` a leaf has more templates than that of its majority: two
+lines that agree in enough fields are of one template, whatever else is at the
+leaf. Lines that may differ in ``d`` fields agree in one of ``d + 1`` groups of
+fields, and meet in the cell of that group. Small cells compare their lines; in
+large ones a line is summed under each key that leaves out ``d`` more fields, and
+lines that agree in the others share a key. Either way finds the same lines.
+
 A text is read where it lies and leaves one short row of hashes per line. Lines
 are summed by their hash before anything else, so a very common one is a single
 row wherever lines meet, and leaf majorities are keyed counts: no leaf is ever
@@ -19,7 +26,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -28,6 +38,8 @@ from pyspark.sql import functions as F
 from geodesis.workspace import Workspace
 
 VARIABLE = b"<*>"
+# Lines of a cell that are compared with each other; larger cells use keys.
+CELL = 400
 _DIGIT = re.compile(rb"[0-9]")
 
 
@@ -43,6 +55,17 @@ class Tree:
     """Least share of fields that agree with the leaf's template."""
     least_tokens: int = 4
     """Shorter lines are left alone."""
+    several: bool = False
+    """Lines that agree in enough fields are a template also against a majority."""
+
+    def spare(self, count: int) -> int:
+        """How many of ``count`` fields may differ."""
+        return count - int(-(-self.similarity * count // 1))
+
+    def groups(self, count: int) -> list[range]:
+        """Fields in one group more than may differ."""
+        parts = self.spare(count) + 1
+        return [range(count * k // parts, count * (k + 1) // parts) for k in range(parts)]
 
 
 def line_keys(line: bytes, tree: Tree) -> tuple[int, int, list[int]] | None:
@@ -88,6 +111,90 @@ def line_table(docs: DataFrame, tree: Tree, doc_id: str = "doc_id", text: str =
     return rows.mapInArrow(read, "doc_id long, line_no int, leaf long, line long, fields array<int>")
 
 
+def _compared(tree: Tree):
+    """``line, low, high`` over the similar lines of each line, cell by cell."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+
+        def found(rows: list) -> pa.RecordBatch:
+            line, low, high = (np.array([row[k] for row in rows], np.int64) for k in (1, 2, 3))
+            fields = np.array([row[4] for row in rows], np.int32)
+            least = fields.shape[1] - tree.spare(fields.shape[1])
+            same = (fields[:, None, :] == fields[None, :, :]).sum(axis=2, dtype=np.int16) >= least
+            low = np.where(same, low[None, :], np.iinfo(np.int64).max).min(axis=1)
+            high = np.where(same, high[None, :], np.iinfo(np.int64).min).max(axis=1)
+            return pa.record_batch([pa.array(line), pa.array(low), pa.array(high)], ["line", "low", "high"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(name).to_pylist() for name in ("cell", "line", "low", "high", "fields"))):
+                if held and held[0][0] != row[0]:
+                    yield found(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield found(held)
+
+    return read
+
+
+@cache
+def _choices(tree: Tree, count: int, group: int) -> np.ndarray:
+    inside = tree.groups(count)[group]
+    return np.array(list(combinations([k for k in range(count) if k not in inside], tree.spare(count))))
+
+
+def _left_out(tree: Tree):
+    """``key, line, low, high``: a key for every choice of fields outside the
+    cell's group that a similar line may differ in."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell, group, line, low, high, fields in zip(
+                *(batch.column(name).to_pylist() for name in ("cell", "at", "line", "low", "high", "fields"))
+            ):
+                out = _choices(tree, len(fields), group)
+                hashed = [xxhash.xxh64_intdigest(b"%d %d" % (k, field)) for k, field in enumerate(fields)]
+                marks = [xxhash.xxh64_intdigest(b"%d out" % k) for k in range(len(fields))]
+                gone = np.array(marks, np.uint64) - np.array(hashed, np.uint64)
+                total = np.uint64((sum(hashed) + xxhash.xxh64_intdigest(b"%d" % cell)) % 2**64)
+                keys = (total + gone[out].sum(axis=1, dtype=np.uint64)).view(np.int64)
+                same = [pa.array(np.full(len(keys), value, np.int64)) for value in (line, low, high)]
+                yield pa.record_batch([pa.array(keys), *same], ["key", "line", "low", "high"])
+
+    return read
+
+
+def _similar_lines(lines: DataFrame, leaves: DataFrame, tables: Workspace, tree: Tree) -> DataFrame:
+    """``line, first`` of lines that have similar ones in two or more documents."""
+    count = F.size("fields")
+    shared = lines.join(leaves, "leaf")
+    cells = F.lit(None).cast("array<struct<at:int,cell:bigint>>")
+    for n in range(1, tree.fields + 1):
+        if tree.spare(n) > 0:
+            made = [
+                F.struct(F.lit(k).alias("at"), F.xxhash64("leaf", F.lit(k), F.slice("fields", g.start + 1, len(g))).alias("cell"))
+                for k, g in enumerate(tree.groups(n))
+            ]
+            cells = F.when(count == n, F.array(*made)).otherwise(cells)
+    dealt = shared.select("line", F.explode(cells).alias("to")).select("line", "to.at", "to.cell")
+    tables.save("dealt", dealt)
+    crowded = tables.load("dealt").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    tables.save("crowded", crowded)
+    met = tables.load("dealt").join(tables.load("crowded"), "cell").join(lines.select("line", "low", "high", "fields"), "line")
+    tables.save("met", met.select("cell", "at", "n", "line", "low", "high", "fields"))
+    few = tables.load("met").filter(F.col("n") <= CELL).repartition("cell").sortWithinPartitions("cell")
+    many = tables.load("met").filter(F.col("n") > CELL)
+    tables.save("keys", many.mapInArrow(_left_out(tree), "key long, line long, low long, high long"))
+    keys = tables.load("keys")
+    spans = keys.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    told = keys.select("key", "line").join(spans, "key").select("line", "low", "high")
+    told = told.unionByName(few.mapInArrow(_compared(tree), "line long, low long, high long"))
+    spans = told.groupBy("line").agg(F.min("low").alias("first"), F.max("high").alias("last"))
+    tables.save("similar", spans.filter("first < last").select("line", "first"))
+    return tables.load("similar")
+
+
 def recurring_lines(docs: DataFrame, tree: Tree = Tree(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, line_nos``: for every document that loses lines, which ones."""
     tables = Workspace(docs.sparkSession, "templates")
@@ -124,10 +231,13 @@ def recurring_lines(docs: DataFrame, tree: Tree = Tree(), doc_id: str = "doc_id"
     members = tables.load("members")
     spans = members.groupBy("leaf").agg(F.min("low").alias("first"), F.max("high").alias("last")).filter("first < last")
     tables.save("spans", spans)
-    # A line is dropped on the strength of its leaf's template or of itself.
+    # A line is dropped on the strength of its leaf's template, of itself, or of similar lines.
     general = members.join(tables.load("spans"), "leaf").select("line", "first")
     literal = lines.filter("low < high").select("line", F.col("low").alias("first"))
-    recurring = general.unionByName(literal).groupBy("line").agg(F.min("first").alias("first"))
+    found = general.unionByName(literal)
+    if tree.several:
+        found = found.unionByName(_similar_lines(lines, tables.load("leaves").select("leaf"), tables, tree))
+    recurring = found.groupBy("line").agg(F.min("first").alias("first"))
     tables.save("recurring", recurring)
     lost = read.select("doc_id", "line_no", "line").join(tables.load("recurring"), "line").filter("doc_id <> first")
     return lost.groupBy("doc_id").agg(F.collect_set("line_no").alias("line_nos"))

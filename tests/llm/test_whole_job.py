@@ -6,7 +6,7 @@ import brute
 import pytest
 
 import corpus_pipeline
-from geodesis.llm import queries, similar
+from geodesis.llm import queries, similar, templates
 
 FOOTER = "Another closing line with number %d of them."
 
@@ -84,3 +84,45 @@ def test_components_of_rows_without_words_or_id(spark):
     found = {(row.doc_id, row.component_id) for row in similar.similar_documents(docs).collect()}
     assert found == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)}
     assert similar.drop_similar(docs).count() == 5 and similar.drop_similar(docs.limit(0)).count() == 0
+
+
+def plain_first(lines, tree):
+    """``(doc, line) -> first`` where similar lines are in several documents, by
+    comparing all lines of a leaf."""
+    leaves = {}
+    for doc, line in lines:
+        tokens = line.split()
+        rest = tokens[tree.leading :]
+        count = min(tree.fields, len(rest))
+        cuts = [len(rest) * k // count for k in range(count + 1)]
+        leaf = leaves.setdefault((len(tokens), *tokens[: tree.leading]), [])
+        leaf.append((doc, line, [rest[a:b] for a, b in zip(cuts, cuts[1:])]))
+    found = {}
+    for leaf in leaves.values():
+        for doc, line, fields in leaf:
+            docs = {d for d, _, other in leaf if sum(map(list.__eq__, fields, other)) >= tree.similarity * len(fields)}
+            found[doc, line] = min(docs)
+    return found
+
+
+@pytest.mark.parametrize("cell", [400, 3])
+def test_several_templates_of_one_leaf(spark, folder, monkeypatch, cell):
+    monkeypatch.setattr(templates, "CELL", cell)
+    pick = random.Random(7)
+    word = lambda: "".join(pick.choices("abcdefgh", k=6))
+    made = [
+        lambda: f"You can also read the story of {word()} in our old paper",
+        lambda: f"You can also write to the mayor of {word()} or call us",
+        lambda: "You can also " + " ".join(word() for _ in range(9)),
+        lambda: f"All pages of {word()} are kept " + "on this long list of many things we do not " * 2 + f"want to {word()} again",
+        lambda: "All pages of " + " ".join(word() for _ in range(pick.choice([5, 14, 25]))),
+    ]
+    rows = [(key, pick.choice(made)()) for key in range(90)]
+    first = plain_first(rows, templates.Tree())
+    lost = {key for key, line in rows if first[key, line] != key}
+    assert 30 < len(lost) < 60
+    docs = folder(rows)
+    found = queries.queries()["op6_line_templates"](spark, docs).collect()
+    assert {row.doc_id for row in found if row.n_dropped} == lost
+    fewer = dict(corpus_pipeline.STAGES)["line_dedup"](spark, queries.table(spark, docs, "documents"), docs)
+    assert {row.doc_id for row in fewer.collect()} == {key for key, _ in rows} - lost
