@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geodesis.llm import (
+    alignment,
     byte_bpe,
+    exact,
     langid,
     packing,
     pii,
+    prefixes,
     quality,
     simhash,
     templates,
@@ -22,6 +25,7 @@ from geodesis.llm import (
 )
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 QUERY_STEP = 50
@@ -103,6 +107,18 @@ def _op10(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), WORD_TOKENIZER)
 
 
+def _op11(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align_tokens(table(spark, folder, "documents"), BYTE_TOKENIZER, PIECE_MODEL)
+
+
+def _op12(spark: SparkSession, folder: str) -> DataFrame:
+    return prefixes.prefix_trie(table(spark, folder, "conversations"), arranged=prefixes.with_shared_starts)
+
+
+def _op13(spark: SparkSession, folder: str) -> DataFrame:
+    return exact.find_copies(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": _op1,
@@ -115,6 +131,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": _op8,
         "op9_largest_products": _op9,
         "op10_packing": _op10,
+        "op11_alignment": _op11,
+        "op12_prefixes": _op12,
+        "op13_exact": _op13,
     }
 
 
@@ -133,6 +152,51 @@ def _rules_sql() -> str:
     return f"CASE{cases} END AS rule), judged AS (SELECT *, CASE rule{verdicts} END AS ruled FROM ruled)"
 
 
+# CRC-32 by its table of 256 remainders; 3988292384 is the reversed polynomial.
+_PREFIXES_SQL = """
+  WITH remainders AS (
+    SELECT list(list_reduce(list_concat([n], [0, 0, 0, 0, 0, 0, 0, 0]),
+                            lambda c, x: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) ORDER BY n) AS rest
+    FROM (SELECT CAST(range AS BIGINT) AS n FROM range(256))),
+  given AS (
+    SELECT conv_id, turn, octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '') AS shown,
+           len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words
+    FROM conversations WHERE conv_id IS NOT NULL),
+  placed AS (
+    SELECT conv_id, md5(shown) AS id, words,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(shown)) AS place
+    FROM given),
+  taking AS (
+    SELECT conv_id, xor(list_reduce(
+             list_concat([4294967295], list_transform(range(1, len(CAST(conv_id AS VARCHAR)) + 1),
+                                                      lambda i: CAST(ord(substr(CAST(conv_id AS VARCHAR), i, 1)) AS BIGINT))),
+             lambda c, b: xor(rest[xor(c, b) % 256 + 1], c // 256)), 4294967295) % 4 AS h
+    FROM (SELECT DISTINCT conv_id FROM placed), remainders),
+  gathered AS (
+    SELECT t.conv_id, p.place, p.id, p.words FROM taking t JOIN placed p ON p.conv_id = t.conv_id - t.conv_id % 20 AND p.place <= h
+    UNION ALL SELECT t.conv_id, p.place + 4, p.id, p.words FROM taking t JOIN placed p ON p.conv_id = t.conv_id AND p.place > h),
+  turns AS (SELECT conv_id, id, words, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS depth FROM gathered),
+  paths AS MATERIALIZED (
+    SELECT conv_id, depth, words, string_agg(id, '') OVER (PARTITION BY conv_id ORDER BY depth) AS node FROM turns
+    UNION ALL SELECT conv_id, 0, 0, '' FROM taking),
+  lengths AS (SELECT conv_id, max(depth) AS total FROM paths GROUP BY conv_id),
+  nodes AS MATERIALIZED (
+    SELECT node, any_value(depth) AS depth, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs,
+           coalesce(string_agg(CASE WHEN depth = total THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '') AS ends
+    FROM paths JOIN lengths USING (conv_id) GROUP BY node),
+  children AS (
+    SELECT substr(node, 1, len(node) - 32) AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+  below AS (SELECT DISTINCT p.node AS node, q.node AS lower FROM paths p JOIN paths q ON p.conv_id = q.conv_id AND p.depth <= q.depth),
+  sums AS (
+    SELECT below.node, count(*) FILTER (WHERE c.node IS NULL) AS n_leaves,
+           CAST(sum((n.n_convs - 1) * n.words) AS BIGINT) AS saved_tokens
+    FROM below JOIN nodes n ON n.node = below.lower LEFT JOIN children c ON c.node = below.lower GROUP BY below.node)
+  SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens,
+         sha256(n.ends) AS ends_sha256
+  FROM nodes n JOIN sums USING (node) LEFT JOIN children c ON c.node = n.node
+  LEFT JOIN nodes p ON n.depth > 0 AND p.node = substr(n.node, 1, len(n.node) - 32)"""
+
+
 def oracle_sql() -> dict[str, str]:
     terms = urls.Terms()
     cut = "CASE WHEN position('://' IN u) > 0 THEN substr(u, position('://' IN u) + 3) ELSE '' END"
@@ -163,4 +227,12 @@ def oracle_sql() -> dict[str, str]:
   ranked AS (
     SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
   SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+        "op12_prefixes": _PREFIXES_SQL,
+        "op13_exact": """
+  WITH read AS (
+    SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+    FROM documents)
+  SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+         doc_id = max(doc_id) OVER same AS kept, sha256(low) AS text_sha256
+  FROM read WINDOW same AS (PARTITION BY low)""",
     }

@@ -1,6 +1,8 @@
 """Plain versions of the operators, and rows that are hard on them."""
 
+import hashlib
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -117,3 +119,70 @@ def top_products(vectors, step, k=5):
             scored = sorted((-int(own @ other), key) for key, other in codes if key != query)
             found[query] = [(key, -score) for score, key in scored[:k]]
     return found
+
+
+def aligned(texts, tokens):
+    """``n_a, n_b, groups, links`` of each text, token by token."""
+    found = []
+    for text in texts:
+        ((a, b),) = tokens.encode([text])
+        spans = []
+        for ids, parts in ((a, tokens.bytes_a), (b, tokens.bytes_b)):
+            at, own = 0, []
+            for k in ids:
+                own.append((at, at + len(parts[k]), k))
+                at += len(parts[k])
+            spans.append(own)
+        borders = sorted({x[1] for x in spans[0]} & {x[1] for x in spans[1]})
+        groups = []
+        for low, high in zip([0, *borders], borders):
+            sides = [",".join(str(k) for start, end, k in own if low < end <= high) for own in spans]
+            groups.append("|".join(sides))
+        links = [(x[2], y[2]) for x in spans[0] for y in spans[1] if x[0] < y[1] and y[0] < x[1]]
+        found.append((len(a), len(b), groups, links))
+    return found
+
+
+def rebuilt(rows, every=20, most=4):
+    """``conv_id -> turns`` from rows ``conv_id, turn, role, text``."""
+    own = {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            tie = hashlib.md5(f"{len(role.encode())}:{role}{text}".encode()).digest()
+            own.setdefault(conv, []).append((turn is not None, turn or 0, tie, role, text))
+    turns = {conv: [x[3:] for x in sorted(rows)] for conv, rows in own.items()}
+    found = {}
+    for conv, given in turns.items():
+        taken = zlib.crc32(str(conv).encode()) % most
+        found[conv] = turns.get(conv - conv % every, [])[:taken] + given[taken:]
+    return found
+
+
+def prefix_nodes(conversations):
+    """Rows as of the operator from ``conv_id -> turns``."""
+    members = {}
+    for conv, turns in conversations.items():
+        for depth in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:depth]), []).append(conv)
+    below = {}
+    for node in members:
+        for depth in range(len(node) + 1):
+            below.setdefault(node[:depth], []).append(node)
+    children = Counter(node[:-1] for node in members if node)
+    found = set()
+    for node, own in members.items():
+        ends = ",".join(str(conv) for conv in sorted(own) if len(conversations[conv]) == len(node))
+        found.add(
+            (
+                min(own),
+                len(node),
+                min(members[node[:-1]]) if node else None,
+                len(own),
+                children[node],
+                sum(not children[x] for x in below[node]),
+                sum((len(members[x]) - 1) * len(words(x[-1][1])) for x in below[node] if x),
+                hashlib.sha256(ends.encode()).hexdigest(),
+            )
+        )
+    return found

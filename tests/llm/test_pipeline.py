@@ -56,7 +56,7 @@ def test_run_gives_the_last_stage(spark):
 
 def test_every_operator_is_registered():
     names = [name for name in entry.queries() if re.match(r"op\d+_", name)]
-    assert [int(name[2:].split("_")[0]) for name in names] == list(range(1, 11))
+    assert [int(name[2:].split("_")[0]) for name in names] == list(range(1, 14))
 
 
 def test_queries_read_by_name_and_agree_with_sql(spark):
