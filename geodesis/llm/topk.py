@@ -26,10 +26,10 @@ from pyspark.sql.window import Window
 from geodesis.llm.sampling import lowest_hashes
 from geodesis.workspace import Workspace
 
-# Larger components are cut to this size, about four million before scaling.
-LARGEST = 1 << 30
 # Whole numbers are exact in doubles up to here.
 EXACT = 1 << 52
+# Stands for a score that no long can hold, and is refused if it is to be returned.
+BEYOND = (1 << 63) - 1
 
 
 @dataclass(frozen=True)
@@ -49,6 +49,10 @@ class Sizes:
     """Candidates of a block."""
 
 
+# Queries that a block is held against at once: 32 MB of bounds with a full block.
+ASKED = 4096
+
+
 def _codes(batch: pa.RecordBatch, scale: int) -> Iterator[tuple[int, np.ndarray]]:
     """Ids and whole-number vectors of the rows that take part."""
     for key, vector in zip(batch.column("vec_id").to_pylist(), batch.column("vector")):
@@ -56,7 +60,10 @@ def _codes(batch: pa.RecordBatch, scale: int) -> Iterator[tuple[int, np.ndarray]
             continue
         values = vector.values.to_numpy(zero_copy_only=False).astype(np.float64)
         if np.isfinite(values).all():
-            yield key, np.clip(np.floor(scale * values), -LARGEST, LARGEST)
+            whole = np.floor(scale * values)
+            if not np.isfinite(whole).all():
+                raise ValueError(f"a component of vector {key} is too large for a double once it is scaled")
+            yield key, whole
 
 
 def whole_vectors(vectors: DataFrame, scale: int, vec_id: str, vector: str) -> DataFrame:
@@ -70,12 +77,12 @@ def whole_vectors(vectors: DataFrame, scale: int, vec_id: str, vector: str) -> D
                 [
                     pa.array([key for key, _ in rows], pa.int64()),
                     pa.array([x.astype("<f8").tobytes() for _, x in rows], pa.binary()),
-                    pa.array([float(np.sqrt(x @ x)) for _, x in rows], pa.float64()),
+                    pa.array([float(_lengths(x[None, :])[0]) for _, x in rows], pa.float64()),
                 ],
                 ["vec_id", "code", "length"],
             )
 
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
+    rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("vector"))
     return rows.mapInArrow(read, "vec_id long, code binary, length double")
 
 
@@ -89,19 +96,30 @@ def _matrix(codes: list[bytes], width: int) -> np.ndarray:
     return made
 
 
+def _lengths(vectors: np.ndarray) -> np.ndarray:
+    """Euclidean lengths, also where squares are beyond a double."""
+    with np.errstate(over="ignore"):
+        found = np.sqrt((vectors**2).sum(axis=1))
+    for k in np.flatnonzero(~np.isfinite(found)):
+        most = np.abs(vectors[k]).max()
+        found[k] = min(most * np.sqrt(((vectors[k] / most) ** 2).sum()), np.finfo(float).max)
+    return found
+
+
 class Rotation:
     """Axes in the order of how much of the vectors lies along them."""
 
     def __init__(self, sample: np.ndarray) -> None:
         width = sample.shape[1]
         self.width = width
-        self.axes = np.linalg.svd(sample, full_matrices=len(sample) < width)[2].T if len(sample) else np.eye(width)
+        most = np.abs(sample).max(initial=1.0)
+        self.axes = np.linalg.svd(sample / most, full_matrices=len(sample) < width)[2].T if len(sample) else np.eye(width)
         self.front = max(1, width // 4) if width else 0
 
     def parts(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first rotated components, and the length of the rest."""
         turned = vectors @ self.axes
-        return turned[:, : self.front], np.sqrt((turned[:, self.front :] ** 2).sum(axis=1))
+        return turned[:, : self.front], _lengths(turned[:, self.front :])
 
 
 class Best:
@@ -110,7 +128,7 @@ class Best:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, rotation: Rotation, bars: np.ndarray, k: int) -> None:
         self.ids, self.vectors, self.k = ids, vectors, k
         self.front, self.rest = rotation.parts(vectors)
-        self.length = np.sqrt((vectors**2).sum(axis=1))
+        self.length = _lengths(vectors)
         self.rotation, self.bars = rotation, bars
         self.query = np.zeros(0, np.int64)
         self.found = np.zeros(0, np.int64)
@@ -118,36 +136,46 @@ class Best:
 
     def wanted(self, longest: float) -> np.ndarray:
         """Queries that a vector of that length may still matter to."""
-        return np.flatnonzero(self.length * longest * (1 + 1e-9) + 1e-6 >= self.bars)
+        # A bound beyond a double, or none at all, leaves nothing out.
+        with np.errstate(over="ignore", invalid="ignore"):
+            return np.flatnonzero(~(self.length * longest * (1 + 1e-9) + 1e-6 < self.bars))
 
     def offer(self, ids: np.ndarray, vectors: np.ndarray) -> bool:
         """Take in a block; False if neither it nor shorter vectors matter."""
-        lengths = np.sqrt((vectors**2).sum(axis=1))
-        asked = self.wanted(lengths.max())
-        if not len(asked):
+        lengths = _lengths(vectors)
+        wanted = self.wanted(lengths.max())
+        if not len(wanted):
             return False
         front, rest = self.rotation.parts(vectors)
-        bound = self.front[asked] @ front.T + np.outer(self.rest[asked], rest)
-        slack = 1e-9 * np.outer(self.length[asked], lengths) + 1e-6
-        near = (bound + slack >= self.bars[asked, None]) & (self.ids[asked, None] != ids[None, :])
-        q, x = np.nonzero(near)
-        if not len(q):
-            return True
-        q = asked[q]
-        score = self._scores(q, x, vectors)
-        good = score >= self.bars[q]
-        self._merge(q[good], ids[x[good]], score[good])
+        for at in range(0, len(wanted), ASKED):
+            asked = wanted[at : at + ASKED]
+            with np.errstate(over="ignore", invalid="ignore"):
+                bound = self.front[asked] @ front.T + np.outer(self.rest[asked], rest)
+                bound += 1e-9 * np.outer(self.length[asked], lengths) + 1e-6
+            near = ~(bound < self.bars[asked, None]) & (self.ids[asked, None] != ids[None, :])
+            q, x = np.nonzero(near)
+            if len(q):
+                q = asked[q]
+                score = self._scores(q, x, vectors, lengths)
+                good = score >= self.bars[q]
+                self._merge(q[good], ids[x[good]], score[good])
         return True
 
-    def _scores(self, q: np.ndarray, x: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    def _scores(self, q: np.ndarray, x: np.ndarray, vectors: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(q), np.int64)
         if not self.vectors.shape[1]:
-            return np.zeros(len(q), np.int64)
-        if self.length.max() * np.sqrt((vectors**2).sum(axis=1)).max() < EXACT:
-            parts = [np.einsum("ij,ij->i", self.vectors[q[a : a + 65536]], vectors[x[a : a + 65536]]) for a in range(0, len(q), 65536)]
-            return np.concatenate(parts).astype(np.int64)
-        whole, other = self.vectors.astype(np.int64).astype(object), vectors.astype(np.int64).astype(object)
-        most = (1 << 63) - 1
-        return np.array([max(-most, min(most, int(whole[a] @ other[b]))) for a, b in zip(q, x)], np.int64)
+            return found
+        with np.errstate(over="ignore"):
+            exact = self.length[q] * lengths[x] < EXACT
+        plain = np.flatnonzero(exact)
+        for at in range(0, len(plain), 65536):
+            k = plain[at : at + 65536]
+            found[k] = np.einsum("ij,ij->i", self.vectors[q[k]], vectors[x[k]])
+        # Doubles cannot hold these sums: whole numbers of any size do.
+        for k in np.flatnonzero(~exact):
+            score = sum(int(a) * int(b) for a, b in zip(self.vectors[q[k]].tolist(), vectors[x[k]].tolist()))
+            found[k] = max(-BEYOND, min(BEYOND, score))
+        return found
 
     def _merge(self, q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
         if not len(q):
@@ -249,10 +277,11 @@ def largest_products(
 
     Rows without id, null vectors and vectors that hold a null or a number that
     is not finite take no part. Vectors of different lengths are compared as if
-    filled up with zeros; components are cut to ``LARGEST`` in size. Rows with
-    the query's id are its own; other repeated rows count as often as they
-    occur, a repeated query once. An empty table gives an empty result; other
-    columns are not looked at.
+    filled up with zeros. Scores are exact whatever the size of components; a
+    score to be returned that no long can hold fails, and so does a component
+    that no double can hold once it is scaled. Rows with the query's id are its
+    own; other repeated rows count as often as they occur, a repeated query once.
+    An empty table gives an empty result; other columns are not looked at.
     """
     spark = vectors.sparkSession
     tables = Workspace(spark, "topk")
@@ -280,8 +309,10 @@ def largest_products(
     right = codes.filter(F.col("length") >= short).select(
         every(groups).alias("group"), of("vec_id", chunks).alias("chunk"), F.lit(1).alias("kind"), "vec_id", "code", "length", F.lit(None).cast("double").alias("bar")
     )
-    cells = left.unionByName(right).repartition(max(1, groups * chunks), "group", "chunk")
+    cells = left.unionByName(right).repartitionById(groups * chunks, F.col("group") * chunks + F.col("chunk"))
     ordered = cells.sortWithinPartitions("group", "chunk", "kind", F.desc("length"), "vec_id")
     found = ordered.mapInArrow(_cells(rotation, k, sizes.block), "query_id long, vec_id long, score long")
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    score = F.when(F.col("score").isin(BEYOND, -BEYOND), F.raise_error(F.lit("a score is too large for a long"))).otherwise(F.col("score"))
+    ranked = found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", score.cast("long").alias("score"))
