@@ -10,10 +10,18 @@ two or more documents are dropped from all of them but the first.
 
 With ``Tree.several`` a leaf has more templates than that of its majority: two
 lines that agree in enough fields are of one template, whatever else is at the
-leaf. Lines that may differ in ``d`` fields agree in one of ``d + 1`` groups of
+leaf, and members of the leaf's template only go if they agree in enough fields
+with its first one. Lines are gone through by their first document, so to speak: a line goes if
+one like it stays in an earlier document, and stays otherwise. So every line that
+goes has its like in what is left, also along chains of lines each of which is
+only like the next. Rounds find this for all lines at once: in each, a line whose
+earliest like is known to stay goes, and one without an earlier like stays.
+
+Lines that may differ in ``d`` fields agree in one of ``d + 1`` groups of
 fields, and meet in the cell of that group. Small cells compare their lines; in
 large ones a line is summed under each key that leaves out ``d`` more fields, and
-lines that agree in the others share a key. Either way finds the same lines.
+lines that agree in the others share a key. Either way finds the same lines. What
+the leaf's template has taken meets no more.
 
 A text is read where it lies and leaves one short row of hashes per line. Lines
 are summed by their hash before anything else, so a very common one is a single
@@ -54,7 +62,11 @@ class Tree:
     similarity: float = 0.8
     """Least share of fields that agree with the leaf's template."""
     least_tokens: int = 4
-    """Shorter lines are left alone."""
+    """Shorter lines are at no leaf; they only recur if they are exactly repeated."""
+    least_points: int = 20
+    """Code points from which on a line of few tokens counts like any other."""
+    short_documents: int = 10
+    """Least number of documents in which a shorter one recurs."""
     several: bool = False
     """Lines that agree in enough fields are a template also against a majority."""
 
@@ -68,15 +80,20 @@ class Tree:
         return [range(count * k // parts, count * (k + 1) // parts) for k in range(parts)]
 
 
-def line_keys(line: bytes, tree: Tree) -> tuple[int, int, list[int]] | None:
+def line_keys(line: bytes, tree: Tree) -> tuple[int | None, int, list[int]] | None:
     """Hashes of a line's leaf, of the whole line, and of its fields; None for
-    lines that are left alone."""
+    blank lines. Lines of few tokens are hashed as they are and have no leaf."""
     tokens = line.split()
+    signed = lambda x: x - (x >> 63 << 64)
     if len(tokens) < tree.least_tokens:
-        return None
+        if not tokens:
+            return None
+        whole = b" ".join(tokens)
+        # Very short ones are marked by the lowest bit.
+        long = len(whole.decode()) >= tree.least_points
+        return None, signed(xxhash.xxh64_intdigest(b"short " + whole) & ~1 | (not long)), []
     if _DIGIT.search(line):
         tokens = [VARIABLE if _DIGIT.search(token) else token for token in tokens]
-    signed = lambda x: x - (x >> 63 << 64)
     lead = b" ".join(tokens[: tree.leading])
     leaf = signed(xxhash.xxh64_intdigest(b"%d %s" % (len(tokens), lead)))
     whole = signed(xxhash.xxh64_intdigest(b" ".join(tokens)))
@@ -88,46 +105,49 @@ def line_keys(line: bytes, tree: Tree) -> tuple[int, int, list[int]] | None:
 
 
 def line_table(docs: DataFrame, tree: Tree, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, line_no, leaf, line, fields`` of every line that takes part."""
+    """``doc_id, body, line_no, leaf, line, fields`` of every line that is not
+    blank; ``body`` is a hash of the text."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "line_no", "leaf", "line", "fields"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+        names = ["doc_id", "body", "line_no", "leaf", "line", "fields"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
         for batch in batches:
             columns: list[list] = [[] for _ in names]
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            for key, body, text in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist(), batch.column("text")):
                 for number, line in enumerate(text.as_py().split(b"\n")):
                     found = line_keys(line, tree)
                     if found is not None:
-                        for column, value in zip(columns, (key, number, *found)):
+                        for column, value in zip(columns, (key, body, number, *found)):
                             column.append(value)
                 if len(columns[0]) >= 50_000:
                     yield pa.record_batch([pa.array(x, kind) for x, kind in zip(columns, kinds)], names)
                     columns = [[] for _ in names]
             yield pa.record_batch([pa.array(x, kind) for x, kind in zip(columns, kinds)], names)
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    own = F.col(f"`{text}`").cast("string")
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), own.cast("binary").alias("text"), F.xxhash64(own).alias("body"))
     rows = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    return rows.mapInArrow(read, "doc_id long, line_no int, leaf long, line long, fields array<int>")
+    return rows.mapInArrow(read, "doc_id long, body long, line_no int, leaf long, line long, fields array<int>")
 
 
 def _compared(tree: Tree):
-    """``line, low, high`` over the similar lines of each line, cell by cell."""
+    """``line, low, lead`` over the similar lines of each line, cell by cell: the
+    first of them, by document and then by hash."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
 
         def found(rows: list) -> pa.RecordBatch:
-            line, low, high = (np.array([row[k] for row in rows], np.int64) for k in (1, 2, 3))
-            fields = np.array([row[4] for row in rows], np.int32)
+            rows = sorted(rows, key=lambda row: (row[2], row[1]))
+            line, low = (np.array([row[k] for row in rows], np.int64) for k in (1, 2))
+            fields = np.array([row[3] for row in rows], np.int32)
             least = fields.shape[1] - tree.spare(fields.shape[1])
             same = (fields[:, None, :] == fields[None, :, :]).sum(axis=2, dtype=np.int16) >= least
-            low = np.where(same, low[None, :], np.iinfo(np.int64).max).min(axis=1)
-            high = np.where(same, high[None, :], np.iinfo(np.int64).min).max(axis=1)
-            return pa.record_batch([pa.array(line), pa.array(low), pa.array(high)], ["line", "low", "high"])
+            lead = same.argmax(axis=1)
+            return pa.record_batch([pa.array(line), pa.array(low[lead]), pa.array(line[lead])], ["line", "low", "lead"])
 
         for batch in batches:
-            for row in zip(*(batch.column(name).to_pylist() for name in ("cell", "line", "low", "high", "fields"))):
+            for row in zip(*(batch.column(name).to_pylist() for name in ("cell", "line", "low", "fields"))):
                 if held and held[0][0] != row[0]:
                     yield found(held)
                     held = []
@@ -145,30 +165,28 @@ def _choices(tree: Tree, count: int, group: int) -> np.ndarray:
 
 
 def _left_out(tree: Tree):
-    """``key, line, low, high``: a key for every choice of fields outside the
-    cell's group that a similar line may differ in."""
+    """``key, line, low``: a key for every choice of fields outside the cell's
+    group that a similar line may differ in."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cell, group, line, low, high, fields in zip(
-                *(batch.column(name).to_pylist() for name in ("cell", "at", "line", "low", "high", "fields"))
-            ):
+            for cell, group, line, low, fields in zip(*(batch.column(name).to_pylist() for name in ("cell", "at", "line", "low", "fields"))):
                 out = _choices(tree, len(fields), group)
                 hashed = [xxhash.xxh64_intdigest(b"%d %d" % (k, field)) for k, field in enumerate(fields)]
                 marks = [xxhash.xxh64_intdigest(b"%d out" % k) for k in range(len(fields))]
                 gone = np.array(marks, np.uint64) - np.array(hashed, np.uint64)
                 total = np.uint64((sum(hashed) + xxhash.xxh64_intdigest(b"%d" % cell)) % 2**64)
                 keys = (total + gone[out].sum(axis=1, dtype=np.uint64)).view(np.int64)
-                same = [pa.array(np.full(len(keys), value, np.int64)) for value in (line, low, high)]
-                yield pa.record_batch([pa.array(keys), *same], ["key", "line", "low", "high"])
+                same = [pa.array(np.full(len(keys), value, np.int64)) for value in (line, low)]
+                yield pa.record_batch([pa.array(keys), *same], ["key", "line", "low"])
 
     return read
 
 
-def _similar_lines(lines: DataFrame, leaves: DataFrame, tables: Workspace, tree: Tree) -> DataFrame:
-    """``line, first`` of lines that have similar ones in two or more documents."""
+def _leads(lines: DataFrame, tables: Workspace, tree: Tree) -> DataFrame:
+    """``line, first``, the first similar line of each as ``low, line``, for the
+    lines that have others at their leaf in a cell."""
     count = F.size("fields")
-    shared = lines.join(leaves, "leaf")
     cells = F.lit(None).cast("array<struct<at:int,cell:bigint>>")
     for n in range(1, tree.fields + 1):
         if tree.spare(n) > 0:
@@ -177,38 +195,81 @@ def _similar_lines(lines: DataFrame, leaves: DataFrame, tables: Workspace, tree:
                 for k, g in enumerate(tree.groups(n))
             ]
             cells = F.when(count == n, F.array(*made)).otherwise(cells)
-    dealt = shared.select("line", F.explode(cells).alias("to")).select("line", "to.at", "to.cell")
+    dealt = lines.select("line", F.explode(cells).alias("to")).select("line", "to.at", "to.cell")
     tables.save("dealt", dealt)
     crowded = tables.load("dealt").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     tables.save("crowded", crowded)
-    met = tables.load("dealt").join(tables.load("crowded"), "cell").join(lines.select("line", "low", "high", "fields"), "line")
-    tables.save("met", met.select("cell", "at", "n", "line", "low", "high", "fields"))
+    met = tables.load("dealt").join(tables.load("crowded"), "cell").join(lines.select("line", "low", "fields"), "line")
+    tables.save("met", met.select("cell", "at", "n", "line", "low", "fields"))
+    tables.drop("dealt", "crowded")
     few = tables.load("met").filter(F.col("n") <= CELL).repartition("cell").sortWithinPartitions("cell")
     many = tables.load("met").filter(F.col("n") > CELL)
-    tables.save("keys", many.mapInArrow(_left_out(tree), "key long, line long, low long, high long"))
+    tables.save("keys", many.mapInArrow(_left_out(tree), "key long, line long, low long"))
     keys = tables.load("keys")
-    spans = keys.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    told = keys.select("key", "line").join(spans, "key").select("line", "low", "high")
-    told = told.unionByName(few.mapInArrow(_compared(tree), "line long, low long, high long"))
-    spans = told.groupBy("line").agg(F.min("low").alias("first"), F.max("high").alias("last"))
-    tables.save("similar", spans.filter("first < last").select("line", "first"))
-    return tables.load("similar")
-
-
-def recurring_lines(docs: DataFrame, tree: Tree = Tree(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, line_nos``: for every document that loses lines, which ones."""
+    firsts = keys.groupBy("key").agg(F.min(F.struct("low", "line")).alias("first"))
+    told = keys.select("key", "line").join(firsts, "key").select("line", "first")
+    near = few.mapInArrow(_compared(tree), "line long, low long, lead long")
+    near = near.select("line", F.struct("low", F.col("lead").alias("line")).alias("first"))
+    tables.save("leads", told.unionByName(near).groupBy("line").agg(F.min("first").alias("first")))
+    tables.drop("met", "keys")
+    return tables.load("leads")
+
+
+def _similar_lines(lines: DataFrame, tables: Workspace, tree: Tree) -> DataFrame:
+    """``line, low, first`` of lines that go because one like them stays in
+    document ``first``, from ``line, low, leaf, fields, stays``."""
+    tables.save("alive_0", lines.withColumn("settled", F.col("stays")))
+    gone, done = None, 0
+    while True:
+        alive = tables.load(f"alive_{done}")
+        leads = _leads(alive, tables, tree)
+        # A line that meets no other is its own first; lines of one document are no likes.
+        open_lines = alive.filter("NOT settled").join(leads, "line", "left")
+        own = F.struct("low", "line")
+        tables.save("asked", open_lines.select("line", "low", F.coalesce("first", own).alias("first")))
+        asked = tables.load("asked")
+        staying = alive.filter("settled").select("line").unionByName(asked.filter("first.low = low").select("line"))
+        told = asked.filter("first.low < low").join(staying.select(F.col("line").alias("lead")), F.col("first.line") == F.col("lead"), "left_semi")
+        name = f"gone_{done}"
+        lost = tables.save(name, told.select("line", "low", F.col("first.low").alias("first")))["rows"]
+        gone = tables.load(name) if gone is None else gone.unionByName(tables.load(name))
+        tables.save("staying", staying)
+        left = alive.drop("settled").join(tables.load(name).select("line"), "line", "left_anti")
+        left = left.join(tables.load("staying").withColumn("settled", F.lit(True)), "line", "left")
+        left = left.withColumn("settled", F.coalesce("settled", F.lit(False)))
+        rest = left.filter("NOT settled").select("leaf").distinct()
+        done += 1
+        tables.save(f"alive_{done}", left.join(rest, "leaf", "left_semi"))
+        tables.drop(f"alive_{done - 1}", "leads", "asked", "staying")
+        if not lost or not tables.rows(f"alive_{done}"):
+            tables.drop(f"alive_{done}")
+            return gone
+
+
+def recurring_lines(
+    docs: DataFrame, tree: Tree = Tree(), doc_id: str = "doc_id", text: str = "text", parts: DataFrame | None = None
+) -> DataFrame:
+    """``doc_id, body, line_nos``: for every text that loses lines, which ones;
+    ``body`` is a hash of the text. With ``parts``, ``doc_id, part``, documents of
+    one part count as one document."""
     tables = Workspace(docs.sparkSession, "templates")
-    tables.save("read", line_table(docs, tree, doc_id, text))
+    read = line_table(docs, tree, doc_id, text)
+    if parts is None:
+        read = read.withColumn("part", F.col("doc_id"))
+    else:
+        named = parts.select("doc_id", "part").dropDuplicates(["doc_id"])
+        read = read.join(named, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+    tables.save("read", read)
     read = tables.load("read")
     lines = read.groupBy("line").agg(
-        F.min("doc_id").alias("low"),
-        F.max("doc_id").alias("high"),
+        F.min("part").alias("low"),
+        F.max("part").alias("high"),
         F.first("leaf").alias("leaf"),
         F.first("fields").alias("fields"),
     )
     tables.save("lines", lines)
     lines = tables.load("lines")
-    leaves = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    leaves = lines.filter("leaf IS NOT NULL").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     tables.save("leaves", leaves)
 
     # Only leaves with several different lines have a template of their own.
@@ -225,22 +286,40 @@ def recurring_lines(docs: DataFrame, tree: Tree = Tree(), doc_id: str = "doc_id"
         lines.join(tables.load("made"), "leaf")
         .filter(F.size("fields") > 0)
         .filter(agreed >= F.ceil(F.lit(tree.similarity) * F.size("fields")))
-        .select("line", "leaf", "low", "high")
+        .select("line", "leaf", "low", "high", "fields")
     )
-    tables.save("members", members)
+    if tree.several:
+        # The first member stands for the template: those that are not like it stay apart.
+        stands = members.groupBy("leaf").agg(F.min(F.struct("low", "line", "fields")).alias("stand"))
+        alike = F.zip_with("fields", "stand.fields", lambda x, y: F.when(x == y, 1).otherwise(0))
+        alike = F.aggregate(alike, F.lit(0), lambda acc, x: acc + x)
+        members = members.join(stands, "leaf").filter(alike >= F.ceil(F.lit(tree.similarity) * F.size("fields")))
+    tables.save("members", members.select("line", "leaf", "low", "high"))
     members = tables.load("members")
     spans = members.groupBy("leaf").agg(F.min("low").alias("first"), F.max("high").alias("last")).filter("first < last")
     tables.save("spans", spans)
-    # A line is dropped on the strength of its leaf's template, of itself, or of similar lines.
-    general = members.join(tables.load("spans"), "leaf").select("line", "first")
-    literal = lines.filter("low < high").select("line", F.col("low").alias("first"))
-    found = general.unionByName(literal)
+    tables.save("general", members.join(tables.load("spans"), "leaf").select("line", "low", "first"))
+    general = tables.load("general")
+    tables.drop("made", "members", "spans")
+    # A line is dropped on the strength of its leaf's template, of itself, or of a similar line.
+    literal = lines.filter("low < high").filter("leaf IS NOT NULL OR line % 2 = 0").select("line", F.col("low").alias("first"))
+    found = general.select("line", "first").unionByName(literal)
+    # Very short lines need more documents.
+    short = read.filter("leaf IS NULL AND line % 2 <> 0").select("line", "part").distinct()
+    short = short.groupBy("line").agg(F.min("part").alias("first"), F.count(F.lit(1)).alias("n"))
+    found = found.unionByName(short.filter(F.col("n") >= tree.short_documents).select("line", "first"))
     if tree.several:
-        found = found.unionByName(_similar_lines(lines, tables.load("leaves").select("leaf"), tables, tree))
+        # What a template has taken is out; the lines that stand for it stay.
+        taken = general.select("line", (F.col("low") == F.col("first")).alias("stays"))
+        alive = lines.join(tables.load("leaves").select("leaf"), "leaf").join(taken, "line", "left")
+        alive = alive.filter("stays IS NULL OR stays").select("line", "low", "leaf", "fields", F.coalesce("stays", F.lit(False)).alias("stays"))
+        found = found.unionByName(_similar_lines(alive, tables, tree).select("line", "first"))
     recurring = found.groupBy("line").agg(F.min("first").alias("first"))
     tables.save("recurring", recurring)
-    lost = read.select("doc_id", "line_no", "line").join(tables.load("recurring"), "line").filter("doc_id <> first")
-    return lost.groupBy("doc_id").agg(F.collect_set("line_no").alias("line_nos"))
+    lost = read.select("doc_id", "part", "body", "line_no", "line").join(tables.load("recurring"), "line").filter("part <> first")
+    tables.save("lost", lost.groupBy("doc_id", "body").agg(F.collect_set("line_no").alias("line_nos")))
+    tables.drop("read", "lines", "leaves", "general", "recurring")
+    return tables.load("lost")
 
 
 def drop_recurring_lines(
@@ -251,25 +330,34 @@ def drop_recurring_lines(
     count: str | None = None,
     drop_emptied: bool = False,
     keep_short: bool = False,
+    parts: DataFrame | None = None,
 ) -> DataFrame:
     """``docs`` with the lines of recurring templates taken out of ``text`` in
     all documents but the first (the smallest doc_id) that has the template;
     with ``count``, a further column of that name tells how many of them went.
 
-    Lines are parted by ``\\n``; the rest stay as they are and in order. If only
-    lines shorter than ``least_tokens`` would be left, the document says nothing
-    of its own: its text is empty, or the row goes with ``drop_emptied``. With
-    ``keep_short`` these lines stay like any other, and that holds only if no
-    line with a visible character is left. Lines within one document do not recur. Null texts, rows without doc_id and other
-    columns are returned as they are; rows that repeat a doc_id count as one
-    document. An empty table gives an empty result.
+    Lines are parted by ``\\n``; the rest stay as they are and in order. Lines of
+    fewer than ``least_tokens`` tokens only go as exact repeats: found in two
+    documents if they have ``least_points`` code points, otherwise in
+    ``short_documents``. If only lines shorter than ``least_tokens`` would be left,
+    the document says nothing of its own: its text is empty, or the row goes with
+    ``drop_emptied``. With ``keep_short`` these lines stay like any other, and that
+    holds only if no line with a visible character is left. Lines within one
+    document do not recur; with ``parts`` (``doc_id, part``), neither do lines
+    within the documents of one part, such as a document and its near copies, and
+    the part with the smallest number is the first. Null texts, rows without doc_id
+    and other columns are returned as they are; rows that repeat a doc_id count as
+    one document, and each loses the lines found in its own text. An empty table
+    gives an empty result.
     """
-    lost = recurring_lines(docs, tree, doc_id, text)
+    lost = recurring_lines(docs, tree, doc_id, text, parts)
     rows = docs.select(
-        F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row")
+        F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
+        F.xxhash64(F.col(f"`{text}`").cast("string")).alias("body"),
+        F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"),
     )
     body = F.col("row").getField(text)
-    joined = rows.join(lost, "doc_id", "left")
+    joined = rows.join(lost, ["doc_id", "body"], "left")
     joined = joined.withColumn("kept", F.when(F.col("line_nos").isNotNull(), _without(F.split(body, "\n"), F.col("line_nos"))))
     tokens = lambda line: F.size(F.array_remove(F.split(line, "[\\x20\\x09-\\x0D]+"), ""))
     least = 1 if keep_short else tree.least_tokens

@@ -247,45 +247,67 @@ def test_scores_agree_with_plain_counts(spark):
 # -- line templates -----------------------------------------------------------
 
 
-def plain_template_drop(docs, tree):
-    """The rule over strings, without hashes: ``(doc, line number)`` that go."""
-    lines, owners = {}, defaultdict(set)
+def plain_template_drop(docs, tree, part_of=None):
+    """The rule over strings, without hashes: ``(doc, line number)`` that go.
+    ``part_of`` tells which documents count as one."""
+    lines, owners, hashed = {}, defaultdict(set), {}
     for key, text in docs.items():
         for number, line in enumerate((text or "").split("\n")):
-            tokens = ["<*>" if re.search("[0-9]", token) else token for token in brute.words(line)]
-            if len(tokens) >= tree.least_tokens:
-                rest = tokens[tree.leading :]
-                count = min(tree.fields, len(rest))
-                cuts = [len(rest) * k // count for k in range(count + 1)]
-                fields = tuple(" ".join(rest[a:b]) for a, b in zip(cuts, cuts[1:]))
-                whole = " ".join(tokens)
-                lines[whole] = ((len(tokens), *tokens[: tree.leading]), fields)
-                owners[whole].add((key, number))
+            tokens = brute.words(line)
+            if len(tokens) < tree.least_tokens:
+                if tokens:
+                    owners["short", " ".join(tokens)].add((key, number))
+                continue
+            tokens = ["<*>" if re.search("[0-9]", token) else token for token in tokens]
+            rest = tokens[tree.leading :]
+            count = min(tree.fields, len(rest))
+            cuts = [len(rest) * k // count for k in range(count + 1)]
+            fields = tuple(" ".join(rest[a:b]) for a, b in zip(cuts, cuts[1:]))
+            whole = " ".join(tokens)
+            lines[whole] = ((len(tokens), *tokens[: tree.leading]), fields)
+            hashed[whole] = templates.line_keys(line.encode(), tree)[1]
+            owners[whole].add((key, number))
+    part = lambda key: (part_of or {}).get(key, key)
+    parts = {whole: {part(key) for key, _ in at} for whole, at in owners.items()}
+    low = {whole: min(found) for whole, found in parts.items()}
     leaves = defaultdict(list)
     for whole, (leaf, fields) in lines.items():
         leaves[leaf].append((whole, fields))
-    first = {}
+    first, enough = {}, lambda fields: -(-tree.similarity * len(fields) // 1)
     for members in leaves.values():
+        if len(members) < 2:
+            continue
         held = [Counter(column).most_common(1)[0] for column in zip(*(fields for _, fields in members))]
-        if len(members) > 1:
-            made = [value if 2 * n > len(members) else None for value, n in held]
-            same = [whole for whole, fields in members if sum(a == b for a, b in zip(fields, made)) >= -(-tree.similarity * len(fields) // 1)]
-            docs_of = {key for whole in same for key, _ in owners[whole]}
-            if len(docs_of) > 1:
-                first |= {whole: min(docs_of) for whole in same}
-        for whole, _ in members:
-            docs_of = {key for key, _ in owners[whole]}
-            if len(docs_of) > 1:
-                first[whole] = min(first.get(whole, min(docs_of)), min(docs_of))
-    return {at for whole, keep in first.items() for at in owners[whole] if at[0] != keep}
-
-
-def left_over(key, text, gone, tree):
+        made = [value if 2 * n > len(members) else None for value, n in held]
+        same = [whole for whole, fields in members if sum(a == b for a, b in zip(fields, made)) >= enough(fields)]
+        if tree.several and same:
+            stand = lines[min(same, key=lambda whole: (low[whole], hashed[whole]))][1]
+            same = [whole for whole in same if sum(map(str.__eq__, lines[whole][1], stand)) >= enough(stand)]
+        taken = {}
+        if len(set().union(*(parts[whole] for whole in same))) > 1:
+            taken = dict.fromkeys(same, min(low[whole] for whole in same))
+        first |= taken
+        stay = [(whole, fields) for whole, fields in members if taken.get(whole) == low[whole]]
+        for whole, fields in sorted(members, key=lambda x: low[x[0]]) if tree.several else ():
+            if whole not in taken:
+                likes = [low[x] for x, other in stay if low[x] < low[whole] and sum(map(str.__eq__, fields, other)) >= enough(fields)]
+                if likes:
+                    first[whole] = min(likes)
+                else:
+                    stay.append((whole, fields))
+    for whole, found in parts.items():
+        short = isinstance(whole, tuple) and len(whole[1]) < tree.least_points
+        if len(found) >= (tree.short_documents if short else 2):
+            first[whole] = min(first.get(whole, low[whole]), low[whole])
+    return {at for whole, keep in first.items() for at in owners[whole] if part(at[0]) != keep}
+
+
+def left_over(key, text, gone, tree, least=None):
     """What a text is without its lines that go; None as it was."""
     if text is None or not any(at[0] == key for at in gone):
         return text
     stay = [line for number, line in enumerate(text.split("\n")) if (key, number) not in gone]
-    return "\n".join(stay) if any(len(brute.words(line)) >= tree.least_tokens for line in stay) else ""
+    return "\n".join(stay) if any(len(brute.words(line)) >= (least or tree.least_tokens) for line in stay) else ""
 
 
 def test_templates_agree_with_the_rule_over_strings(spark):
@@ -295,6 +317,8 @@ def test_templates_agree_with_the_rule_over_strings(spark):
         lambda: f"Terms of use apply to {pick.choice(['this', 'that', 'every', 'any'])} page and all parts of it without exception whatsoever today",
         lambda: " ".join(pick.choices("the of and to in".split(), k=pick.randrange(3, 9))),
         lambda: "short line",
+        lambda: f"short line {pick.randrange(9)}",
+        lambda: f"一二三四五六七八九十一二三四五六七八九{pick.randrange(20)}",
         lambda: "",
     ]
     docs = {k: "\n".join(pick.choice(made)() for _ in range(pick.randrange(6))) for k in range(120)}
@@ -428,7 +452,30 @@ def test_products_of_few_uneven_and_huge_vectors(spark):
     run = lambda rows: [tuple(row) for row in topk.largest_products(spark.createDataFrame(rows, kind), F.col("vec_id") == 0).collect()]
     assert run([]) == [] and run([(0, [1.0])]) == []
     assert run([(0, [1.0, 1.0]), (1, [1.0]), (2, [1.0]), (2, [1.0]), (3, [])]) == [(0, 1, 1, 65536), (0, 2, 2, 65536), (0, 3, 2, 65536), (0, 4, 3, 0)]
-    assert run([(0, [1e6] * 3), (1, [1e6] * 3), (2, [1e300])]) == [(0, 1, 2, 256 * 10**6 << 30), (0, 2, 1, 3 * (256 * 10**6) ** 2)]
+    assert run([(0, [1.0]), (1, [1e7]), (2, [2e7])]) == [(0, 1, 2, 1_310_720_000_000), (0, 2, 1, 655_360_000_000)]
+    large = [(0, [3e6, 1.0, 0.0]), (1, [2e7, -1 / 256, 1e300]), (2, [2e7, 0.0, -1e300]), (3, [2e7 + 1 / 256, 0.0, 0.0])]
+    scores = {key: 768 * 10**6 * int(256 * x[0]) + 256 * int(256 * x[1]) for key, x in large[1:]}
+    assert max(scores.values()) > 1 << 53 and run(large) == [(0, 1, 3, scores[3]), (0, 2, 2, scores[2]), (0, 3, 1, scores[1])]
+    with pytest.raises(Exception, match="too large for a long"):
+        run([(0, [1e6] * 3), (1, [1e6] * 3), (2, [1e300])])
+    with pytest.raises(Exception, match="too large for a double"):
+        run([(0, [1.0]), (1, [1e307])])
+    # What does not fit is no matter where it is not returned.
+    many = [(0, [1e9, 1.0])] + [(key, [0.0, float(key)]) for key in range(1, 8)] + [(9, [-1e300, 0.0])]
+    assert [row[2] for row in run(many)] == [7, 6, 5, 4, 3]
+
+
+def test_a_full_group_of_queries_is_held_against_a_block_in_slices():
+    import tracemalloc
+
+    make = np.random.default_rng(1)
+    vectors = make.integers(-300, 300, (65_536, 16)).astype(float)
+    best = topk.Best(np.arange(len(vectors)), vectors, topk.Rotation(vectors[:100]), np.full(len(vectors), -np.inf), 5)
+    tracemalloc.start()
+    best.bars[:] = 4e5
+    assert best.offer(np.arange(1 << 20, (1 << 20) + 1024), vectors[:1024])
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
 
 
 # -- packing ------------------------------------------------------------------

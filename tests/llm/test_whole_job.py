@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from geodesis.llm import queries, similar, templates
+from test_text_operators import plain_template_drop
 
 FOOTER = "Another closing line with number %d of them."
 
@@ -86,25 +87,6 @@ def test_components_of_rows_without_words_or_id(spark):
     assert similar.drop_similar(docs).count() == 5 and similar.drop_similar(docs.limit(0)).count() == 0
 
 
-def plain_first(lines, tree):
-    """``(doc, line) -> first`` where similar lines are in several documents, by
-    comparing all lines of a leaf."""
-    leaves = {}
-    for doc, line in lines:
-        tokens = line.split()
-        rest = tokens[tree.leading :]
-        count = min(tree.fields, len(rest))
-        cuts = [len(rest) * k // count for k in range(count + 1)]
-        leaf = leaves.setdefault((len(tokens), *tokens[: tree.leading]), [])
-        leaf.append((doc, line, [rest[a:b] for a, b in zip(cuts, cuts[1:])]))
-    found = {}
-    for leaf in leaves.values():
-        for doc, line, fields in leaf:
-            docs = {d for d, _, other in leaf if sum(map(list.__eq__, fields, other)) >= tree.similarity * len(fields)}
-            found[doc, line] = min(docs)
-    return found
-
-
 @pytest.mark.parametrize("cell", [400, 3])
 def test_several_templates_of_one_leaf(spark, folder, monkeypatch, cell):
     monkeypatch.setattr(templates, "CELL", cell)
@@ -118,11 +100,44 @@ def test_several_templates_of_one_leaf(spark, folder, monkeypatch, cell):
         lambda: "All pages of " + " ".join(word() for _ in range(pick.choice([5, 14, 25]))),
     ]
     rows = [(key, pick.choice(made)()) for key in range(90)]
-    first = plain_first(rows, templates.Tree())
-    lost = {key for key, line in rows if first[key, line] != key}
+    lost = {key for key, _ in plain_template_drop(dict(rows), templates.Tree(several=True))}
     assert 30 < len(lost) < 60
     docs = folder(rows)
     found = queries.queries()["op6_line_templates"](spark, docs).collect()
     assert {row.doc_id for row in found if row.n_dropped} == lost
     fewer = dict(corpus_pipeline.STAGES)["line_dedup"](spark, queries.table(spark, docs, "documents"), docs)
     assert {row.doc_id for row in fewer.collect()} == {key for key, _ in rows} - lost
+
+
+def fields(*changed):
+    """A line of ten fields after the same beginning."""
+    return "It has been " + " ".join(f"own{k}" if k in changed else f"word{chr(97 + k)}" for k in range(10))
+
+
+def test_a_chain_of_similar_lines_keeps_what_nothing_left_is_like(spark, folder):
+    swap = str.maketrans("0123456789", "abcdefghij")
+    chain = [fields(), fields(0, 1), fields(0, 1, 2, 3), fields(0, 1, 2, 3, 4, 5), fields(0, 1, 2, 3, 4, 5, 6)]
+    docs = folder([(key, line.translate(swap)) for key, line in enumerate(chain)])
+    found = {row.doc_id: row.text for row in queries.queries()["op6_line_templates"](spark, docs).collect()}
+    kept = {key for key, text in found.items() if text}
+    assert 2 <= len(kept) < len(chain)
+    agree = lambda a, b: sum(map(str.__eq__, chain[a].split()[3:], chain[b].split()[3:])) >= 8
+    assert all(any(agree(key, other) for other in kept) for key in found)
+
+
+def test_rows_that_share_an_id_lose_their_own_lines_only(spark, folder):
+    shared, own = "A line that two documents have in common today", "A line that is found nowhere else at all"
+    docs = folder([(1, shared), (2, shared), (2, own), (3, "Something about quite different matters here")])
+    found = sorted((row.doc_id, row.text) for row in queries.queries()["op6_line_templates"](spark, docs).collect())
+    assert found == [(1, shared), (2, ""), (2, own), (3, "Something about quite different matters here")]
+
+
+def test_short_lines_recur_only_as_exact_repeats(spark, folder):
+    point = "東京都は日本の首都であり世界でも最大級の都市です"
+    rows = [(key, f"Read more here\nVery own words of text number {key}x\nChapter {key}") for key in range(templates.Tree().short_documents)]
+    rows += [(50, point + "\nUnlike all the other texts here"), (51, point), (52, "Read less\nBut it is quite another text again")]
+    rows += [(53, "Read less\nAs different as it can be made")]
+    found = {row.doc_id: row.text for row in queries.queries()["op6_line_templates"](spark, folder(rows)).collect()}
+    assert found[0].startswith("Read more here") and not any("Read more" in found[key] for key in range(1, 10))
+    assert all(f"Chapter {key}" in found[key] for key in range(10))
+    assert point in found[50] and found[51] == "" and "Read less" in found[52] and "Read less" in found[53]
