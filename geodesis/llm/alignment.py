@@ -20,9 +20,11 @@ join, where none of them has many rows.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
+import struct
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,11 @@ CHUNK = 1 << 20
 # Pairs with their counts that are broadcast, and that a task sums at once.
 COMMON = 1 << 20
 SUMMED = 1 << 22
+# Parts of texts a task remembers, and the longest of them.
+REMEMBERED = 400_000
+REMEMBERED_LENGTH = 48
+# A space amid white space belongs to no part alone.
+_AROUND = re.compile(r"\s \s")
 
 _OWN = "doc_id {key}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 
@@ -49,7 +56,12 @@ _OWN = "doc_id {key}, n_a long, n_b long, n_groups long, n_links long, groups_sh
 
 class TokenPair:
     """A byte-level tokenizer (A) and one of pieces (B), and the bytes of their
-    tokens. A reads a text with a space before it, which B adds by itself."""
+    tokens. A reads a text with a space before it, which B adds by itself.
+
+    Where neither joins anything over a single space, the parts between spaces are
+    tokenised once and remembered, each with the space before it. Other texts,
+    such as those with several spaces in a row, are tokenised whole.
+    """
 
     def __init__(self, level: bytes, pieces: bytes) -> None:
         self.a = Tokenizer.from_buffer(level)
@@ -60,7 +72,15 @@ class TokenPair:
         self.bytes_a = [shown(self.a.id_to_token(k) or "") for k in range(self.a.get_vocab_size())]
         self.bytes_b = [self._piece(k) for k in range(self.b.get_piece_size())]
         self.size_a, self.size_b = (np.array([*map(len, x)], np.int64) for x in (self.bytes_a, self.bytes_b))
-        self.names = [str(k) for k in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        # Ids after each of the signs that may stand before them.
+        self.most = max(len(self.bytes_a), len(self.bytes_b))
+        self.names = [f"{sign}{k}" for sign in ",;|" for k in range(self.most)]
+        settings = json.loads(level)
+        cut = settings["pre_tokenizer"] or {}
+        by_words = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not settings["normalizer"]
+        listed = map(self.b.id_to_piece, range(self.b.get_piece_size()))
+        self.parted = by_words and not any("▁" in piece.lstrip("▁") for piece in listed)
+        self._parts: dict[str, tuple[bytes, bytes] | None] = {}
 
     def _piece(self, number: int) -> bytes:
         piece = self.b.id_to_piece(number)
@@ -71,17 +91,43 @@ class TokenPair:
         """How many pairs of ids there are."""
         return len(self.bytes_a) * len(self.bytes_b)
 
-    def encode(self, texts: list[str | None]) -> list[tuple[list[int], list[int]]]:
-        """Ids of both sides; none where either side's bytes are not those of the
-        text with a space before it."""
-        spaced = [" " + (text or "") for text in texts]
+    def _whole(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of both sides as little-endian unsigned 32-bit integers; None where
+        either side's bytes are not those of the text with a space before it."""
+        spaced = [" " + text for text in texts]
         left = self.a.encode_batch_fast(spaced, add_special_tokens=False)
-        right = self.b.encode([text or "" for text in texts], num_threads=1)
+        right = self.b.encode(texts, num_threads=1)
         found = []
-        for text, whole, a, b in zip(texts, spaced, left, right):
+        for whole, a, b in zip(spaced, left, right):
             a, line = a.ids, whole.encode()
-            same = text and b"".join(map(self.bytes_a.__getitem__, a)) == line
-            found.append((a, b) if same and b"".join(map(self.bytes_b.__getitem__, b)) == line else ([], []))
+            same = b"".join(map(self.bytes_a.__getitem__, a)) == line == b"".join(map(self.bytes_b.__getitem__, b))
+            found.append((struct.pack(f"<{len(a)}I", *a), struct.pack(f"<{len(b)}I", *b)) if same else None)
+        return found
+
+    def _cut(self, text: str) -> list[str] | None:
+        """The parts between single spaces, None for a text to be taken whole."""
+        parts = text.split(" ") if self.parted else [""]
+        return None if "" in parts or _AROUND.search(text) else parts
+
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of both sides; none where either side's bytes are not those of the
+        text with a space before it."""
+        if len(self._parts) > REMEMBERED:
+            self._parts.clear()
+        known = self._parts
+        cut = [self._cut(text) if text else None for text in texts]
+        new = list(set().union(*(parts for parts in cut if parts)).difference(known))
+        known.update(zip(new, self._whole(new)))
+        found = []
+        for text, parts in zip(texts, cut):
+            own = list(map(known.__getitem__, parts)) if parts else [None]
+            if None in own:
+                own = self._whole([text]) if text else [None]
+            sides = [b"".join([part[side] for part in own if part]) for side in (0, 1)]
+            found.append(tuple(np.frombuffer(side, "<u4") for side in sides))
+        for part in new:
+            if len(part) > REMEMBERED_LENGTH:
+                del known[part]
         return found
 
 
@@ -136,7 +182,7 @@ def aligned_texts(tokens: TokenPair, texts: list[str | None], step: int = STEP)
     ``groups`` like ``a1,a2|b1;a3|b2,b3``, the different ``pairs`` of ids that
     overlap as ``a * len(b) + b`` in order, and how often each does."""
     encoded = tokens.encode(texts)
-    a, b = (np.fromiter((x for row in encoded for x in row[side]), np.int64) for side in (0, 1))
+    a, b = (np.concatenate([row[side] for row in encoded]).astype(np.int64) for side in (0, 1))
     ends_a, ends_b = tokens.size_a[a].cumsum(), tokens.size_b[b].cumsum()
     ends, at_a, at_b, both = overlaps(ends_a, ends_b, step)
     counts = [np.array([len(row[side]) for row in encoded], np.int64) for side in (0, 1)]
@@ -147,13 +193,18 @@ def aligned_texts(tokens: TokenPair, texts: list[str | None], step: int = STEP)
     links = np.bincount(text_of, minlength=len(texts))
     groups = np.bincount(text_of[both], minlength=len(texts))
     cut = np.searchsorted(keys, np.arange(len(texts) + 1) * tokens.pairs)
-    closed = [0, *accumulate(groups.tolist())]
-    to_a, to_b = [0, *(at_a[both] + 1).tolist()], [0, *(at_b[both] + 1).tolist()]
+    # Written out, each group's tokens of A stand before those of B.
+    to_a, to_b = (np.append(0, at[both] + 1) for at in (at_a, at_b))
+    group_a, group_b = (np.repeat(np.arange(len(to) - 1), np.diff(to)) for to in (to_a, to_b))
+    line = np.empty(len(a) + len(b), np.int64)
+    line[np.arange(len(a)) + to_b[group_a]] = a
+    line[np.arange(len(b)) + to_a[group_b + 1]] = b
+    line[to_a[:-1] + to_b[:-1]] += tokens.most
+    line[to_a[1:] + to_b[:-1]] += 2 * tokens.most
     name = tokens.names.__getitem__
-    names_a, names_b = list(map(name, a.tolist())), list(map(name, b.tolist()))
+    written = np.append(0, (counts[0] + counts[1]).cumsum())
     for k in range(len(texts)):
-        borders = range(closed[k], closed[k + 1])
-        shown = ";".join([",".join(names_a[to_a[g] : to_a[g + 1]]) + "|" + ",".join(names_b[to_b[g] : to_b[g + 1]]) for g in borders])
+        shown = "".join(map(name, line[written[k] : written[k + 1]].tolist()))[1:]
         own = slice(cut[k], cut[k + 1])
         yield int(counts[0][k]), int(counts[1][k]), int(groups[k]), int(links[k]), shown, keys[own] - k * tokens.pairs, times[own]
 

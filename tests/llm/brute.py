@@ -125,7 +125,11 @@ def aligned(texts, tokens):
     """``n_a, n_b, groups, links`` of each text, token by token."""
     found = []
     for text in texts:
-        ((a, b),) = tokens.encode([text])
+        a = tokens.a.encode(" " + (text or ""), add_special_tokens=False).ids
+        b = tokens.b.encode(text or "")
+        joined = [b"".join(x[k] for k in ids) for x, ids in ((tokens.bytes_a, a), (tokens.bytes_b, b))]
+        if not text or any(x != f" {text}".encode() for x in joined):
+            a, b = [], []
         spans = []
         for ids, parts in ((a, tokens.bytes_a), (b, tokens.bytes_b)):
             at, own = 0, []
