@@ -257,7 +257,7 @@ def recurring_lines(
     if parts is None:
         read = read.withColumn("part", F.col("doc_id"))
     else:
-        named = parts.select("doc_id", "part").dropDuplicates(["doc_id"])
+        named = parts.groupBy("doc_id").agg(F.min("part").alias("part"))
         read = read.join(named, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
     tables.save("read", read)
     read = tables.load("read")

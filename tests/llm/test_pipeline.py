@@ -11,6 +11,7 @@ import corpus_pipeline
 from geodesis.llm import pii
 from geodesis.llm.templates import Tree
 from test_text_operators import check_packing, left_over, plain_template_drop
+from test_whole_job import plain_components
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
@@ -33,12 +34,17 @@ def test_stages_one_by_one(spark):
     assert all(re.search(r"[*#$%&|!]{2}| \| |(\b\w+\b)( \1){5}", text) or brute.base_counts(text)[4] for text in lost)
     assert all(good[key] == before[key] for key in good)
 
-    gone = plain_template_drop({key: row.text for key, row in good.items()}, Tree())
-    left = {key: left_over(key, row.text, gone, Tree()) for key, row in good.items()}
+    texts = {key: row.text for key, row in good.items()}
+    tree = Tree(several=True)
+    gone = plain_template_drop(texts, tree, plain_components(texts))
+    left = {key: left_over(key, text, gone, tree, least=1) for key, text in texts.items()}
     assert gone and {key: row.text for key, row in fewer.items()} == {key: text for key, text in left.items() if text}
 
-    groups = brute.components({key: brute.fingerprint(row.text) for key, row in fewer.items()})
-    assert set(single) == set(groups.values())
+    groups = plain_components({key: row.text for key, row in fewer.items()})
+    assert set(single) == set(groups.values()) and len(single) < len(fewer)
+    # No near copy of a document gets through as a fragment of itself.
+    before = plain_components(texts)
+    assert len({before[key] for key in single}) == len(single)
     assert all(single[key] == fewer[key] for key in single)
 
     assert clean.keys() == single.keys()
@@ -70,3 +76,15 @@ def test_queries_read_by_name_and_agree_with_sql(spark):
         columns = sorted(found.columns)
         result = database.execute(f"SELECT {', '.join(columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
         assert sorted(map(str, result)) == sorted(str(tuple(row)) for row in found.select(*columns).collect())
+
+
+def test_stages_on_odd_and_empty_tables(spark):
+    docs = brute.odd(spark)
+    for stage in dict(corpus_pipeline.STAGES).values():
+        assert stage(spark, docs.limit(0), FOLDER).collect() == []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, FOLDER)
+        assert found.columns == docs.columns, name
+        assert {row.doc_id for row in found.collect()} <= {row[0] for row in brute.odd_rows()}, name
+    packed = dict(corpus_pipeline.STAGES)["packing"](spark, docs, FOLDER).collect()
+    check_packing(packed, [(row[0], row[1]) for row in brute.odd_rows()], 2048)

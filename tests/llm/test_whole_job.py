@@ -46,18 +46,16 @@ def test_a_document_with_short_lines_of_its_own_stays(spark, folder):
 def plain_components(texts, width=5, percent=80):
     """Smallest id reachable over pairs of similar texts, by comparing all."""
     made = {}
-    for key, text in texts.items():
+    for key, text in sorted(texts.items()):
         words = brute.words(text.lower())
         made[key] = {tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))}
-    found = {key: key for key in texts}
-    for _ in texts:
+    links = [(a, b) for a in made for b in made if a < b and 100 * len(made[a] & made[b]) >= percent * len(made[a] | made[b])]
+    found, before = {key: key for key in texts}, None
+    while found != before:
         before = dict(found)
-        for a in texts:
-            for b in texts:
-                if 100 * len(made[a] & made[b]) >= percent * len(made[a] | made[b]):
-                    found[a] = found[b] = min(found[a], found[b])
-        if found == before:
-            return found
+        for a, b in links:
+            found[a] = found[b] = min(found[a], found[b])
+    return found
 
 
 def test_near_copies_go_and_others_stay(spark, folder):
@@ -141,3 +139,21 @@ def test_short_lines_recur_only_as_exact_repeats(spark, folder):
     assert found[0].startswith("Read more here") and not any("Read more" in found[key] for key in range(1, 10))
     assert all(f"Chapter {key}" in found[key] for key in range(10))
     assert point in found[50] and found[51] == "" and "Read less" in found[52] and "Read less" in found[53]
+
+
+def test_near_copies_are_no_evidence_of_a_template(spark, folder):
+    pick = random.Random(3)
+    line = lambda: " ".join("".join(pick.choices("abcdefghij", k=6)) for _ in range(12))
+    body = [line() for _ in range(12)]
+    near = [*body[:5], body[5] + " really", *body[6:]]
+    other = [line() for _ in range(6)]
+    rows = {1: [*other[:5], FOOTER % 1], 2: [*body, FOOTER % 2], 3: [*near, FOOTER % 3], 4: [*body, FOOTER % 4], 5: [line(), body[0]]}
+    given = {key: "\n".join(lines) for key, lines in rows.items()}
+    docs = folder(list(given.items()))
+    stages = dict(corpus_pipeline.STAGES)
+    fewer = stages["line_dedup"](spark, queries.table(spark, docs, "documents"), docs)
+    texts = {row.doc_id: row.text for row in fewer.collect()}
+    # The footer goes from all but the first; the copies otherwise stay whole.
+    assert texts == {1: given[1], 2: "\n".join(body), 3: "\n".join(near), 4: "\n".join(body), 5: rows[5][0]}
+    single = stages["near_dedup"](spark, spark.createDataFrame(list(texts.items()), fewer.schema), docs)
+    assert {row.doc_id: row.text for row in single.collect()} == {key: texts[key] for key in (1, 2, 5)}
