@@ -27,9 +27,10 @@ DECIMALS = 9
 DIGITS = "%.6e"
 SEED = 7
 PIVOTS = 32
-# The forest of places has a tree per region; three more are split off.
-REGIONS = 5
-REMOVALS = 3
+# Edges are removed until no component has more vertices. The SQL is written out
+# for so many removals and gives nothing right if more are needed.
+LARGEST = 8
+WRITTEN_OUT = 60
 # The layout of large graphs, with hubs from so few steps that the tables have some.
 SHUFFLED = g.Limits(broadcast_arcs=0, hub_steps=50)
 
@@ -182,7 +183,7 @@ def _top_edge(spark: SparkSession, folder: str) -> DataFrame:
 
 def _removal(part: str, **rounded):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        done = g.remove_edges(tables.places(spark, folder), target_components=REGIONS + REMOVALS)
+        done = g.remove_edges(tables.ferries(spark, folder), min_component_size=LARGEST)
         return _significant(getattr(done, part), *rounded.get("names", ()))
 
     return query
@@ -214,6 +215,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "edges_lanes": lambda spark, folder: g.sorted_edges(lanes(spark, folder)),
         "edges_places": lambda spark, folder: g.sorted_edges(places(spark, folder)),
         "edges_tolls": lambda spark, folder: g.sorted_edges(tolls(spark, folder)),
+        "edges_ferries": lambda spark, folder: g.sorted_edges(tables.ferries(spark, folder)),
         "steps_web": lambda spark, folder: g.arcs(web(spark, folder)),
         "steps_duty": lambda spark, folder: g.arcs(duty(spark, folder), "seconds"),
         "neighbours_pages": _page_neighbours,
@@ -331,6 +333,14 @@ _TOLLS = f"""
   arcs AS (SELECT src AS u, dst AS w, weight FROM edges WHERE src <> dst
            UNION ALL SELECT dst, src, weight FROM edges WHERE src <> dst)"""
 
+_FERRIES = f"""
+  sold AS (
+    SELECT s_nationkey AS a, arg_max(c_nationkey, (l_extendedprice, l_orderkey, l_linenumber)) AS b
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey, l_returnflag),
+  edges AS (SELECT DISTINCT CAST(least(a, b) AS BIGINT) AS src, CAST(greatest(a, b) AS BIGINT) AS dst FROM sold),
+  nodes AS (SELECT CAST(n_nationkey AS BIGINT) AS id FROM nation)"""
+
 _RELAY = f"""
   edges AS (
     SELECT DISTINCT arg_min(l_partkey, (l_linenumber, l_partkey)) AS src, arg_max(l_partkey, (l_linenumber, l_partkey)) AS dst
@@ -474,34 +484,37 @@ def _paths_sql(graph: str, walk: str = _HOPS) -> str:
 
 
 def _removal_steps() -> str:
-    """One block per step: paths, scores, the top edge, and the graph without it."""
-    score = "total / " + _EDGE_NORM
-    blocks = [_PLACES, "edges_0 AS (SELECT src, dst FROM edges)"]
-    for step in range(REMOVALS + 1):
-        arcs = f"arcs_{step} AS (SELECT src AS u, dst AS w FROM edges_{step} UNION SELECT dst, src FROM edges_{step})"
-        hops = _HOPS.replace("reach", f"reach_{step}").replace("arcs", f"arcs_{step}")
-        named = f"members_{step} AS MATERIALIZED (SELECT v AS id, min(s) AS component FROM reach_{step} GROUP BY v)"
-        blocks += [arcs, hops, named]
-        if step == REMOVALS:
-            break
-        along = _FLOW.format(key=_EITHER)
-        for name in ("reach", "arcs", "flow", "along"):
-            along = along.replace(name, f"{name}_{step}")
+    """One block per step: paths, components, scores, the top edge, and the graph
+    without it. Once no component is too large there is no top edge, and nothing is
+    left for the next steps to do."""
+    blocks = [_FERRIES, "edges_0 AS (SELECT src, dst FROM edges)", "going_0 AS (SELECT 1 AS yes)"]
+    for step in range(WRITTEN_OUT + 1):
+        arcs = (
+            f"arcs_{step} AS MATERIALIZED (SELECT src AS u, dst AS w FROM edges_{step} WHERE src <> dst"
+            f" UNION SELECT dst, src FROM edges_{step} WHERE src <> dst)"
+        )
+        walked, along = _HOPS, _ALONG.format(key=_EITHER, length="1")
+        for name in ("reach", "arcs", "along"):
+            walked, along = (text.replace(name, f"{name}_{step}") for text in (walked, along))
+        named = f"members_{step} AS MATERIALIZED (SELECT v AS id, min(s) AS component FROM reach_{step}, going_{step} GROUP BY v)"
         top = (
-            f"top_{step} AS MATERIALIZED (SELECT src, dst, {score} AS score FROM along_{step}"
-            f" WHERE total >= (SELECT max(total) FROM along_{step}) * (1 - 1e-9) ORDER BY src, dst LIMIT 1)"
+            f"top_{step} AS MATERIALIZED (SELECT src, dst, total / {_EDGE_NORM} AS score FROM along_{step}"
+            f" WHERE total >= (SELECT max(total) FROM along_{step}) * (1 - 1e-9)"
+            f" AND (SELECT max(n) FROM (SELECT count(*) AS n FROM members_{step} GROUP BY component)) > {LARGEST}"
+            f" ORDER BY src, dst LIMIT 1)"
         )
         rest = (
-            f"edges_{step + 1} AS MATERIALIZED (SELECT e.src, e.dst FROM edges_{step} e"
-            f" ANTI JOIN top_{step} t ON e.src = t.src AND e.dst = t.dst)"
+            f"edges_{step + 1} AS MATERIALIZED (SELECT e.src, e.dst FROM edges_{step} e, top_{step} t"
+            f" WHERE e.src <> t.src OR e.dst <> t.dst)"
         )
-        blocks += [along, top, rest]
+        blocks += [arcs, walked, named, along.replace(" AS (", " AS MATERIALIZED ("), top, rest]
+        blocks.append(f"going_{step + 1} AS MATERIALIZED (SELECT 1 AS yes FROM top_{step})")
     return _with(*blocks)
 
 
 def _trace_sql() -> str:
     rows = ["SELECT 0 AS step, NULL AS src, NULL AS dst, NULL AS score, count(DISTINCT component) AS n_components FROM members_0"]
-    for step in range(1, REMOVALS + 1):
+    for step in range(1, WRITTEN_OUT + 1):
         count = f"(SELECT count(DISTINCT component) FROM members_{step})"
         rows.append(f"SELECT {step}, src, dst, {_SCALED.format('score')}, {count} FROM top_{step - 1}")
     return _removal_steps() + " " + " UNION ALL ".join(rows)
@@ -516,8 +529,16 @@ def _sizes(members: str, edges: str, first: str = "") -> str:
 
 def _removal_sizes_sql() -> str:
     rows = [
-        _sizes(f"members_{step}", f"edges_{step}", f"{step} AS step, ") + " HAVING count(*) > 1"
-        for step in range(REMOVALS + 1)
+        _sizes(f"members_{step}", f"edges_{step}", f"{step} AS step, ") + f" HAVING count(*) > {LARGEST}"
+        for step in range(WRITTEN_OUT + 1)
+    ]
+    return _removal_steps() + " " + " UNION ALL ".join(rows)
+
+
+def _removal_communities_sql() -> str:
+    rows = [
+        f"SELECT id, component FROM members_{step} WHERE NOT EXISTS (SELECT 1 FROM going_{step + 1})"
+        for step in range(WRITTEN_OUT + 1)
     ]
     return _removal_steps() + " " + " UNION ALL ".join(rows)
 
@@ -544,6 +565,7 @@ def oracle_sql() -> dict[str, str]:
         "edges_lanes": _with(_LANES) + " SELECT src, dst, weight AS price FROM edges",
         "edges_places": _with(_PLACES) + " " + pairs,
         "edges_tolls": _with(_TOLLS) + " SELECT src, dst, weight AS price FROM edges",
+        "edges_ferries": _with(_FERRIES) + " " + pairs,
         "steps_web": _with(_WEB) + " SELECT u, w FROM arcs",
         "steps_duty": _with(_DUTY) + " SELECT u, w, weight FROM arcs",
         "neighbours_pages": _with(_WEB) + " SELECT u AS id, w AS neighbour FROM arcs WHERE u IN (SELECT url FROM pages)",
@@ -609,7 +631,7 @@ def oracle_sql() -> dict[str, str]:
         "top_edge_web": f"SELECT * FROM ({_edge_sql(_WEB, _EITHER)}) ORDER BY centrality DESC, src, dst LIMIT 1",
         "edge_removal_trace": _trace_sql(),
         "edge_removal_sizes": _removal_sizes_sql(),
-        "edge_removal_communities": _removal_steps() + f" SELECT id, component FROM members_{REMOVALS}",
+        "edge_removal_communities": _removal_communities_sql(),
     }
     if text_queries:
         found |= text_queries.oracle_sql()

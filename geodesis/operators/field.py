@@ -35,6 +35,8 @@ class Limits:
     """Most rows of a round's news that are sent to every executor."""
     state_rows: int = 2_000_000_000
     """Most (source, vertex) rows held at a time; more go in batches."""
+    kept_rows: int = 4_000_000
+    """Most (source, vertex) rows of a component whose state edge removal keeps."""
     rows_per_slot: int = 50_000_000
     """Most rows that one slot of a vertex makes in a round: its steps times the
     sources of a batch. More sources mean smaller slots."""

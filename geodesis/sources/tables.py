@@ -73,6 +73,23 @@ def _deliveries(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def ferries(spark: SparkSession, folder: str) -> Graph:
+    """Nations, and for each return flag the customer nation to which a supplier
+    nation sold its dearest line with that flag. All nations are vertices."""
+    lines = table(spark, folder, "lineitem")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
+    suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
+    # Reduced to a line per supplier and flag before anything is joined.
+    line = F.struct("l_extendedprice", "l_orderkey", "l_linenumber")
+    dearest = lines.groupBy("l_suppkey", "l_returnflag").agg(F.max(line).alias("line"))
+    dearest = dearest.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    dearest = dearest.groupBy("s_nationkey", "l_returnflag").agg(F.max("line").alias("line"))
+    sold = dearest.join(orders, F.col("line.l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    pairs = sold.select(F.col("s_nationkey").cast("long").alias("src"), F.col("c_nationkey").cast("long").alias("dst"))
+    return Graph.from_edges(pairs, _nations(spark, folder))
+
+
 def _nations(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
 
