@@ -1,6 +1,7 @@
 """Dependencies of sources on vertices and edges, summed from the far end.
 
-With ``share = (1 + delta) / sigma`` at the head of a step, the step carries
+With ``share = (mass + delta) / sigma`` at the head of a step, where ``mass`` is the
+number of vertices the head stands for (one, if none are folded), the step carries
 ``sigma(tail) * share`` of the source's paths, and a vertex's dependency is the
 sum over the steps that leave it.
 """
@@ -19,7 +20,7 @@ DEPENDENCIES = "dependencies"
 
 
 def _share() -> Column:
-    return ((F.lit(1.0) + F.col("delta")) / F.col("sigma")).alias("share")
+    return ((F.col("mass") + F.col("delta")) / F.col("sigma")).alias("share")
 
 
 def gather_hops(field: Field, reached: int) -> None:
@@ -29,7 +30,8 @@ def gather_hops(field: Field, reached: int) -> None:
     tables.append(DEPENDENCIES, reached, last)
     for distance in range(reached - 1, -1, -1):
         field.fit(tables.rows(DEPENDENCIES, distance + 1))
-        heads = tables.parts(DEPENDENCIES, [distance + 1]).select("source", F.col("node").alias("w"), _share())
+        heads = field.massed(tables.parts(DEPENDENCIES, [distance + 1]), "node")
+        heads = heads.select("source", F.col("node").alias("w"), _share())
         passed = (
             field.entering(field.together(heads))
             .groupBy("source", F.col("u").alias("node"))
@@ -59,7 +61,8 @@ def gather_weighted(field: Field, top: int) -> None:
     for layer in range(top, 0, -1):
         field.fit(tables.rows(PATHS, layer), tables.rows("ranked", layer))
         here = field.together(tables.parts(PATHS, [layer]).select("source", "node", "sigma"))
-        share = F.lit(1.0) / F.col("sigma")
+        here = field.massed(here, "node")
+        share = F.col("mass") / F.col("sigma")
         if layer < top:
             arrived = tables.filed("passed", layer)
             here = field.looked_up(here, _arrivals(field, arrived))
@@ -105,14 +108,16 @@ def vertex_dependencies(field: Field, endpoints: bool) -> DataFrame:
 
 def node_sums(field: Field, endpoints: bool) -> DataFrame:
     """``id, total``: dependencies on a vertex summed over sources."""
-    return vertex_dependencies(field, endpoints).groupBy(F.col("node").alias("id")).agg(F.sum("delta").alias("total"))
+    found = field.massed(vertex_dependencies(field, endpoints), "source")
+    return found.groupBy(F.col("node").alias("id")).agg(F.sum(F.col("delta") * F.col("mass")).alias("total"))
 
 
 def last_steps(field: Field) -> DataFrame:
     """``source, u, w, sigma, share`` for each step that ends a shortest path."""
     tables = field.workspace
     field.fit(tables.rows(PATHS))
-    state = field.together(tables.parts(DEPENDENCIES).select("source", "node", "sigma", _share(), "part"))
+    state = field.massed(tables.parts(DEPENDENCIES), "node").select("source", "node", "sigma", _share(), "part")
+    state = field.together(state)
     heads = state.select("source", F.col("node").alias("w"), "share", (F.col("part") - 1).alias("part"))
     tails = state.select("source", F.col("node").alias("u"), "sigma", "part")
     if not field.weighted:
@@ -137,4 +142,5 @@ def tight_steps(field: Field) -> DataFrame:
 def edge_sums(field: Field) -> DataFrame:
     """``src, dst, total``: dependencies on an edge summed over sources."""
     key = edge_key(F.col("u"), F.col("w"), field.directed)
-    return last_steps(field).groupBy(*key).agg(F.sum(F.col("sigma") * F.col("share")).alias("total"))
+    steps = field.massed(last_steps(field), "source")
+    return steps.groupBy(*key).agg(F.sum(F.col("sigma") * F.col("share") * F.col("mass")).alias("total"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import ceil
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -35,6 +35,8 @@ class Limits:
     """Most rows of a round's news that are sent to every executor."""
     state_rows: int = 2_000_000_000
     """Most (source, vertex) rows held at a time; more go in batches."""
+    fold_rounds: int = 8
+    """Most rounds in which vertices with one neighbour are folded into it."""
     kept_rows: int = 4_000_000
     """Most (source, vertex) rows of a component whose state edge removal keeps."""
     rows_per_slot: int = 50_000_000
@@ -46,6 +48,17 @@ class Limits:
     """Path steps of a round beyond which more tasks than cores are used."""
 
 
+def unusable_weights() -> Column:
+    """How many weights are no lengths, for :func:`refuse_unusable`."""
+    usable = (F.col("weight") > 0) & ~F.isnan("weight") & (F.col("weight") < float("inf"))
+    return F.count_if(~usable)
+
+
+def refuse_unusable(seen: dict) -> None:
+    if seen.get("unusable"):
+        raise ValueError(f"{seen['unusable']} steps have a weight that is not a positive number")
+
+
 class Field:
     """Steps of one graph under one metric, plus the layout chosen for them."""
 
@@ -71,18 +84,16 @@ class Field:
             sizes = [F.octet_length(F.col(end).cast("string")) for end in ("u", "w")]
             metrics["bytes"] = F.sum((sizes[0] + sizes[1]).cast("long"))
         if self.weighted:
-            usable = F.col("weight") > 0
-            usable = usable & ~F.isnan("weight") & (F.col("weight") < float("inf"))
-            metrics["unusable"] = F.count_if(~usable)
+            metrics["unusable"] = unusable_weights()
         seen = workspace.save(name, steps, **metrics)
-        if seen.get("unusable"):
-            raise ValueError(f"{seen['unusable']} steps have a weight that is not a positive number")
+        refuse_unusable(seen)
         self.size = seen["rows"]
         # Numbers have at most 16 bytes.
         measured = seen["bytes"] or 0 if "bytes" in seen else 32 * self.size
         self.small = self.size <= limits.broadcast_arcs and measured <= limits.broadcast_bytes
         self._hubs: dict[str, DataFrame] = {}
         self._held: list[DataFrame] = []
+        self._masses: DataFrame | None = None
         self.vertices = graph.n
         self.width = 2
         steps = workspace.load(name)
@@ -144,7 +155,7 @@ class Field:
         for frame in self._held:
             frame.unpersist()
         self._held = []
-        self.workspace.drop(self.name, f"{self.name}_hubs_u", f"{self.name}_hubs_w")
+        self.workspace.drop(self.name, f"{self.name}_hubs_u", f"{self.name}_hubs_w", f"{self.name}_masses")
 
     # -- what traversals use -----------------------------------------------
 
@@ -208,6 +219,23 @@ class Field:
             return history
         return history.join(F.broadcast(news.select(*keys)), keys, "left_semi")
 
+    def stand_for(self, masses: DataFrame) -> None:
+        """Take the number of vertices that each ``id`` stands for from ``id,
+        mass``; others stand for themselves alone."""
+        kind = masses.schema["id"].dataType
+        size = F.sum(F.octet_length(F.col("id").cast("string")).cast("long"))
+        found = self.workspace.save(f"{self.name}_masses", masses, bytes=size)
+        few = found["rows"] <= self.limits.broadcast_hubs and (isinstance(kind, NumericType) or (found["bytes"] or 0) <= self.limits.broadcast_bytes)
+        masses = self.workspace.load(f"{self.name}_masses")
+        self._masses = F.broadcast(masses) if few else masses
+
+    def massed(self, rows: DataFrame, column: str) -> DataFrame:
+        """Rows with the ``mass`` of a column: how many vertices it stands for."""
+        if self._masses is None:
+            return rows.withColumn("mass", F.lit(1.0))
+        joined = rows.join(self._masses.withColumnRenamed("id", column), column, "left")
+        return joined.withColumn("mass", F.coalesce("mass", F.lit(1.0)))
+
     def planning(self):
         """Settings under which rows kept with their source are not shuffled
         again for a join on source and vertex."""

@@ -12,6 +12,7 @@ from geodesis.functions.scale import edge_scale, node_scale, rescaled
 from geodesis.graph import Graph
 from geodesis.operators import dependencies as deps
 from geodesis.operators.field import Field, Limits
+from geodesis.operators.folding import fold
 from geodesis.operators.hops import PATHS, walk_hops
 from geodesis.operators.pivots import sample_vertices
 from geodesis.operators.weighted import TIGHT, walk_weighted
@@ -21,10 +22,18 @@ from geodesis.workspace import Workspace
 class _Traversal:
     """Traversal of a stored graph from a set of sources, batch by batch."""
 
-    def __init__(self, graph: Graph, chosen: DataFrame | None, weight: str | None, limits: Limits | None) -> None:
+    def __init__(
+        self, graph: Graph, chosen: DataFrame | None, weight: str | None, limits: Limits | None, folding: bool = False
+    ) -> None:
         self.tables = Workspace(graph.vertices.sparkSession)
         self.limits = limits or Limits()
-        self.graph = graph.stored(self.tables)
+        self.graph = self.whole = graph.stored(self.tables)
+        # Sums over all sources do not need those that hang on by one edge.
+        self.folded = None
+        if folding and chosen is None and not graph.directed and self.limits.fold_rounds:
+            self.folded = fold(self.whole, self.tables, self.limits.fold_rounds, weight)
+        if self.folded:
+            self.graph = self.folded.core
         if chosen is None:
             self.count = self.graph.n
             self.sources = self.graph.vertices.select(F.col("id").alias("source"))
@@ -38,6 +47,8 @@ class _Traversal:
         wanted = ceil(self.count * self.graph.n / self.limits.state_rows)
         self.batches = max(1, min(wanted, self.count))
         self.field = Field(self.graph, self.tables, weight, self.limits, sources=ceil(self.count / self.batches))
+        if self.folded:
+            self.field.stand_for(self.folded.masses.select("id", (F.col("inside") + 1).alias("mass")))
 
     def run(self, backward: bool = True):
         """Go through all batches; state is in the tables at each stop."""
@@ -55,25 +66,37 @@ class _Traversal:
         self.field.release()
         self.tables.drop("sources")
 
+    def node_totals(self, endpoints: bool) -> DataFrame:
+        """``id, total`` over all batches."""
+        total = self.tables.parts("node_sums").groupBy("id").agg(F.sum("total").alias("total"))
+        return self.folded.node_totals(total, endpoints) if self.folded else total
+
+    def edge_totals(self) -> DataFrame:
+        """``src, dst, total`` over all batches."""
+        total = self.tables.parts("edge_sums").groupBy("src", "dst").agg(F.sum("total").alias("total"))
+        return self.folded.edge_totals(total) if self.folded else total
+
+    def collect_nodes(self, endpoints: bool, batch: int) -> None:
+        # With vertices folded away, ends are counted at the end.
+        self.collect_into("node_sums", deps.node_sums(self.field, endpoints and not self.folded), batch)
+
     def collect_into(self, name: str, frame: DataFrame, batch: int) -> None:
         with self.field.planning():
             self.tables.append(name, batch, frame)
 
 
-def _node_scores(run: _Traversal, normalized: bool, k: int | None) -> DataFrame:
-    graph = run.graph
-    total = run.tables.parts("node_sums").groupBy("id").agg(F.sum("total").alias("total"))
+def _node_scores(run: _Traversal, normalized: bool, k: int | None, endpoints: bool) -> DataFrame:
+    graph = run.whole
     scale = node_scale(graph.n, normalized, graph.directed, k)
     score = rescaled(F.coalesce("total", F.lit(0.0)), scale)
-    return graph.vertices.join(total, "id", "left").select("id", score.alias("centrality"))
+    return graph.vertices.join(run.node_totals(endpoints), "id", "left").select("id", score.alias("centrality"))
 
 
 def _edge_scores(run: _Traversal, normalized: bool) -> DataFrame:
-    graph = run.graph
-    total = run.tables.parts("edge_sums").groupBy("src", "dst").agg(F.sum("total").alias("total"))
+    graph = run.whole
     scale = edge_scale(graph.n, normalized, graph.directed)
     score = rescaled(F.coalesce("total", F.lit(0.0)), scale)
-    return graph.edges.join(total, ["src", "dst"], "left").select("src", "dst", score.alias("centrality"))
+    return graph.edges.join(run.edge_totals(), ["src", "dst"], "left").select("src", "dst", score.alias("centrality"))
 
 
 def _chosen(
@@ -107,10 +130,10 @@ def node_betweenness(
     require_bool("normalized", normalized)
     require_bool("endpoints", endpoints)
     graph, pivots = _chosen(graph, k, pivots, seed)
-    run = _Traversal(graph, pivots, weight, limits)
+    run = _Traversal(graph, pivots, weight, limits, folding=True)
     for batch in run.run():
-        run.collect_into("node_sums", deps.node_sums(run.field, endpoints), batch)
-    return _node_scores(run, normalized, None if pivots is None else run.count)
+        run.collect_nodes(endpoints, batch)
+    return _node_scores(run, normalized, None if pivots is None else run.count, endpoints)
 
 
 def edge_betweenness(
@@ -130,7 +153,7 @@ def edge_run(
     """Edge scores and the tables they are read from. ``components`` also writes
     that table of ``id, component``, for undirected graphs: the smallest source
     that reaches a vertex."""
-    run = _Traversal(graph, None, weight, limits)
+    run = _Traversal(graph, None, weight, limits, folding=not components)
     for batch in run.run():
         run.collect_into("edge_sums", deps.edge_sums(run.field), batch)
         if components:
@@ -158,14 +181,14 @@ def betweenness(
     require_bool("normalized", normalized)
     require_bool("endpoints", endpoints)
     graph, pivots = _chosen(graph, k, pivots, seed)
-    run = _Traversal(graph, pivots, weight, limits)
+    run = _Traversal(graph, pivots, weight, limits, folding=True)
     for batch in run.run():
-        run.collect_into("node_sums", deps.node_sums(run.field, endpoints), batch)
+        run.collect_nodes(endpoints, batch)
         run.collect_into("edge_sums", deps.edge_sums(run.field), batch)
     if pivots is None:
-        return _node_scores(run, normalized, None), _edge_scores(run, normalized)
+        return _node_scores(run, normalized, None, endpoints), _edge_scores(run, normalized)
     edges = _edge_scores(run, normalized).withColumn("centrality", F.col("centrality") * (run.graph.n / max(1, run.count)))
-    return _node_scores(run, normalized, run.count), edges
+    return _node_scores(run, normalized, run.count, endpoints), edges
 
 
 def shortest_paths(

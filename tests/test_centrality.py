@@ -247,3 +247,54 @@ def test_tables_can_be_released(spark, ten):
     root = workspace._roots[-1]
     g.release_tables(spark)
     assert not workspace._roots and not workspace.Workspace(spark)._exists(root)
+
+
+def with_trees(seed):
+    """A core with cycles, trees and chains hanging on it, a tree alone, a pair,
+    and a lonely vertex; ids are mixed up."""
+    pick = random.Random(seed)
+    edges = [(0, 1), (1, 2), (2, 3), (3, 0), (1, 3), (3, 4), (4, 5), (5, 3)]
+    size = 6
+    for _ in range(14):
+        edges.append((pick.randrange(size), size))
+        size += 1
+    edges += [(size, size + 1), (size + 1, size + 2), (size + 1, size + 3), (size + 3, size + 4), (size + 5, size + 6)]
+    size += 8
+    names = pick.sample(range(100), size)
+    return names, {tuple(sorted((names[a], names[b]))): pick.choice([1, 2, 0.5]) for a, b in edges} | {(names[7], names[7]): 1}
+
+
+@pytest.mark.parametrize("weighted, limits", [(False, None), (True, None), (False, SHUFFLED), (False, BATCHED), (True, SALTED)])
+def test_folding_agrees_with_sums_over_pairs(spark, weighted, limits):
+    from dataclasses import replace
+
+    vertices, weights = with_trees(8)
+    lengths = weights if weighted else dict.fromkeys(weights, 1)
+    graph = g.Graph.from_edges(
+        spark.createDataFrame([(a, b, float(x)) for (a, b), x in weights.items()], "src long, dst long, weight double"),
+        spark.createDataFrame([(v,) for v in vertices], "id long"),
+    )
+    exact_nodes, exact_edges = brute_force(vertices, lengths, False)
+    for rounds in (8, 1) if limits is None else (8,):
+        used = replace(limits or g.Limits(), fold_rounds=rounds)
+        nodes, edges = g.betweenness(graph, normalized=False, weight="weight" if weighted else None, limits=used)
+        close(nodes_of(nodes), {key: value / 2 for key, value in exact_nodes.items()})
+        close(edges_of(edges), {key: value / 2 for key, value in exact_edges.items()})
+    plain = replace(limits or g.Limits(), fold_rounds=0)
+    ends = [g.node_betweenness(graph, endpoints=True, limits=x, weight="weight" if weighted else None) for x in (limits, plain)]
+    close(nodes_of(ends[0]), nodes_of(ends[1]))
+
+
+def test_a_forest_is_not_traversed(spark, monkeypatch):
+    from geodesis.plans import centrality
+
+    walked = []
+    walk = centrality.walk_hops
+    monkeypatch.setattr(centrality, "walk_hops", lambda field, sources: walked.append((field.size, sources.count())) or walk(field, sources))
+    rows = [(k, (k - 1) // 3) for k in range(1, 60)] + [(k, 100) for k in range(101, 110)]
+    graph = g.Graph.from_edges(spark.createDataFrame(rows, "src long, dst long"))
+    found = nodes_of(g.node_betweenness(graph, normalized=False))
+    # A vertex of each of the two trees is left, and no step.
+    assert walked == [(0, 2)]
+    close(found, nodes_of(g.node_betweenness(graph, normalized=False, limits=g.Limits(fold_rounds=0))))
+    assert walked[1] == (2 * len(rows), 70)
