@@ -157,3 +157,27 @@ def test_near_copies_are_no_evidence_of_a_template(spark, folder):
     assert texts == {1: given[1], 2: "\n".join(body), 3: "\n".join(near), 4: "\n".join(body), 5: rows[5][0]}
     single = stages["near_dedup"](spark, spark.createDataFrame(list(texts.items()), fewer.schema), docs)
     assert {row.doc_id: row.text for row in single.collect()} == {key: texts[key] for key in (1, 2, 5)}
+
+
+@pytest.mark.parametrize("cell", [similar.CELL, 60])
+def test_a_large_group_of_near_copies_takes_few_checks(spark, monkeypatch, cell):
+    from geodesis.workspace import Workspace
+
+    monkeypatch.setattr(similar, "CELL", cell)
+    pick = random.Random(9)
+    base = [f"w{k}" for k in range(150)]
+    texts = {}
+    for key in range(400):
+        words = list(base)
+        for _ in range(pick.choice([1, 2, 3, 4, 5])):
+            words[pick.randrange(len(words))] = f"x{pick.randrange(10**6)}"
+        texts[key] = " ".join(words)
+    made = {}
+    save = Workspace.save
+    monkeypatch.setattr(Workspace, "save", lambda self, name, *a, **b: made.setdefault(name, save(self, name, *a, **b)))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {row.doc_id: row.component_id for row in similar.similar_documents(docs).collect()}
+    assert found == plain_components(texts) and 1 < len(set(found.values())) < 200
+    # All pairs would be 79,800; those that may be similar are a third of them.
+    assert sum(seen["rows"] for name, seen in made.items() if name.endswith("_pairs")) < 30_000
+    assert not any(name.startswith("cells_3") for name in made)
