@@ -8,6 +8,7 @@ slots so that no task gets all of them.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from math import ceil
 
@@ -92,7 +93,7 @@ class Field:
         measured = seen["bytes"] or 0 if "bytes" in seen else 32 * self.size
         self.small = self.size <= limits.broadcast_arcs and measured <= limits.broadcast_bytes
         self._hubs: dict[str, DataFrame] = {}
-        self._held: list[DataFrame] = []
+        self._held: list[str] = []
         self._masses: DataFrame | None = None
         self.vertices = graph.n
         self.width = 2
@@ -124,17 +125,24 @@ class Field:
                 steps = steps.join(self._hubs[end], end, "left").withColumn(f"{end}_slot", slot).drop("slots")
         partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         partitions = max(partitions, ceil(self.size / self.limits.most_steps_per_task))
-        self._by_u = steps.repartition(partitions, *self._key("u")).persist()
-        self._held = [self._by_u]
+        self._by_u = self._in_buckets(steps, "u", partitions)
         if self.directed:
-            self._by_w = steps.repartition(partitions, *self._key("w")).persist()
-            self._held.append(self._by_w)
+            self._by_w = self._in_buckets(steps, "w", partitions)
         else:
             # Every step is there both ways: the same rows, read the other way.
             ends = {"u": "w", "w": "u", "u_slot": "w_slot", "w_slot": "u_slot"}
             renamed = [F.col(name).alias(ends.get(name, name)) for name in self._by_u.columns]
             self._by_w = self._by_u.select(*renamed)
 
+    def _in_buckets(self, steps: DataFrame, end: str, buckets: int) -> DataFrame:
+        """The steps as a table in buckets by one end, which rounds join as it lies.
+        One task writes each bucket; a lost executor costs no steps."""
+        table, key = f"geodesis_{uuid.uuid4().hex}", self._key(end)
+        writer = steps.repartition(buckets, *key).write.bucketBy(buckets, *key).sortBy(*key)
+        writer.option("path", self.workspace.path(f"{self.name}_by_{end}")).saveAsTable(table)
+        self._held.append(table)
+        return self.spark.table(table)
+
     @property
     def slots(self) -> list[str]:
         """Columns that tell the slots of a step, if any vertex is a hub."""
@@ -152,10 +160,11 @@ class Field:
 
     def release(self) -> None:
         """Give up the tables of the steps; results read none of them."""
-        for frame in self._held:
-            frame.unpersist()
+        for table in self._held:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         self._held = []
         self.workspace.drop(self.name, f"{self.name}_hubs_u", f"{self.name}_hubs_w", f"{self.name}_masses")
+        self.workspace.drop(f"{self.name}_by_u", f"{self.name}_by_w")
 
     # -- what traversals use -----------------------------------------------
 

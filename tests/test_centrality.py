@@ -298,3 +298,27 @@ def test_a_forest_is_not_traversed(spark, monkeypatch):
     assert walked == [(0, 2)]
     close(found, nodes_of(g.node_betweenness(graph, normalized=False, limits=g.Limits(fold_rounds=0))))
     assert walked[1] == (2 * len(rows), 70)
+
+
+@pytest.mark.parametrize("directed", [False, True])
+@pytest.mark.parametrize("hub_steps", [1_000_000, 2])
+def test_rounds_of_a_large_graph_do_not_move_the_steps(spark, directed, hub_steps):
+    from geodesis.operators.field import Field
+    from geodesis.workspace import Workspace, session_conf
+
+    rows = [(0, k) for k in range(1, 12)] + [(k, k + 1) for k in range(1, 11)]
+    tables = Workspace(spark)
+    graph = g.Graph.from_edges(spark.createDataFrame(rows, "src long, dst long"), directed=directed).stored(tables)
+    field = Field(graph, tables, None, g.Limits(broadcast_arcs=0, hub_steps=hub_steps, broadcast_hubs=100))
+    front = spark.range(12).selectExpr("id AS source", "id AS u").repartition(5, "source")
+    with session_conf(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        for walked in (field.leaving(front), field.entering(front.withColumnRenamed("u", "w"))):
+            plan = walked._jdf.queryExecution().executedPlan().toString()
+            scan = plan[plan.index("SortMergeJoin") :]
+            # One exchange deals out the rows at hand by vertex; the steps are read as they lie.
+            assert "Bucketed: true" in scan and scan.count("Exchange hashpartitioning") == 2 - ("REPARTITION_BY_NUM" not in scan)
+            assert walked.count() == field.size
+    assert len(field._held) == 1 + directed
+    names = list(field._held)
+    field.release()
+    assert not any(spark.catalog.tableExists(name) for name in names)
