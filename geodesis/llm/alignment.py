@@ -22,9 +22,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +42,8 @@ CHUNK = 1 << 20
 # Pairs with their counts that are broadcast, and that a task sums at once.
 COMMON = 1 << 20
 SUMMED = 1 << 22
-# Parts of texts a task remembers, and the longest of them.
-REMEMBERED = 400_000
+# Parts of texts a task remembers, twice over, and the longest of them.
+REMEMBERED = 250_000
 REMEMBERED_LENGTH = 48
 # A space amid white space belongs to no part alone.
 _AROUND = re.compile(r"\s \s")
@@ -81,6 +81,7 @@ class TokenPair:
         listed = map(self.b.id_to_piece, range(self.b.get_piece_size()))
         self.parted = by_words and not any("▁" in piece.lstrip("▁") for piece in listed)
         self._parts: dict[str, tuple[bytes, bytes] | None] = {}
+        self._older: dict[str, tuple[bytes, bytes] | None] = {}
 
     def _piece(self, number: int) -> bytes:
         piece = self.b.id_to_piece(number)
@@ -95,14 +96,24 @@ class TokenPair:
         """Ids of both sides as little-endian unsigned 32-bit integers; None where
         either side's bytes are not those of the text with a space before it."""
         spaced = [" " + text for text in texts]
-        left = self.a.encode_batch_fast(spaced, add_special_tokens=False)
+        lines = [line.encode() for line in spaced]
+        left = [found.ids for found in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
         right = self.b.encode(texts, num_threads=1)
-        found = []
-        for whole, a, b in zip(spaced, left, right):
-            a, line = a.ids, whole.encode()
-            same = b"".join(map(self.bytes_a.__getitem__, a)) == line == b"".join(map(self.bytes_b.__getitem__, b))
-            found.append((struct.pack(f"<{len(a)}I", *a), struct.pack(f"<{len(b)}I", *b)) if same else None)
-        return found
+        line, sizes = b"".join(lines), np.fromiter(map(len, lines), np.int64)
+        cuts, packed, shown, same = [], [], [], np.ones(len(texts), bool)
+        for ids, parts, widths in ((left, self.bytes_a, self.size_a), (right, self.bytes_b, self.size_b)):
+            flat = np.fromiter(chain.from_iterable(ids), "<u4")
+            cut = np.append(0, np.fromiter(map(len, ids), np.int64).cumsum())
+            ends = np.append(0, widths[flat].cumsum())[cut]
+            same &= np.diff(ends) == sizes
+            shown.append(b"".join(map(parts.__getitem__, flat.tolist())))
+            cuts.append((4 * cut).tolist())
+            packed.append(flat.tobytes())
+        if not (same.all() and shown[0] == shown[1] == line):
+            for k in range(len(texts)):
+                same[k] = all(b"".join(map(parts.__getitem__, ids[k])) == lines[k] for ids, parts in ((left, self.bytes_a), (right, self.bytes_b)))
+        (a, b), (cut_a, cut_b) = packed, cuts
+        return [(a[cut_a[k] : cut_a[k + 1]], b[cut_b[k] : cut_b[k + 1]]) if same[k] else None for k in range(len(texts))]
 
     def _cut(self, text: str) -> list[str] | None:
         """The parts between single spaces, None for a text to be taken whole."""
@@ -113,10 +124,13 @@ class TokenPair:
         """Ids of both sides; none where either side's bytes are not those of the
         text with a space before it."""
         if len(self._parts) > REMEMBERED:
-            self._parts.clear()
-        known = self._parts
+            self._older, self._parts = self._parts, {}
+        known, older = self._parts, self._older
         cut = [self._cut(text) if text else None for text in texts]
-        new = list(set().union(*(parts for parts in cut if parts)).difference(known))
+        new = set().union(*(parts for parts in cut if parts)).difference(known)
+        # What is met again outlives the others.
+        known.update({part: older[part] for part in new.intersection(older)})
+        new = list(new.difference(known))
         known.update(zip(new, self._whole(new)))
         found = []
         for text, parts in zip(texts, cut):
