@@ -6,7 +6,7 @@ every character it puts out which source characters it came from: look-alike
 characters, digits spelled out in words, and words or brackets that stand for
 ``@`` and ``.``. The same finders then read the normalised text, and what they
 find is mapped back to the source. Only texts that hold a sign of a disguise are
-normalised. Each text is worked on where it lies; nothing is shuffled.
+normalised, which is seen without the transducers. Each text is worked on where it lies; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -118,18 +118,28 @@ _DOT_WORDS = "dot|punkt|punto|point"
 _ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|name|io|co|eu|us|uk|ca|au|nz|ie|de|at|ch|fr|be|es|it|pt|nl|lu|dk|se|no|fi|pl|cz|ru|ua|gr|tr|in|cn|jp|kr|br|mx|ar|cl"
 
 
+# Characters that show nothing, soft hyphens among them.
+_HIDDEN_MARKS = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+
+
 def _table() -> dict[int, str]:
-    """Look-alikes, digits of other scripts, and full-width ASCII."""
+    """Look-alikes, digits of other scripts, full-width ASCII, and letters and
+    digits that are only another style of a plain one."""
     table = {ord(a): b for a, b in _LOOKALIKES.items()}
     table |= {0xFF01 + k: chr(0x21 + k) for k in range(0x5E)}
     for code in range(0x0660, 0x1E95A):
         if unicodedata.decimal(chr(code), None) is not None and code not in table:
             table[code] = str(unicodedata.decimal(chr(code)))
+    for code in range(0x2100, 0x1FBFA):
+        kind, _, plain_code = unicodedata.decomposition(chr(code)).partition(" ")
+        if kind == "<font>" and " " not in plain_code and 0x21 <= int(plain_code, 16) < 0x7F:
+            table.setdefault(code, chr(int(plain_code, 16)))
     return table
 
 
 _TABLE = _table()
-_STRANGE = re.compile("[" + re.escape("".join(map(chr, _TABLE))) + "]")
+_STRANGE = re.compile("[" + re.escape("".join(map(chr, _TABLE)) + _HIDDEN_MARKS) + "]")
+_HIDDEN = re.compile(f"[{_HIDDEN_MARKS}]")
 _WORD = "(?:" + "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True)) + ")"
 _OPEN, _CLOSE = r"[(\[{<]", r"[)\]}>]"
 _SPELLED = re.compile(rf"(?<!\w)(?:plus[ ]+)?{_WORD}(?:[ -]{{1,3}}{_WORD})+(?!\w)", re.I)
@@ -145,8 +155,44 @@ _AT_WORD = re.compile(
     re.I,
 )
 _DOT_WORD = re.compile(rf"(?<=[A-Za-z0-9-])[ ]+(?:{_DOT_WORDS})[ ]+(?=[A-Za-z0-9])", re.I)
+# The same with underscores for spaces.
+_AT_UNDER = re.compile(
+    rf"(?<=[A-Za-z0-9])_(?:{_AT_WORDS})_(?={_LABEL}(?:(?:\.|_(?:{_DOT_WORDS})_){_LABEL}){{0,9}}_(?:{_DOT_WORDS})_(?:{_ENDINGS})(?![A-Za-z0-9-]))",
+    re.I,
+)
+_DOT_UNDER = re.compile(rf"(?<=[A-Za-z0-9-])_(?:{_DOT_WORDS})_(?=[A-Za-z0-9])", re.I)
 _GAP = re.compile(r"\s")
-_SIGN = re.compile(rf"{_OPEN}[ ]{{0,3}}(?:{_AT_WORDS}|{_DOT_WORDS}|[@.])[ ]{{0,3}}{_CLOSE}|[ ](?:{_DOT_WORDS})[ ]|(?<!\w){_WORD}[ -]{{1,3}}{_WORD}(?!\w)", re.I)
+_SIGN = re.compile(rf"{_OPEN}[ ]{{0,3}}(?:{_AT_WORDS}|{_DOT_WORDS}|[@.])[ ]{{0,3}}{_CLOSE}|[ ](?:{_DOT_WORDS})[ ]|(?<!\w){_WORD}[ -]{{1,3}}{_WORD}(?!\w)|_(?:{_DOT_WORDS})_", re.I)
+_BRACKET_SIGN = re.compile(rf"{_OPEN}[ ]{{0,3}}(?:{_AT_WORDS}|{_DOT_WORDS}|[@.])[ ]{{0,3}}{_CLOSE}", re.I)
+
+
+# Texts of the first 256 characters are looked through as bytes: in lower case,
+# with spaces for all that is no part of a word.
+def _bare(code: int) -> int:
+    low = chr(code).lower()
+    return ord(low) if (low.isalnum() or low == "_") and len(low) == 1 and ord(low) < 256 else ord(" ")
+
+
+_BARE = bytes(map(_bare, range(256)))
+_STRANGE_BYTES = [bytes([code]) for code in {*_TABLE, *map(ord, _HIDDEN_MARKS)} if code < 256]
+_CUES = frozenset(word.encode("latin-1") for word in (*_DIGIT_WORDS, *_DOT_WORDS.split("|")))
+_UNDER_CUES = [f"_{word}_".encode() for word in _DOT_WORDS.split("|")]
+
+
+def signs(text: str) -> tuple[bool, bool]:
+    """Whether a text holds characters to be replaced, and whether it holds a
+    sign of words or brackets that stand for something else."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _STRANGE.search(text) is not None, _SIGN.search(text) is not None
+    strange = any(mark in raw for mark in _STRANGE_BYTES)
+    if any(mark in raw for mark in (b"(", b"[", b"{", b"<")) and _BRACKET_SIGN.search(text):
+        return strange, True
+    bare = raw.translate(_BARE)
+    if _CUES.isdisjoint(bare.split()) and not any(cue in bare for cue in _UNDER_CUES):
+        return strange, False
+    return strange, _SIGN.search(text) is not None
 
 
 class Normalised:
@@ -159,7 +205,7 @@ class Normalised:
     def of(cls, source: str) -> Normalised:
         """Look-alikes are replaced one for one, so places stay the same."""
         places = np.arange(len(source) + 1)
-        return cls(source.translate(_TABLE) if _STRANGE.search(source) else source, places[:-1], places[1:])
+        return cls(source.translate(_TABLE), places[:-1], places[1:])
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> Normalised:
         """The spots ``start, end`` in order replaced; all characters of a
@@ -193,10 +239,13 @@ def _spelled_digits(norm: Normalised) -> Normalised:
 
 
 TRANSDUCERS: tuple[Callable[[Normalised], Normalised], ...] = (
+    lambda norm: norm.replace(_HIDDEN, ""),
     _spelled_digits,
     lambda norm: norm.replace(_AT_BRACKET, "@"),
     lambda norm: norm.replace(_AT_WORD, "@"),
+    lambda norm: norm.replace(_AT_UNDER, "@"),
     lambda norm: norm.replace(_DOT_BRACKET, "."),
+    lambda norm: norm.replace(_DOT_UNDER, "."),
     lambda norm: norm.replace(_DOT_WORD, "."),
 )
 
@@ -205,9 +254,9 @@ def disguised(text: str, known: list[Span]) -> list[Span]:
     """Identifiers that only the normalised text shows, at their source places.
     One that overlaps a known one of its kind is only taken if it is more of the
     same unbroken string, as where a look-alike cut the known one short."""
-    norm = Normalised.of(text)
-    if norm.text is text and not _SIGN.search(text):
+    if not any(signs(text)):
         return []
+    norm = Normalised.of(text)
     for transducer in TRANSDUCERS:
         norm = transducer(norm)
     added = []
@@ -250,7 +299,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
             found = [[dict(zip(("kind", "start", "end", "base"), x)) for x in spans(text.as_py())] for text in batch.column("text")]
             yield pa.record_batch([batch.column("doc_id"), pa.array(found, _SPANS)], ["doc_id", "spans"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return rows.mapInArrow(read, "doc_id long, spans array<struct<kind: string, start: long, end: long, base: boolean>>")
 
 
@@ -274,7 +323,8 @@ def redacted(text: str) -> str:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the personal data in ``text`` replaced; null texts and all
-    other columns are returned as they are."""
+    other columns, whatever their names, are returned as they are, and so are
+    repeated rows. An empty table gives an empty result."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

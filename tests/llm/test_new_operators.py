@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from geodesis.llm import alignment, exact, prefixes, queries
+from geodesis.llm import alignment, exact, pii, prefixes, queries
 
 FOLDER = "/root/testdata/sf0.001"
 LEVEL, PIECES = queries.BYTE_TOKENIZER, queries.PIECE_MODEL
@@ -241,3 +241,40 @@ def test_tokens_are_the_bytes_of_the_text():
         else:
             assert len(a) == len(b) == 0
     assert public_tokenizers.path("byte_bpe_50k.json") == LEVEL
+
+
+# -- personal data ------------------------------------------------------------
+
+
+def math_letters(text):
+    return "".join(chr(0x1D41A + ord(x) - 97) if x.isascii() and x.islower() else x for x in text)
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("write to " + math_letters("john@example.com") + " now", "john@example.com"),
+        ("write to jo​hn@exam­ple.com now", "john@example.com"),
+        ("write to j.doe_at_example_dot_org now", "j.doe@example.org"),
+        ("write to j.doe_AT_mail.example_DOT_org.", "j.doe@mail.example.org"),
+        ("call plus four nine one five one two three four five six seven eight now", "+4915123456 78"),
+    ],
+)
+def test_disguises_of_personal_data(text, found):
+    (kind, start, end, base), *rest = [x for x in pii.spans(text) if not x[3]]
+    assert not rest and text[:start].endswith((" ", "")) and text[end:][:1] in (" ", ".", "")
+    assert start == text.index(" ") + (4 if text.startswith("write") else 1) and kind in ("email", "phone")
+    redacted = pii.redacted(text)
+    assert "john" not in redacted and "hn@" not in redacted and "doe" not in redacted and "nine" not in redacted
+
+
+def test_no_sign_of_a_disguise_is_missed():
+    pick = random.Random(12)
+    parts = [*pii._DIGIT_WORDS, "at", "dot", "PUNKT", "Zéro", "FÜNF", "oh", "x", "word", "(", "[ ", "{", "<", ")", " ]", "@", ".", " ", "-", "  ", "_", "\n", "«", "’", "é", "ß", "1"]
+    seen = 0
+    for _ in range(20_000):
+        text = pick.choice(["", " ", "-"]).join(pick.choice([x, x.upper(), x.title()]) for x in pick.choices(parts, k=pick.randrange(1, 9)))
+        strange, sign = pii.signs(text)
+        assert strange == bool(pii._STRANGE.search(text)) and sign == bool(pii._SIGN.search(text)), text
+        seen += sign
+    assert 1_000 < seen < 19_000
