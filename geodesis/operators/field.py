@@ -40,6 +40,9 @@ class Limits:
     """Most rounds in which vertices with one neighbour are folded into it."""
     kept_rows: int = 4_000_000
     """Most (source, vertex) rows of a component whose state edge removal keeps."""
+    run: str | None = None
+    """Name under which sums of finished batches are kept; a later call with the
+    same name, graph and options goes on after them, also from a new driver."""
     rows_per_slot: int = 50_000_000
     """Most rows that one slot of a vertex makes in a round: its steps times the
     sources of a batch. More sources mean smaller slots."""

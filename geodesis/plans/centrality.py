@@ -46,15 +46,34 @@ class _Traversal:
                 raise ValueError("some sources are not vertices of the graph")
         wanted = ceil(self.count * self.graph.n / self.limits.state_rows)
         self.batches = max(1, min(wanted, self.count))
+        # Sums of batches; under a name, those of an earlier run are taken over.
+        self.kept = self.tables
+        if self.limits.run:
+            self.kept = Workspace(self.tables.spark, "kept", self.limits.run)
+            self._recognise(weight)
         self.field = Field(self.graph, self.tables, weight, self.limits, sources=ceil(self.count / self.batches))
         if self.folded:
             self.field.stand_for(self.folded.masses.select("id", (F.col("inside") + 1).alias("mass")))
 
-    def run(self, backward: bool = True):
-        """Go through all batches; state is in the tables at each stop."""
+    def _recognise(self, weight: str | None) -> None:
+        """Refuse a name under which something else was begun."""
+        edges = self.graph.edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*sorted(self.graph.edges.columns)).cast("decimal(38)")))
+        sources = self.sources.agg(F.count(F.lit(1)), F.sum(F.xxhash64("source").cast("decimal(38)")))
+        told = [self.graph.n, self.graph.directed, weight, self.batches, *edges.first(), *sources.first()]
+        mark = self.tables.spark.range(1).select(F.lit(repr([str(x) for x in told])).alias("of"))
+        if not self.kept.adopt("of", 0):
+            self.kept.append("of", 0, mark, again=True)
+        if self.kept.parts("of").first()["of"] != mark.first()["of"]:
+            raise ValueError(f"the run {self.limits.run!r} was begun with another graph, sources or sizes")
+
+    def run(self, backward: bool = True, wanted: tuple[str, ...] = ()):
+        """Go through all batches; state is in the tables at each stop. Batches of
+        which all ``wanted`` tables are there already are left out."""
         walk = walk_weighted if self.field.weighted else walk_hops
         gather = deps.gather_weighted if self.field.weighted else deps.gather_hops
         for batch in range(self.batches):
+            if self.limits.run and wanted and all([self.kept.adopt(name, batch) for name in wanted]):
+                continue
             part = self.sources
             if self.batches > 1:
                 part = part.filter(F.pmod(F.xxhash64("source"), F.lit(self.batches)) == batch)
@@ -68,22 +87,30 @@ class _Traversal:
 
     def node_totals(self, endpoints: bool) -> DataFrame:
         """``id, total`` over all batches."""
-        total = self.tables.parts("node_sums").groupBy("id").agg(F.sum("total").alias("total"))
+        total = self.kept.parts(self.node_sums(endpoints)).groupBy("id").agg(F.sum("total").alias("total"))
         return self.folded.node_totals(total, endpoints) if self.folded else total
 
     def edge_totals(self) -> DataFrame:
         """``src, dst, total`` over all batches."""
-        total = self.tables.parts("edge_sums").groupBy("src", "dst").agg(F.sum("total").alias("total"))
+        total = self.kept.parts("edge_sums").groupBy("src", "dst").agg(F.sum("total").alias("total"))
         return self.folded.edge_totals(total) if self.folded else total
 
+    def node_sums(self, endpoints: bool) -> str:
+        """The table of sums, which with ends counted is another one."""
+        return "end_sums" if endpoints and not self.folded else "node_sums"
+
     def collect_nodes(self, endpoints: bool, batch: int) -> None:
         # With vertices folded away, ends are counted at the end.
-        self.collect_into("node_sums", deps.node_sums(self.field, endpoints and not self.folded), batch)
+        self.keep_sums(self.node_sums(endpoints), deps.node_sums(self.field, endpoints and not self.folded), batch)
 
     def collect_into(self, name: str, frame: DataFrame, batch: int) -> None:
         with self.field.planning():
             self.tables.append(name, batch, frame)
 
+    def keep_sums(self, name: str, frame: DataFrame, batch: int) -> None:
+        with self.field.planning():
+            self.kept.append(name, batch, frame, again=self.kept is not self.tables)
+
 
 def _node_scores(run: _Traversal, normalized: bool, k: int | None, endpoints: bool) -> DataFrame:
     graph = run.whole
@@ -131,7 +158,7 @@ def node_betweenness(
     require_bool("endpoints", endpoints)
     graph, pivots = _chosen(graph, k, pivots, seed)
     run = _Traversal(graph, pivots, weight, limits, folding=True)
-    for batch in run.run():
+    for batch in run.run(wanted=(run.node_sums(endpoints),)):
         run.collect_nodes(endpoints, batch)
     return _node_scores(run, normalized, None if pivots is None else run.count, endpoints)
 
@@ -154,8 +181,8 @@ def edge_run(
     that table of ``id, component``, for undirected graphs: the smallest source
     that reaches a vertex."""
     run = _Traversal(graph, None, weight, limits, folding=not components)
-    for batch in run.run():
-        run.collect_into("edge_sums", deps.edge_sums(run.field), batch)
+    for batch in run.run(wanted=("edge_sums",)):
+        run.keep_sums("edge_sums", deps.edge_sums(run.field), batch)
         if components:
             named = run.tables.parts(PATHS).groupBy(F.col("node").alias("id")).agg(F.min("source").alias("component"))
             run.collect_into("named", named, batch)
@@ -182,9 +209,9 @@ def betweenness(
     require_bool("endpoints", endpoints)
     graph, pivots = _chosen(graph, k, pivots, seed)
     run = _Traversal(graph, pivots, weight, limits, folding=True)
-    for batch in run.run():
+    for batch in run.run(wanted=(run.node_sums(endpoints), "edge_sums")):
         run.collect_nodes(endpoints, batch)
-        run.collect_into("edge_sums", deps.edge_sums(run.field), batch)
+        run.keep_sums("edge_sums", deps.edge_sums(run.field), batch)
     if pivots is None:
         return _node_scores(run, normalized, None, endpoints), _edge_scores(run, normalized)
     edges = _edge_scores(run, normalized).withColumn("centrality", F.col("centrality") * (run.graph.n / max(1, run.count)))

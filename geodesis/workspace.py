@@ -60,11 +60,12 @@ def session_conf(spark: SparkSession, **settings: str):
 
 
 class Workspace:
-    """One run's own folder below the shared one, holding named tables."""
+    """One run's own folder below the shared one, holding named tables. A folder
+    with a ``name`` is found again by later processes."""
 
-    def __init__(self, spark: SparkSession, label: str = "run") -> None:
+    def __init__(self, spark: SparkSession, label: str = "run", name: str | None = None) -> None:
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/geodesis-{label}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/geodesis-{label}-{name or uuid.uuid4().hex}"
         _roots.append(self.root)
         self._schemas: dict[str, T.StructType] = {}
         self._parts: dict[str, list[int]] = {}
@@ -85,14 +86,27 @@ class Workspace:
         """Row count seen when the table, or that part of it, was written."""
         return self._rows[name, part]
 
-    def append(self, name: str, part: int, frame: DataFrame) -> int:
-        """Write ``frame`` as numbered part of table ``name``; returns the row count."""
-        rows = self._write(f"{self.path(name)}/part={part}", name, frame, {})["rows"]
+    def append(self, name: str, part: int, frame: DataFrame, again: bool = False) -> int:
+        """Write ``frame`` as numbered part of table ``name``; returns the row count.
+        ``again`` takes the place of a part that was not written to its end."""
+        mode = "overwrite" if again else "error"
+        rows = self._write(f"{self.path(name)}/part={part}", name, frame, {}, mode=mode)["rows"]
         self._parts.setdefault(name, []).append(part)
         self._rows[name, part] = rows
         self._rows[name, None] = self._rows.get((name, None), 0) + rows
         return rows
 
+    def adopt(self, name: str, part: int) -> bool:
+        """Whether an earlier process wrote that part to its end; it then counts as
+        one of this table."""
+        path = f"{self.path(name)}/part={part}"
+        if not self._exists(f"{path}/_SUCCESS"):
+            return False
+        if part not in self._parts.setdefault(name, []):
+            self._schemas[name] = self.spark.read.parquet(path).schema
+            self._parts[name].append(part)
+        return True
+
     def save_parted(self, name: str, frame: DataFrame, column: str) -> int:
         """Write ``frame`` with the values of integer ``column`` as part
         numbers, which follow each other; returns the highest (-1 if none)."""
@@ -133,11 +147,11 @@ class Workspace:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
 
-    def _write(self, path: str, name: str, frame: DataFrame, metrics: dict, by: str | None = None) -> dict:
+    def _write(self, path: str, name: str, frame: DataFrame, metrics: dict, by: str | None = None, mode: str = "error") -> dict:
         observed = Observation()
         wanted = [F.count(F.lit(1)).alias("rows")]
         wanted += [column.alias(alias) for alias, column in metrics.items()]
-        writer = frame.observe(observed, *wanted).write
+        writer = frame.observe(observed, *wanted).write.mode(mode)
         (writer.partitionBy(by) if by else writer).parquet(path)
         self._schemas[name] = frame.schema
         return observed.get

@@ -322,3 +322,35 @@ def test_rounds_of_a_large_graph_do_not_move_the_steps(spark, directed, hub_step
     names = list(field._held)
     field.release()
     assert not any(spark.catalog.tableExists(name) for name in names)
+
+
+def test_a_named_run_goes_on_after_its_finished_batches(spark, ten, monkeypatch):
+    import uuid
+    from dataclasses import replace
+
+    from geodesis.plans import centrality
+
+    named = replace(BATCHED, state_rows=30, fold_rounds=0, run=uuid.uuid4().hex)
+    walked, walk, sums = [], centrality.walk_hops, centrality.deps.node_sums
+
+    def failing(field, endpoints):
+        if len(walked) == 3:
+            raise RuntimeError("the driver is lost")
+        return sums(field, endpoints)
+
+    monkeypatch.setattr(centrality, "walk_hops", lambda *a: walked.append(1) or walk(*a))
+    monkeypatch.setattr(centrality.deps, "node_sums", failing)
+    with pytest.raises(RuntimeError):
+        g.node_betweenness(ten, normalized=False, limits=named)
+    assert len(walked) == 3
+    monkeypatch.setattr(centrality.deps, "node_sums", sums)
+    found = g.node_betweenness(ten, normalized=False, limits=named)
+    assert len(walked) == 3 + 4 - 2
+    close(nodes_of(found), dict(enumerate(TEN_RAW)))
+    # Once it is done, nothing is walked again; edges are sums of their own.
+    close(nodes_of(g.node_betweenness(ten, normalized=False, limits=named)), dict(enumerate(TEN_RAW)))
+    assert len(walked) == 5
+    close(edges_of(g.edge_betweenness(ten, limits=named)), edges_of(g.edge_betweenness(ten)))
+    other = g.Graph.from_edges(spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long"))
+    with pytest.raises(ValueError):
+        g.node_betweenness(other, limits=named)
