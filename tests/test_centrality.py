@@ -354,3 +354,70 @@ def test_a_named_run_goes_on_after_its_finished_batches(spark, ten, monkeypatch)
     other = g.Graph.from_edges(spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long"))
     with pytest.raises(ValueError):
         g.node_betweenness(other, limits=named)
+
+
+def pages_and_targets(name=lambda k: k):
+    """Many vertices that only hang on a few common ones."""
+    rows = [(name(k), name(100 + k % 3)) for k in range(40)] + [(name(k), name(100 + (k + 1) % 3)) for k in range(0, 40, 4)]
+    return rows + [(name(100), name(101))]
+
+
+@pytest.mark.parametrize("limits", [None, SHUFFLED, SALTED, g.Limits(broadcast_arcs=0, broadcast_hubs=0, hub_steps=5, least_steps_per_task=5)])
+def test_sources_of_a_pack_share_their_rows(spark, limits):
+    from dataclasses import replace
+
+    from geodesis.operators.hops import PATHS
+    from geodesis.plans import centrality
+
+    graph = g.Graph.from_edges(frame(spark, pages_and_targets()))
+    used = replace(limits or g.Limits(), fold_rounds=0)
+    run = centrality._Traversal(graph, None, None, used)
+    for _ in run.run(backward=False):
+        rows = run.tables.rows(PATHS)
+    # Not a row for each source.
+    assert run.field.lanes == (16 if limits else 2) and rows <= graph.n * graph.n / run.field.lanes * 5
+    exact = brute_force(range(103), dict.fromkeys(((min(e), max(e)) for e in pages_and_targets()), 1), False)
+    nodes, edges = g.betweenness(graph, normalized=False, limits=used)
+    close(nodes_of(nodes), {row.id: exact[0][row.id] / 2 for row in graph.vertices.collect()})
+    close(edges_of(edges), {key: value / 2 for key, value in exact[1].items()})
+    ends = nodes_of(g.node_betweenness(graph, normalized=False, endpoints=True, limits=used))
+    close(ends, {key: exact[0][key] / 2 + graph.n - 1 for key in ends})
+
+
+def test_rows_of_a_common_vertex_are_summed_before_they_move(spark):
+    from geodesis.operators.field import Field
+    from geodesis.workspace import Workspace
+
+    tables = Workspace(spark)
+    graph = g.Graph.from_edges(frame(spark, pages_and_targets())).stored(tables)
+    limits = g.Limits(broadcast_arcs=0, hub_steps=5, least_steps_per_task=20)
+    field = Field(graph, tables, None, limits, sources=graph.n, packed=True)
+    steps = field._by_u.select("place", "u", "w").collect()
+    home = {}
+    for row in steps:
+        if row.u < 100:
+            home.setdefault(row.u, set()).add(row.place)
+    assert len(home) == 40 and all(len(places) == 1 for places in home.values())
+    # What a common vertex sends lies with the one that gets it.
+    assert all(home[row.w] == {row.place} for row in steps if row.u >= 100 and row.w < 100)
+    assert field.places > 2 and len({row.place for row in steps}) > 1
+    field.release()
+
+
+def test_texts_are_numbered_and_never_broadcast_by_file_size(spark):
+    from geodesis.plans import centrality
+
+    name = lambda k: f"https://host-{k}.example/{'x' * 200}"
+    graph = g.Graph.from_edges(spark.createDataFrame(pages_and_targets(name), "src string, dst string"))
+    for limits in (None, SHUFFLED):
+        run = centrality._Traversal(graph, None, None, limits)
+        assert run.tables.load("arcs").schema["u"].dataType.simpleString() == "bigint"
+        with run.field.planning():
+            assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
+        run.field.release()
+    plain = g.Graph.from_edges(frame(spark, pages_and_targets()))
+    nodes, edges = g.betweenness(graph, limits=SHUFFLED)
+    exact_nodes, exact_edges = g.betweenness(plain)
+    close(nodes_of(nodes), {name(key): value for key, value in nodes_of(exact_nodes).items()})
+    expected = {tuple(sorted(map(name, key))): value for key, value in edges_of(exact_edges).items()}
+    close(edges_of(edges), expected)
