@@ -203,7 +203,7 @@ def _trie_join(blocks: int, bits: int):
     return joined
 
 
-def _links(classes: DataFrame, tables: Workspace, bits: int) -> DataFrame:
+def links(classes: DataFrame, tables: Workspace, bits: int) -> DataFrame:
     """``src, dst``: enough links between class representatives to keep together
     what hangs together. ``classes`` is ``bits, rep``."""
     blocks = bits + 1
@@ -258,7 +258,7 @@ def near_duplicates(
     prints = tables.load("prints")
     tables.save("classes", prints.filter("doc_id IS NOT NULL").groupBy("bits").agg(F.min("doc_id").alias("rep")))
     classes = tables.load("classes")
-    tables.save("links", _links(classes, tables, bits))
+    tables.save("links", links(classes, tables, bits))
     merged = smallest_reachable(tables.load("links"), tables)
     named = classes.join(merged.withColumnRenamed("node", "rep"), "rep", "left")
     tables.save("named", named.select("bits", F.coalesce("component", "rep").alias("component_id")))

@@ -181,3 +181,46 @@ def test_a_large_group_of_near_copies_takes_few_checks(spark, monkeypatch, cell)
     # All pairs would be 79,800; those that may be similar are a third of them.
     assert sum(seen["rows"] for name, seen in made.items() if name.endswith("_pairs")) < 30_000
     assert not any(name.startswith("cells_3") for name in made)
+
+
+def borderline(count):
+    """Texts of which many pairs are nearly, but not quite, similar enough."""
+    pick = random.Random(11)
+    base = [f"w{k}" for k in range(200)]
+    texts = {}
+    for key in range(count):
+        words = list(base)
+        for place in pick.sample(range(200), 5):
+            words[place] = f"x{pick.randrange(10**6)}"
+        texts[key] = " ".join(words)
+    return texts
+
+
+def test_pairs_of_a_group_that_is_not_quite_similar_are_not_written(spark, monkeypatch):
+    from geodesis.workspace import Workspace
+
+    texts = borderline(300)
+    made = {}
+    save = Workspace.save
+    monkeypatch.setattr(Workspace, "save", lambda self, name, *a, **b: made.setdefault(name, save(self, name, *a, **b)))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {row.doc_id: row.component_id for row in similar.similar_documents(docs).collect()}
+    assert found == plain_components(texts)
+    # A class is held against the smallest of each of its buckets; no pair is written after that.
+    assert sum(seen["rows"] for name, seen in made.items() if name.endswith("_pairs")) <= similar.BANDS * len(texts)
+    assert "round_0_pairs" not in made and made["cell_links"]["rows"] < similar.BANDS * len(texts)
+
+
+def test_near_duplicates_go_through_simhash(spark, folder, monkeypatch):
+    from geodesis.llm import simhash
+
+    joined = []
+    links = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda classes, *a: joined.append(sorted(row.bits for row in classes.collect())) or links(classes, *a))
+    words = [f"w{k}" for k in range(120)]
+    texts = {1: " ".join(words), 2: " ".join(words).upper(), 3: " ".join(words[:-1]), 4: " ".join(words[::-1])}
+    made = folder(list(texts.items()))
+    single = dict(corpus_pipeline.STAGES)["near_dedup"](spark, queries.table(spark, made, "documents"), made)
+    assert {row.doc_id for row in single.collect()} == {1, 4}
+    signed = {simhash.fingerprint(text, similar.WIDTH) for text in texts.values()}
+    assert joined == [sorted(bits - (bits >> 63 << 64) for bits in signed)]
