@@ -390,7 +390,7 @@ def test_rows_of_a_common_vertex_are_summed_before_they_move(spark):
 
     tables = Workspace(spark)
     graph = g.Graph.from_edges(frame(spark, pages_and_targets())).stored(tables)
-    limits = g.Limits(broadcast_arcs=0, hub_steps=5, least_steps_per_task=20)
+    limits = g.Limits(broadcast_arcs=0, hub_steps=5, least_steps_per_task=100)
     field = Field(graph, tables, None, limits, sources=graph.n, packed=True)
     steps = field._by_u.select("place", "u", "w").collect()
     home = {}
