@@ -35,7 +35,7 @@ PACKERS = 20_000
 REMEMBERED = 400_000
 REMEMBERED_LENGTH = 48
 # Signs that may follow the letters of a word; none begins a contraction.
-SIGNS = ".,!?;:*$%&#|()-\""
+SIGNS = b".,!?;:*$%&#|()-\""
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
@@ -51,6 +51,21 @@ def _byte_marks() -> list[str]:
 _MARKS = dict(enumerate(_byte_marks()))
 
 
+class _Words(dict):
+    """Ids by word, made when first asked for and remembered within bounds."""
+
+    def __init__(self, make) -> None:
+        self.make = make
+
+    def __missing__(self, word: bytes) -> bytes:
+        made = self.make(word)
+        if len(word) <= REMEMBERED_LENGTH:
+            if len(self) > REMEMBERED:
+                self.clear()
+            self[word] = made
+        return made
+
+
 class WordTokens:
     """Ids of texts for tokenizers that never join what white space parts.
 
@@ -62,9 +77,9 @@ class WordTokens:
     def __init__(self, model: bytes) -> None:
         self.tokenizer = Tokenizer.from_buffer(model)
         self.merges = self.tokenizer.model
-        self._words: dict[bytes, bytes] = {}
-        self._letters: dict[str, bytes] = {}
-        self._signs: dict[str, bytes] = {"": b""}
+        self._words = _Words(self._word)
+        self._letters: dict[bytes, bytes] = {}
+        self._signs: dict[bytes, bytes] = {b"": b""}
         self.splits_letters = self._splits_letters(json.loads(model))
 
     @staticmethod
@@ -83,40 +98,44 @@ class WordTokens:
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, text: str) -> bytes:
-        letters = text.rstrip(SIGNS)
-        # Beyond these letters, composing and lower case are left to the tokenizer.
-        low = letters.lower()
-        plain = letters.isascii() or (max(letters) < "\u0250" and low.isalpha())
-        if plain and self.splits_letters and letters.isalpha():
-            found = self._letters.get(low)
-            if found is None:
-                marks = low if low.isascii() else low.encode().decode("latin-1").translate(_MARKS)
-                ids = [token.id for token in self.merges.tokenize(marks)]
-                found = self._letters[low] = struct.pack(f"<{len(ids)}I", *ids)
-            signs = text[len(letters) :]
-            if signs not in self._signs:
-                if len(self._signs) > REMEMBERED:
-                    self._signs = {"": b""}
-                self._signs[signs] = self._ids(signs)
-            return found + self._signs[signs]
-        return self._ids(text)
+    def _merged(self, marks: str) -> bytes:
+        ids = [token.id for token in self.merges.tokenize(marks)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _signed(self, signs: bytes) -> bytes:
+        found = self._signs.get(signs)
+        if found is None:
+            if len(self._signs) > REMEMBERED:
+                self._signs = {b"": b""}
+            found = self._signs[signs] = self._ids(signs.decode())
+        return found
+
+    def _word(self, word: bytes) -> bytes:
+        letters = word.rstrip(SIGNS)
+        if not self.splits_letters:
+            return self._ids(word.decode())
+        if letters.isalpha():
+            low = marks = letters.lower()
+        else:
+            # Beyond these letters, composing and lower case are left to the tokenizer.
+            text = letters.decode()
+            marks = text.lower()
+            if not text.isalpha() or max(text) >= "\u0250" or not marks.isalpha():
+                return self._ids(word.decode())
+            low = marks.encode()
+        found = self._letters.get(low)
+        if found is None:
+            if len(self._letters) > REMEMBERED:
+                self._letters.clear()
+            found = self._letters[low] = self._merged(low.decode() if marks is low else low.decode("latin-1").translate(_MARKS))
+        signs = word[len(letters) :]
+        return found + self._signed(signs) if signs else found
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids of UTF-8 texts as little-endian unsigned 32-bit integers."""
-        if len(self._words) > REMEMBERED:
-            self._words.clear()
-        if len(self._letters) > REMEMBERED:
-            self._letters.clear()
-        known = self._words
-        cut = [text.split() for text in texts]
-        new = set().union(*cut).difference(known)
-        known.update({word: self._word(word.decode()) for word in new})
-        for words in cut:
-            yield b"".join(map(known.__getitem__, words))
-        for word in new:
-            if len(word) > REMEMBERED_LENGTH:
-                del known[word]
+        known = self._words.__getitem__
+        for text in texts:
+            yield b"".join(map(known, text.split()))
 
 
 _loaded: dict[int, WordTokens] = {}

@@ -504,6 +504,16 @@ def check_packing(rows, texts, room):
     return len(filled), -(-total // room)
 
 
+def test_words_of_one_batch_are_remembered_within_bounds(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    with open(WORD_TOKENIZER, "rb") as file:
+        tokens = packing.WordTokens(file.read())
+    texts = [f"Wort{chr(97 + k % 26) * (k % 7 + 1)}{chr(97 + k // 26)}{'!?' * (k % 3)} {chr(233 + k % 9)}T{k}." for k in range(400)]
+    found = list(tokens.encode([text.encode() for text in texts]))
+    assert found == [tokens._ids(text) for text in texts]
+    assert len(tokens._words) <= 51 and len(tokens._letters) <= 51
+
+
 def test_packing_of_odd_rows(spark):
     texts = [(row[0], row[1]) for row in brute.odd_rows()]
     check_packing(packing.pack_documents(brute.odd(spark), WORD_TOKENIZER).collect(), texts, 2048)
