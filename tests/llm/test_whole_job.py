@@ -1,11 +1,13 @@
 """Registered queries and stages do the whole job, on small made-up tables."""
 
 import random
+from pathlib import Path
 
 import brute
 import pytest
 
 import corpus_pipeline
+from geodesis import workspace
 from geodesis.llm import queries, similar, templates
 from test_text_operators import plain_template_drop
 
@@ -224,3 +226,15 @@ def test_near_duplicates_go_through_simhash(spark, folder, monkeypatch):
     assert {row.doc_id for row in single.collect()} == {1, 4}
     signed = {simhash.fingerprint(text, similar.WIDTH) for text in texts.values()}
     assert joined == [sorted(bits - (bits >> 63 << 64) for bits in signed)]
+
+
+@pytest.mark.parametrize("printed", [False, True])
+def test_near_copies_leave_only_the_tables_they_are_read_from(spark, printed):
+    before = set(workspace._roots)
+    words = [random.Random(k).choices("abcdefghijklmnopqrstuvwxyz", k=60) for k in range(3)]
+    texts = [" ".join(words[k % 3] + ["end"] * (k > 5)) for k in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = similar.similar_documents(docs, printed=printed)
+    left = sorted(path.name for root in set(workspace._roots) - before for path in Path(root).iterdir())
+    assert left == ["components", "texts"]
+    assert {row.doc_id: row.component_id for row in found.collect()} == {k: k % 3 for k in range(12)}
