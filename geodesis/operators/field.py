@@ -111,12 +111,18 @@ class Field:
             metrics["bytes"] = F.sum((sizes[0] + sizes[1]).cast("long"))
         if self.weighted:
             metrics["unusable"] = unusable_weights()
-        seen = workspace.save(name, steps, **metrics)
+        if graph.kept and not metrics:
+            # Many steps are laid out from the edges as they lie, not from a copy.
+            seen = {"rows": steps.count()}
+        else:
+            seen = workspace.save(name, steps, **metrics)
         refuse_unusable(seen)
         self.size = seen["rows"]
         # Numbers have at most 16 bytes.
         measured = seen["bytes"] or 0 if "bytes" in seen else 32 * self.size
         self.small = self.size <= limits.broadcast_arcs and measured <= limits.broadcast_bytes
+        if self.small and not workspace.has(name):
+            workspace.save(name, steps)
         self._hubs: dict[str, DataFrame] = {}
         self._held: list[str] = []
         self._masses: DataFrame | None = None
@@ -124,7 +130,7 @@ class Field:
         self.width = 2
         cores = self.spark.sparkContext.defaultParallelism
         self.lanes = min(LANES, ceil(self.sources / (PACKS_PER_CORE * cores)) if self.small else self.sources) if packed else 1
-        steps = workspace.load(name)
+        steps = workspace.load(name) if workspace.has(name) else steps
         if self.small:
             self._by_u = self._by_w = steps
         elif packed:

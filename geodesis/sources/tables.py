@@ -55,10 +55,10 @@ def _deals(spark: SparkSession, folder: str) -> DataFrame:
 
 def trade(spark: SparkSession, folder: str) -> Graph:
     """Customers (even ids) and the suppliers (odd ids) they bought from."""
-    deals = _deals(spark, folder)
-    return Graph.from_edges(
-        deals.select((F.col("o_custkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst"))
-    )
+    # Pairs are made distinct as edges, once; the same line more often is no more than that.
+    lines = table(spark, folder, "lineitem").select("l_orderkey", (F.col("l_suppkey") * 2 + 1).alias("dst"))
+    orders = table(spark, folder, "orders").select("o_orderkey", (F.col("o_custkey") * 2).alias("src"))
+    return Graph.from_edges(lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("src", "dst"))
 
 
 def _deliveries(spark: SparkSession, folder: str) -> DataFrame:

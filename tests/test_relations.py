@@ -3,6 +3,10 @@ from known import TEN
 from pyspark.sql import functions as F
 
 import geodesis as g
+from geodesis.graph import Graph, arcs
+from geodesis.operators.field import Field, Limits
+from geodesis.sources import tables
+from geodesis.workspace import Workspace
 
 
 def pairs(frame):
@@ -115,3 +119,26 @@ def test_vertices_without_id_are_refused(spark):
     edges = spark.createDataFrame([(1, 2)], "src long, dst long")
     with pytest.raises(Exception, match="vertex without id"):
         g.Graph.from_edges(edges, spark.createDataFrame([(None,)], "id long")).vertices.collect()
+
+
+def test_lines_of_trade_are_dealt_out_once_for_the_join_and_once_as_edges(spark, tmp_path):
+    lines = [(1, 7), (1, 7), (2, 7), (2, 8), (3, 9), (5, 9)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = [(1, 4), (2, 4), (3, 5), (4, 6), (3, 5)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    made = tables.trade(spark, str(tmp_path)).edges
+    # The orders are sent around here.
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, made.select("src", "dst").collect())) == [(8, 15), (8, 17), (10, 19)]
+
+
+def test_steps_of_a_large_graph_are_laid_out_without_a_copy(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "src long, dst long")
+    for directed in (False, True):
+        held = Workspace(spark)
+        graph = Graph.from_edges(edges, directed=directed).stored(held)
+        ground = Field(graph, held, None, Limits(broadcast_arcs=0), packed=True)
+        assert not held.has("arcs") and not ground.small
+        for steps in (ground._by_u, ground._by_w):
+            assert sorted(map(tuple, steps.select("u", "w").collect())) == sorted(map(tuple, arcs(graph).collect()))
+        ground.release()
