@@ -9,6 +9,7 @@ import pytest
 import corpus_pipeline
 from geodesis import workspace
 from geodesis.llm import queries, similar, templates
+from geodesis.workspace import session_conf
 from test_text_operators import plain_template_drop
 
 FOOTER = "Another closing line with number %d of them."
@@ -238,3 +239,35 @@ def test_near_copies_leave_only_the_tables_they_are_read_from(spark, printed):
     left = sorted(path.name for root in set(workspace._roots) - before for path in Path(root).iterdir())
     assert left == ["components", "texts"]
     assert {row.doc_id: row.component_id for row in found.collect()} == {k: k % 3 for k in range(12)}
+
+
+def _exchanges(frame):
+    """The shuffles of a plan that nothing is broadcast in on the strength of its size."""
+    with session_conf(frame.sparkSession, spark__sql__autoBroadcastJoinThreshold="-1"):
+        plan = frame.filter("true")._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_texts_are_not_shuffled_for_few_ids(spark, monkeypatch):
+    base = [f"w{k}" for k in range(60)]
+    near = base[:30] + ["other"] + base[31:]
+    texts = {1: " ".join(base), 2: " ".join(near), 3: "quite another text of seven words", 4: " ".join(base)}
+    docs = spark.createDataFrame([*texts.items(), (4, "a second text of that number"), (None, "no number")], "doc_id long, text string")
+    rows = docs.select("doc_id", docs.text.cast("binary").alias("text")).filter("doc_id IS NOT NULL")
+    hashes = {row.doc_id: row.whole for row in similar.sets(rows.filter("doc_id < 4")).collect()}
+    wanted = spark.createDataFrame([(1, hashes[1]), (3, hashes[3])], "doc_id long, whole long")
+    made = similar._sets_of(wanted, 2, rows, similar.WIDTH)
+    # The ids are made distinct.
+    assert len([line for line in _exchanges(made) if "(doc_id" in line]) == 1
+    found = {row.whole: sorted(row.found) for row in made.collect()}
+    assert found.keys() == {hashes[1], hashes[3]}
+
+    kept = similar.drop_similar(docs)
+    assert not _exchanges(kept)
+    rows_kept = sorted(map(str, kept.collect()))
+    # With more ids than go to every executor, the rest is the same.
+    monkeypatch.setattr(similar, "FEW", 1)
+    again = similar._sets_of(wanted, 2, rows, similar.WIDTH)
+    assert len([line for line in _exchanges(again) if "(doc_id" in line]) == 2
+    assert {row.whole: sorted(row.found) for row in again.collect()} == found
+    assert sorted(map(str, similar.drop_similar(docs).collect())) == rows_kept
