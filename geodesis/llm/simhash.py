@@ -239,6 +239,10 @@ def links(classes: DataFrame, tables: Workspace, bits: int) -> DataFrame:
     return cells.mapInArrow(_trie_join(blocks, bits), "src long, dst long").distinct()
 
 
+# Older name of the call.
+_links = links
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, bits: int = BITS
 ) -> DataFrame:
