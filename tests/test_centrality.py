@@ -421,3 +421,43 @@ def test_texts_are_numbered_and_never_broadcast_by_file_size(spark):
     close(nodes_of(nodes), {name(key): value for key, value in nodes_of(exact_nodes).items()})
     expected = {tuple(sorted(map(name, key))): value for key, value in edges_of(exact_edges).items()}
     close(edges_of(edges), expected)
+
+
+@pytest.mark.parametrize("limits", [None, SHUFFLED, SALTED])
+def test_weighted_distances_of_a_pack_share_their_rows(spark, limits):
+    from geodesis.operators import weighted
+    from geodesis.plans import centrality
+
+    vertices, weights = mixed_graph(5, True)
+    edges = [(u, w, float(length)) for (u, w), length in weights.items()]
+    graph = g.Graph.from_edges(
+        spark.createDataFrame(edges, "src long, dst long, weight double"), spark.createDataFrame([(v,) for v in vertices], "id long"), True
+    )
+    run = centrality._Traversal(graph, None, "weight", limits)
+    weighted._relax(run.field, run.sources)
+    distances = run.tables.load(weighted.DISTANCES)
+    # Not a row for each source.
+    assert distances.count() <= graph.n * -(-graph.n // run.field.lanes)
+    assert run.field.lanes > 1 or limits is None
+    weighted._tighten(run.field)
+    found = {(row.source, row.u, row.w) for row in run.tables.load(weighted.TIGHT).collect()}
+    run.field.release()
+    length = {(s, s): 0.0 for s in vertices}
+    for _ in vertices:
+        for s in vertices:
+            for u, w, step in edges:
+                if (s, u) in length and u != w:
+                    length[s, w] = min(length.get((s, w), float("inf")), length[s, u] + step)
+    assert found == {(s, u, w) for s in vertices for u, w, step in edges if u != w and (s, u) in length and length[s, u] + step == length[s, w]}
+
+
+def test_lanes_are_expanded_in_compiled_code(spark):
+    from geodesis.operators.hops import PATHS, each_source, lanes
+    from geodesis.plans import centrality
+
+    graph = g.Graph.from_edges(frame(spark, pages_and_targets()))
+    run = centrality._Traversal(graph, None, None, SHUFFLED)
+    for _ in run.run(backward=False):
+        rows = each_source(run.field, run.tables.parts(PATHS), [F.col(s) > 0 for s in lanes(run.field, "s")], sigma="s")
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "lambda" not in plan and "Generate" in plan
