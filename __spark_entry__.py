@@ -133,6 +133,11 @@ def _pivots(spark: SparkSession, folder: str) -> DataFrame:
     return g.sample_vertices(tables.relay(spark, folder), PIVOTS, SEED)
 
 
+def _stored(spark: SparkSession, folder: str, make) -> g.Graph:
+    """The graph of the tables, derived once for its size, sample and traversal."""
+    return make(spark, folder).stored(Workspace(spark, "sampled"))
+
+
 def _sources(graph: g.Graph) -> DataFrame:
     """The pivots of a graph; all of its vertices if it has fewer."""
     return g.sample_vertices(graph, min(PIVOTS, graph.n), SEED)
@@ -140,7 +145,7 @@ def _sources(graph: g.Graph) -> DataFrame:
 
 def _paths(make, **options):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        graph = make(spark, folder)
+        graph = _stored(spark, folder, make)
         return g.shortest_paths(graph, _sources(graph), **options)
 
     return query
@@ -153,7 +158,7 @@ def _visit_order(spark: SparkSession, folder: str) -> DataFrame:
 
 def _predecessors(make, weight=None):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        graph = make(spark, folder)
+        graph = _stored(spark, folder, make)
         return g.predecessors(graph, _sources(graph), weight=weight)
 
     return query
@@ -161,7 +166,7 @@ def _predecessors(make, weight=None):
 
 def _dependencies(endpoints: bool, weight=None):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        graph = tables.duty(spark, folder)
+        graph = _stored(spark, folder, tables.duty)
         found = g.source_dependencies(graph, _sources(graph), endpoints=endpoints, weight=weight)
         return _rounded(found, "delta")
 

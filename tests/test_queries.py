@@ -54,3 +54,18 @@ def test_query_agrees_with_sql(spark, database, name):
     columns = sorted(found.columns)
     result = database.execute(f"SELECT {', '.join(columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
     assert sorted(map(str, result)) == sorted(str(tuple(row)) for row in found.select(*columns).collect())
+
+
+def test_sampled_graphs_are_derived_once(spark, monkeypatch):
+    seen, sample = [], entry.g.sample_vertices
+    monkeypatch.setattr(entry.g, "sample_vertices", lambda graph, *more: seen.append(graph.kept) or sample(graph, *more))
+
+    def make(spark, folder):
+        return entry.g.Graph.from_edges(spark.createDataFrame([(1, 2), (2, 3), (2, 1)], "src long, dst long"))
+
+    found = entry._paths(make)(spark, "")
+    # The sample and the traversal read the tables of one derivation.
+    assert seen == [True]
+    assert sorted((row.source, row.node, row.dist) for row in found.collect()) == [(s, v, abs(s - v)) for s in (1, 2, 3) for v in (1, 2, 3)]
+    entry._predecessors(make)(spark, "")
+    assert seen == [True, True]
