@@ -271,3 +271,18 @@ def test_texts_are_not_shuffled_for_few_ids(spark, monkeypatch):
     assert len([line for line in _exchanges(again) if "(doc_id" in line]) == 2
     assert {row.whole: sorted(row.found) for row in again.collect()} == found
     assert sorted(map(str, similar.drop_similar(docs).collect())) == rows_kept
+
+
+def test_all_that_simhash_links_goes(spark, folder):
+    from geodesis.llm import simhash
+
+    one, other = (" ".join(f"{x}{k}" for k in range(7)) + " " for x in "pq")
+    tails = [" ".join(f"{x}{k}" for k in range(30)) for x in "abc"]
+    # The second and the fourth have equal sets, but repeat other parts of them.
+    texts = {1: one * 60 + tails[0], 2: one * 60 + other * 2, 3: other * 60 + tails[1], 4: one * 2 + other * 60, 5: tails[2]}
+    bits = {key: simhash.fingerprint(text, similar.WIDTH) for key, text in texts.items()}
+    assert (bits[1] ^ bits[2]).bit_count() <= 3 and (bits[3] ^ bits[4]).bit_count() <= 3 and (bits[2] ^ bits[4]).bit_count() > 6
+    assert plain_components(texts) == {1: 1, 2: 2, 3: 3, 4: 2, 5: 5}
+    made = folder(list(texts.items()))
+    single = dict(corpus_pipeline.STAGES)["near_dedup"](spark, queries.table(spark, made, "documents"), made)
+    assert {row.doc_id: row.text for row in single.collect()} == {key: texts[key] for key in (1, 5)}
