@@ -117,6 +117,7 @@ class Field:
         if graph.kept and not metrics:
             # Many steps are laid out from the edges as they lie, not from a copy.
             seen = {"rows": steps.count()}
+            workspace.lend(name, steps)
         else:
             seen = workspace.save(name, steps, **metrics)
         refuse_unusable(seen)
@@ -133,7 +134,7 @@ class Field:
         self.width = 2
         cores = self.spark.sparkContext.defaultParallelism
         self.lanes = min(LANES, ceil(self.sources / (PACKS_PER_CORE * cores)) if self.small else self.sources) if packed or self.weighted else 1
-        steps = workspace.load(name) if workspace.has(name) else steps
+        steps = workspace.load(name)
         if self.small:
             self._by_u = self._by_w = steps
         elif packed:

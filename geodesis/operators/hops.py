@@ -36,11 +36,16 @@ def has(mask: str, k: int) -> Column:
 
 
 def pack(field: Field, sources: DataFrame) -> DataFrame:
-    """Write and return ``pack, lane, source``."""
+    """Write and return ``pack, lane, source``. Sources with a ``component`` of
+    ``size`` vertices share packs with others of it: they meet the same vertices."""
     tables = field.workspace
-    part = F.pmod(F.hash("source"), F.lit(ceil(field.sources / NUMBERED))).cast("long")
-    place = F.row_number().over(Window.partitionBy("part").orderBy("source")) - 1
-    dealt = sources.select("source", part.alias("part")).withColumn("place", place)
+    dealt, order = F.hash("source"), ["source"]
+    if "component" in sources.columns:
+        slot = F.pmod(dealt, F.ceil(F.col("size") / NUMBERED).cast("int"))
+        dealt, order = F.hash("component", slot), ["component", "source"]
+    part = F.pmod(dealt, F.lit(ceil(field.sources / NUMBERED))).cast("long")
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    dealt = sources.withColumn("part", part).withColumn("place", place)
     number = F.col("part") * F.lit(2**32) + F.floor(F.col("place") / field.lanes)
     tables.save(PACKED, dealt.select(number.alias("pack"), (F.col("place") % field.lanes).alias("lane"), "source"))
     return tables.load(PACKED)

@@ -13,6 +13,7 @@ from geodesis.graph import Graph, edge_key
 from geodesis.operators import dependencies as deps
 from geodesis.operators.field import Field, Limits
 from geodesis.operators.folding import fold
+from geodesis.operators.grouping import Group, grouped
 from geodesis.operators.hops import PACKED, PATHS, each_source, lanes, walk_hops
 from geodesis.operators.numbering import number, renumbered, with_ids, with_numbers
 from geodesis.operators.pivots import sample_vertices
@@ -58,15 +59,26 @@ class _Traversal:
             self.sources = with_numbers(self.sources, self.numbers, "source")
         wanted = ceil(self.count * self.graph.n / self.limits.state_rows)
         self.batches = max(1, min(wanted, self.count))
+        # Sums over all sources are made by groups of components if pairs are too many.
+        self.weight = weight
+        self.groups: list[Group] = []
+        if folding and chosen is None and wanted > 1:
+            self.groups = grouped(self.graph, self.tables, self.limits, weight is not None)
+            self.batches = sum(group.batches for group in self.groups) or 1
         # Sums of batches; under a name, those of an earlier run are taken over.
         self.kept = self.tables
         if self.limits.run:
             self.kept = Workspace(self.tables.spark, "kept", self.limits.run)
             self._recognise(weight)
-        self.field = Field(self.graph, self.tables, weight, self.limits, sources=ceil(self.count / self.batches), packed=weight is None)
+        if not self.groups:
+            self.field = self._field(self.graph, ceil(self.count / self.batches))
+
+    def _field(self, graph: Graph, sources: int) -> Field:
+        field = Field(graph, self.tables, self.weight, self.limits, sources=sources, packed=self.weight is None)
         if self.folded:
             masses = self.folded.masses.select("id", (F.col("inside") + 1).alias("mass"))
-            self.field.stand_for(masses if self.numbers is None else with_numbers(masses, self.numbers, "id"))
+            field.stand_for(masses if self.numbers is None else with_numbers(masses, self.numbers, "id"))
+        return field
 
     def _recognise(self, weight: str | None) -> None:
         """Refuse a name under which something else was begun."""
@@ -82,21 +94,31 @@ class _Traversal:
     def run(self, backward: bool = True, wanted: tuple[str, ...] = ()):
         """Go through all batches; state is in the tables at each stop. Batches of
         which all ``wanted`` tables are there already are left out."""
-        walk = walk_weighted if self.field.weighted else walk_hops
-        gather = deps.gather_weighted if self.field.weighted else deps.gather_hops
-        for batch in range(self.batches):
-            if self.limits.run and wanted and all([self.kept.adopt(name, batch) for name in wanted]):
-                continue
-            part = self.sources
-            if self.batches > 1:
-                part = part.filter(F.pmod(F.xxhash64("source"), F.lit(self.batches)) == batch)
-            depth = walk(self.field, part)
-            if backward:
-                gather(self.field, depth)
-            yield batch
-            self.tables.drop(PATHS, PACKED, deps.DEPENDENCIES, TIGHT)
-        self.field.release()
-        self.tables.drop("sources")
+        walk = walk_hops if self.weight is None else walk_weighted
+        gather = deps.gather_hops if self.weight is None else deps.gather_weighted
+        first = 0
+        for group in self.groups or [None]:
+            batches = group.batches if group else self.batches
+            numbers = range(first, first + batches)
+            first += batches
+            done = [self.limits.run and wanted and all([self.kept.adopt(name, batch) for name in wanted]) for batch in numbers]
+            if group and not all(done):
+                graph = group.graph(self.graph, self.tables)
+                self.field, self.sources = self._field(graph, ceil(graph.n / batches)), group.sources(self.tables)
+            for number, batch in enumerate(numbers):
+                if done[number]:
+                    continue
+                part = self.sources
+                if batches > 1:
+                    part = part.filter(F.pmod(F.xxhash64("source"), F.lit(batches)) == number)
+                depth = walk(self.field, part)
+                if backward:
+                    gather(self.field, depth)
+                yield batch
+                self.tables.drop(PATHS, PACKED, deps.DEPENDENCIES, TIGHT)
+            if not group or not all(done):
+                self.field.release()
+        self.tables.drop("sources", "group_vertices", "group_edges")
 
     def node_totals(self, endpoints: bool) -> DataFrame:
         """``id, total`` over all batches."""

@@ -71,6 +71,7 @@ class Workspace:
         self._parts: dict[str, list[int]] = {}
         self._rows: dict[tuple[str, int | None], int] = {}
         self._filed: dict[str, str] = {}
+        self._lent: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -85,6 +86,10 @@ class Workspace:
     def has(self, name: str) -> bool:
         return name in self._schemas
 
+    def lend(self, name: str, frame: DataFrame) -> None:
+        """Give ``frame`` out as table ``name`` as long as no such table is written."""
+        self._lent[name] = frame
+
     def rows(self, name: str, part: int | None = None) -> int:
         """Row count seen when the table, or that part of it, was written."""
         return self._rows[name, part]
@@ -160,6 +165,8 @@ class Workspace:
         return observed.get
 
     def load(self, name: str) -> DataFrame:
+        if name in self._lent and not self.has(name):
+            return self._lent[name]
         return self.spark.read.schema(self._schemas[name]).parquet(self.path(name))
 
     def parts(self, name: str, numbers: Iterable[int] | None = None) -> DataFrame:
@@ -182,6 +189,7 @@ class Workspace:
             self._schemas.pop(name, None)
             self._parts.pop(name, None)
             self._filed.pop(name, None)
+            self._lent.pop(name, None)
             for key in [key for key in self._rows if key[0] == name]:
                 del self._rows[key]
 

@@ -461,3 +461,51 @@ def test_lanes_are_expanded_in_compiled_code(spark):
         rows = each_source(run.field, run.tables.parts(PATHS), [F.col(s) > 0 for s in lanes(run.field, "s")], sigma="s")
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert "lambda" not in plan and "Generate" in plan
+
+
+def rings(number, size=6):
+    """Rings with a chord, none of which leads to another, and vertices alone."""
+    edges = []
+    for ring in range(number):
+        at = [ring * 10 + k for k in range(size)]
+        edges += [(u, w, float(1 + (u * w) % 3)) for u, w in zip(at, at[1:] + at[:1])] + [(at[0], at[3], 2.0)]
+    return edges, [10 * ring + k for ring in range(number) for k in range(size)] + [1_000 + k for k in range(40)]
+
+
+@pytest.mark.parametrize(("directed", "weight", "arcs"), [(True, None, 2_000_000), (False, None, 30), (True, None, 0), (True, "weight", 30)])
+def test_pairs_without_a_path_make_no_batches(spark, monkeypatch, directed, weight, arcs):
+    from geodesis.plans import centrality
+
+    edges, vertices = rings(8)
+    graph = g.Graph.from_edges(
+        spark.createDataFrame(edges, "src long, dst long, weight double"), spark.createDataFrame([(v,) for v in vertices], "id long"), directed
+    )
+    fields, name = [], "walk_hops" if weight is None else "walk_weighted"
+    walk = getattr(centrality, name)
+    monkeypatch.setattr(centrality, name, lambda field, *a: fields.append(field) or walk(field, *a))
+    limits = g.Limits(state_rows=4 * 36 * 4, broadcast_arcs=arcs, fold_rounds=0)
+    nodes, ends = [nodes_of(g.node_betweenness(graph, normalized=False, weight=weight, endpoints=x, limits=limits)) for x in (False, True)]
+    # All pairs of vertices would be 14 batches.
+    batches = len(fields) / 2
+    assert graph.n == 88 and batches < 14 and (arcs == 30 or batches <= 4)
+    # A group of components whose steps may be broadcast is a small graph.
+    assert all(field.small == bool(arcs) for field in fields) and all(field.vertices <= 48 for field in fields)
+    found = edges_of(g.edge_betweenness(graph, normalized=False, weight=weight, limits=limits))
+    lengths = {(u, w) if directed else (min(u, w), max(u, w)): length if weight else 1 for u, w, length in edges}
+    exact = brute_force(vertices, lengths, directed)
+    half = 1 if directed else 2
+    close(nodes, {key: value / half for key, value in exact[0].items()})
+    close(found, {key: value / half for key, value in exact[1].items()})
+    close(ends, {key: exact[0][key] / half + (5 * 2 / half if key < 1_000 else 0) for key in ends})
+
+
+def test_sources_of_a_component_share_packs(spark):
+    from geodesis.operators.hops import PACKED
+    from geodesis.plans import centrality
+
+    edges = [(u * 50 + c, w * 50 + c) for c in range(40) for u, w in [(k, (k + 1) % 16) for k in range(16)]]
+    graph = g.Graph.from_edges(frame(spark, edges), directed=True)
+    run = centrality._Traversal(graph, None, None, g.Limits(state_rows=40 * 256, broadcast_arcs=0), folding=True)
+    for _ in run.run(backward=False):
+        packs = [(row.pack, row.source % 50) for row in run.tables.load(PACKED).collect()]
+    assert len(packs) == graph.n and len(set(packs)) == 40
